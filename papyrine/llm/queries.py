@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import table
+from papyrine.llm.common import fold, table
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -22,6 +22,35 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.encode_decode_digests(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, severity (expected grade, 0 to 2) and rejected of every whole text."""
+    from papyrine.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "severity", toxicity.is_rejected(F.col("severity")).alias("rejected"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyrine.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold("doc_id", 3) == 1
+    model = quality.fit(docs.filter(~held), table(spark, sf_dir, "labels"))
+    found = quality.score(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyrine.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = fold("doc_id", 5) == 0
+    model = langid.fit(docs.filter(~held))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyrine.llm import simhash
 
