@@ -156,30 +156,32 @@ class Codec:
         starts: list[list[int]] = [[] for _ in range(n)]
         for end, size in self.automaton.iter(text):
             starts[end - size + 1].append(size)  # ends grow, so each list is in ascending length
-        for at, sizes in enumerate(starts):
-            if not sizes:
-                sizes.append(1)  # a character outside the vocabulary: falls back to bytes
         failed = bytearray(n // 8 + 1)
         out: list[str] = []
         tried: list[int] = []
-        at, k = 0, len(starts[0]) - 1 if n else -1
+        at, k, last, fits = 0, -1, "", self.fits
         while at < n:
-            size = starts[at][k]
-            end = at + size
+            sizes = starts[at]
+            # A character outside the vocabulary stands alone and falls back to bytes.
+            end = at + (sizes[k] if sizes else 1)
             piece = text[at:end]
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], piece)):
-                out.append(piece)
-                tried.append(k)
-                at = end
-                k = len(starts[at]) - 1 if at < n else 0
-            elif k:
-                k -= 1
-            else:
-                failed[at >> 3] |= 1 << (at & 7)
-                if not out:
-                    raise ValueError("no valid encoding")
-                at -= len(out.pop())
-                k = tried.pop()
+            if not failed[end >> 3] >> (end & 7) & 1:
+                ok = fits.get((last, piece)) if out else True
+                if ok is None:
+                    ok = self.compatible(last, piece)
+                if ok:
+                    out.append(piece)
+                    tried.append(k)
+                    at, k, last = end, -1, piece
+                    continue
+            if -k < len(sizes):
+                k -= 1  # the next shorter piece
+                continue
+            failed[at >> 3] |= 1 << (at & 7)
+            if not out:
+                raise ValueError("no valid encoding")
+            at -= len(out.pop())
+            k, last = tried.pop(), out[-1] if out else ""
         return out
 
     def ids(self, text: str) -> list[int]:
@@ -261,7 +263,14 @@ class _Memo(dict):
 
 def _codec_maker(df: DataFrame, model_path: str):
     shared = df.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))  # bounded by the model file
-    return lambda: Codec(shared.value)
+
+    def codec() -> Codec:
+        # One codec per worker process: later tasks find the words that earlier ones have seen.
+        if "codec" not in shared.value.__dict__:
+            shared.value.__dict__["codec"] = Codec(shared.value)
+        return shared.value.__dict__["codec"]
+
+    return codec
 
 
 def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
