@@ -1,11 +1,11 @@
 """Toxicity severity by cumulative-link (proportional-odds) regression over sparse word features.
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector shared by all ordered thresholds. Features
-are distinct words and word prefixes present in a text. The model is fitted on a bounded sample of
+are words and word prefixes, valued by how many distinct words of a text have them. The model is fitted on a bounded sample of
 labelled rows (``PER_CLASS`` of each label); scoring is row-local over every whole text.
 
-Labels hold 0 or 1. Three ordered grades come from them: 0 (label 0), 1 and 2 (label 1, below or from
-the median share of words that speak for the label). Output: expected severity, from 0 to 2.
+Labels hold 0 or 1. Three ordered grades come from them: 0 (label 0), and for label 1 grade 2 with at
+least ``SEVERE_WORDS`` distinct words that speak for the label, else 1. Output: expected severity, 0 to 2.
 
 Defined results: null and empty texts have no feature and get the severity of a featureless text; a
 sample without both labels gives severity 0 everywhere; extra columns pass through.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,21 +26,29 @@ from papyrine.llm.common import append_columns
 from papyrine.llm.sampling import labelled_sample
 
 PER_CLASS = 2500
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A feature enters the model if so many sampled texts have it and its log-odds are that far from 0.
-LEAST_TEXTS, LEAST_ODDS = 6, 2.0
+LEAST_TEXTS, LEAST_ODDS = 8, 2.0
 MOST_FEATURES = 4000
+SEVERE_WORDS = 3
 REJECT_AT = 0.5
 CACHE_WORDS = 500_000
 words_of = re.compile(r"\w+").findall
 
 
 def word_features(word: str) -> list[str]:
-    return ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
+    """The word itself and its proper prefixes."""
+    return ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) > n)]
 
 
-def text_features(text: str | None) -> set[str]:
-    return {f for w in set(words_of((text or "").lower())) for f in word_features(w)}
+def text_features(text: str | None) -> Counter[str]:
+    """How many distinct words of a text have each feature."""
+    return Counter(f for w in set(words_of((text or "").lower())) for f in word_features(w))
+
+
+def weigh(count: int) -> float:
+    """Value of a feature that ``count`` distinct words have."""
+    return math.log2(1 + count)
 
 
 @dataclass
@@ -52,39 +61,48 @@ class OrdinalModel:
         return sum(1 / (1 + math.exp(min(50.0, max(-50.0, t - eta)))) for t in self.thetas)
 
 
-def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int = 300, l1: float = 2e-4, l2: float = 1e-4):
-    """Proximal gradient (AdaGrad steps) on the negative log-likelihood; thresholds stay ordered by their gaps."""
-    k = int(grades.max())
-    w, theta0 = np.zeros(n_features), np.linspace(0.5, 1.5, k)
-    gaps = np.log(np.diff(theta0)) if k > 1 else np.zeros(0)
-    first = theta0[0]
+def fit_cumulative_link(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int = 600, l1: float = 2e-5, l2: float = 1e-4):
+    """Accelerated proximal gradient on the mean negative log-likelihood; returns weights and ordered thresholds.
+
+    The step follows from the largest curvature (power iteration), so frequent features settle first
+    and rare ones stay small: an early stop that works as further shrinkage.
+    """
+    k, n = int(grades.max()), len(grades)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    hist = [np.full(n_features, 1e-6), np.full(1 + len(gaps), 1e-6)]
+    value = np.concatenate(values) if values else np.zeros(0)
+    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    # Columns are brought to like size, rare ones less so: that evens the curvature and still holds rare words back.
+    scale = 1 / np.sqrt(np.bincount(flat, value**2, n_features) / n + 0.005)
+    value = value * scale[flat]
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    n = len(grades)
+    times = lambda w: np.bincount(owner, w[flat] * value, n)
+    back = lambda e: np.bincount(flat, e[owner] * value, n_features)
+    v, top = np.ones(n_features), 1.0
+    for _ in range(20):
+        v = back(times(v)) / n
+        top = float(np.linalg.norm(v)) or 1.0
+        v /= top
+    # theta_k = first + the sum of the gaps before it; gaps stay positive by projection.
+    share = [np.log(max(1e-3, (grades <= i).mean()) / max(1e-3, (grades > i).mean())) for i in range(k)]
+    point = (np.zeros(n_features), np.concatenate((share[:1], np.maximum(np.diff(share), 0.1))))
+    ahead, momentum, rate = point, 1.0, 1 / (0.25 * (top + k) + l2)
     for _ in range(steps):
-        theta = np.concatenate(([first], first + np.cumsum(np.exp(gaps))))
-        eta = np.bincount(owner, w[flat], n)
+        w, g = ahead
+        theta, eta = np.cumsum(g), times(w)
         upper = np.where(grades < k, sig(theta[np.minimum(grades, k - 1)] - eta), 1.0)
         lower = np.where(grades > 0, sig(theta[np.maximum(grades - 1, 0)] - eta), 0.0)
         p = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / p / n, lower * (1 - lower) / p / n
-        g_eta = du - dl
-        g_theta = np.zeros(k)
-        np.add.at(g_theta, np.minimum(grades, k - 1), -du * (grades < k))
-        np.add.at(g_theta, np.maximum(grades - 1, 0), dl * (grades > 0))
-        g_w = np.bincount(flat, g_eta[owner], n_features) + l2 * w
-        tail = np.cumsum(g_theta[::-1])[::-1]
-        g_t = np.concatenate(([tail[0]], tail[1:] * np.exp(gaps)))
-        hist[0] += g_w**2
-        hist[1] += g_t**2
-        rate = 0.5 / np.sqrt(hist[0])
-        w = w - rate * g_w
+        slope = np.bincount(np.minimum(grades, k - 1), -du, k) + np.bincount(np.maximum(grades - 1, 0), dl, k)
+        w = w - rate * (back(du - dl) + l2 * w)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
-        step = 0.3 / np.sqrt(hist[1]) * g_t
-        first, gaps = first - step[0], gaps - step[1:]
-    return w, np.concatenate(([first], first + np.cumsum(np.exp(gaps)))).tolist()
+        g = g - rate * np.cumsum(slope[::-1])[::-1]
+        g[1:] = np.maximum(g[1:], 0.05)
+        after = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+        pull = (momentum - 1) / after
+        ahead = (w + pull * (w - point[0]), g + pull * (g - point[1]))
+        point, momentum = (w, g), after
+    return point[0] * scale, np.cumsum(point[1]).tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
@@ -92,11 +110,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
     def make():
         def run(texts):
-            return {"features": [sorted(text_features(t)) for t in texts], "n": [len(words_of(t or "")) for t in texts]}
+            got = [text_features(t) for t in texts]
+            return {"features": [list(g) for g in got], "counts": [list(g.values()) for g in got]}
 
         return run
 
-    got = append_columns(sample, make, [T.StructField("features", T.ArrayType(T.StringType())), T.StructField("n", T.LongType())])
+    got = append_columns(sample, make, [T.StructField("features", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
     # Two passes over the sample keep the driver small: counts first, then only the features that stay.
     per = got.select(label, F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col(label) == 1).alias("bad"), F.count_if(F.col(label) == 0).alias("good"))
     sizes = {r[label]: r["c"] for r in got.groupBy(label).agg(F.count(F.lit(1)).alias("c")).collect()}
@@ -107,15 +126,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     kept = kept.orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("bad") + F.col("good"))), "f").limit(MOST_FEATURES).collect()
     index = {r["f"]: i for i, r in enumerate(kept)}
     strong = {r["f"] for r in kept if r["odds"] > 0}
-    names = F.array(*[F.lit(f) for f in sorted(index)]) if index else F.array().cast("array<string>")
-    small = got.select(label, "n", F.array_intersect("features", names).alias("features")).collect()
-    share = [sum(f in strong for f in r["features"]) / max(1, r["n"]) for r in small]
-    median = float(np.median([s for s, r in zip(share, small, strict=True) if r[label] == 1]))
-    grades = np.array([0 if r[label] == 0 else 2 if s >= median and s > 0 else 1 for s, r in zip(share, small, strict=True)])
+    spread = got.select(id_col, F.explode(F.map_from_arrays("features", "counts")).alias("f", "c"))
+    chosen = spread.filter(F.col("f").isin(sorted(index))) if index else spread.limit(0)
+    lists = F.collect_list(F.struct("f", "c")).alias("features")  # at most MOST_FEATURES per row
+    small = got.select(id_col, label).join(chosen.groupBy(id_col).agg(lists), id_col, "left").orderBy(id_col).collect()
+    found = [sorted((index[x["f"]], x["c"], x["f"]) for x in r["features"] or []) for r in small]
+    strong = frozenset(strong)
+
+    def mark():
+        def run(texts):
+            words = [set(words_of((t or "").lower())) for t in texts]
+            return {"hits": [sum(not strong.isdisjoint(word_features(w)) for w in ws) for ws in words]}
+
+        return run
+
+    marked = append_columns(sample.select(id_col, "text"), mark, [T.StructField("hits", T.LongType())]).select(id_col, "hits")
+    hits = dict(marked.collect())
+    grades = np.array([0 if r[label] == 0 else 2 if hits[r[id_col]] >= SEVERE_WORDS else 1 for r in small])
     if grades.max() < 2:
         grades[np.flatnonzero(grades == 1)[:1]] = 2
-    rows = [np.array([index[f] for f in r["features"]], np.int64) for r in small]
-    w, thetas = fit_cumulative_link(rows, grades, max(1, len(index)))
+    rows = [np.array([i for i, _, _ in fs], np.int64) for fs in found]
+    values = [np.array([weigh(c) for _, c, _ in fs]) for fs in found]
+    w, thetas = fit_cumulative_link(rows, values, grades, max(1, len(index)))
     return OrdinalModel({f: float(w[i]) for f, i in index.items() if w[i]}, thetas)
 
 
@@ -139,8 +171,8 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", out_col:
             return got
 
         def eta(text: str | None) -> float:
-            present = {f for fs in map(known, set(words_of((text or "").lower()))) for f in fs}
-            return sum(sorted(map(weight, present)))
+            present = Counter(f for fs in map(known, set(words_of((text or "").lower()))) for f in fs)
+            return sum(sorted(weight(f) * weigh(c) for f, c in present.items()))
 
         return lambda texts: {out_col: [model.severity(eta(t)) for t in texts]}
 
