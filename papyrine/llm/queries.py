@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import fold, table
+from papyrine.llm.common import fold, fresh_path, table
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -41,6 +41,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyrine.llm import warc
+
+    path = fresh_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    found = warc.read_summaries(spark, path)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyrine.llm import langid
 
@@ -58,9 +67,38 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, perspective, segment, start_char, rendered and mask ("start-end" spans, comma-joined)."""
+    from papyrine.llm import chat
+
+    found = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return found.withColumn("mask", F.array_join(spans, ","))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyrine.llm import decontaminate
+
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+OP5_SQL = """
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
+g as (select *, max(page_id) over (partition by h) as head from p)
+select page_id, cast(strlen(h) as bigint) as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + cast((cast(('0x' || substr(d, cast(5 * (i // 4) as int) + 1, 5)) as bigint) >> cast(15 - 5 * (i % 4) as bigint)) & 31 as int), 1)), '') as payload_digest,
+       case when page_id = head then 'response' else 'revisit' end as record_type,
+       case when page_id <> head then head end as refers_to
+from g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from papyrine.llm import chat, decontaminate
+
+    return {"op5_warc": OP5_SQL, "op7_chat": chat.ORACLE, "op10_decontaminate": decontaminate.oracle()}
