@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.llm.common import materialise
+
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 24
@@ -73,8 +75,12 @@ def least_overlap(m: Column, similarity: float) -> Column:
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): the best window of every contaminated (document, item)."""
     source = docs.select(F.col(id_col).alias("doc_id"), word_array(F.col(text_col)).alias("words"))
-    known = items.select(F.col(item_id).alias("item_id"), word_array(F.col(item_text)).alias("item_words")).filter("size(item_words) > 0").dropDuplicates(["item_id", "item_words"])
+    known = items.select(F.col(item_id).alias("item_id"), word_array(F.col(item_text)).alias("item_words")).filter("size(item_words) > 0").distinct()
     known = known.withColumns({"n": F.size("item_words"), "k": F.least(F.size("item_words"), F.lit(words))})
+    own = F.coalesce(*[F.when(F.col("k") == k, shingle_array("item_words", k)) for k in range(1, words + 1)])
+    known = materialise(known.select("item_id", "n", "k", own.alias("own")), "items")
+    counts = F.expr("transform(array_distinct(own), h -> struct(h, size(filter(own, x -> x = h)) as c))")
+    known = materialise(known.withColumns({"m": F.size("own"), "item_fp": fingerprint("own"), "counts": counts}), "items")
     sizes = sorted(r["k"] for r in known.select("k").distinct().collect())  # at most `words` numbers
     found = None
     for k in sizes or [words]:
@@ -84,42 +90,46 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     return found.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r")
 
 
-def _find(source: DataFrame, known: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
-    known = known.select("item_id", "n", shingle_array("item_words", k).alias("own")).withColumn("m", F.size("own"))
+def _hits(source: DataFrame, k: int, most: int, wanted: str) -> DataFrame:
+    """(doc_id, h, p, total, low, region) of every shingle for which ``wanted`` holds; region: the hashes within ``most`` of it.
+
+    One expression does it all: words and hashes are bound as lambda variables, so the optimiser
+    cannot copy the splitting of a text into a loop over its words.
+    """
+    hit = "struct(x.h as h, x.i as p, size(a) as total, greatest(x.i - {m} + 1, 0) as low, slice(a, greatest(x.i - {m} + 1, 0) + 1, 2 * {m}) as region)".format(m=most)
+    found = f"transform(filter(transform(a, (h, i) -> struct(h, i)), x -> {wanted}), x -> {hit})"
+    hashes = f"case when size(w) >= {k} then transform(sequence(0, size(w) - {k}), i -> xxhash64(slice(w, i + 1, {k}))) else cast(array() as array<bigint>) end"
+    bound = F.expr(f"flatten(transform(array(words), w -> flatten(transform(array({hashes}), a -> {found}))))")
+    return source.select("doc_id", F.explode_outer(bound).alias("x")).filter("x is not null").select("doc_id", "x.*")
+
+
+def _find(docs: DataFrame, known: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
     flat = known.select("item_id", "m", F.explode("own").alias("h"))
     spread = flat.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
     rarest = Window.partitionBy("item_id").orderBy("f", "h")
     anchors = flat.join(spread, "h").withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= F.col("m") - least_overlap(F.col("m"), similarity) + 1).select("h", "item_id").distinct()
     literal = anchors.select("h").distinct().limit(MOST_LITERALS + 1).collect()
-    shingled = source.select("doc_id", shingle_array("words", k).alias("all"))
-    if len(literal) <= MOST_LITERALS:
-        values = ", ".join(f"{r['h']}L" for r in literal) or "null"
-        hits = shingled.withColumn("hits", F.expr(f"filter(transform(all, (h, i) -> struct(h, i)), x -> x.h in ({values}))".replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")))
-        hits = hits.filter("size(hits) > 0").select("doc_id", "all", F.explode("hits").alias("x")).select("doc_id", "all", "x.h", F.col("x.i").alias("p"))
-    else:
-        hits = shingled.select("doc_id", "all", F.posexplode("all").alias("p", "h"))
+    most = known.agg(F.max("m")).first()[0] or 1
+    few = len(literal) <= MOST_LITERALS
+    values = ", ".join(f"{r['h']}L" for r in literal).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)") or "null"
+    hits = _hits(docs, k, most, f"x.h in ({values})" if few else "true")
     small = known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    hint = F.broadcast if small else (lambda d: d)
+    hint = F.broadcast if few and small else (lambda d: d)
     hits = hits.join(hint(anchors), "h").join(hint(known.select("item_id", "n", "m")), "item_id")
     # A window belongs to the first anchor in it: starts after the one before, so that none is made twice.
-    near = hits.select("doc_id", "item_id", "n", "m", "p", F.greatest(F.col("p") - F.col("m") + 1, F.lit(0)).alias("low"), F.size("all").alias("total"), F.expr("slice(all, greatest(p - m + 1, 0) + 1, 2 * m)").alias("region"))
     last = F.lag("p").over(Window.partitionBy("doc_id", "item_id").orderBy("p"))
-    near = near.withColumn("last", last)
-    starts = "sequence(greatest(low, coalesce(last + 1, 0)), least(p, total - m))"
-    near = near.filter("greatest(low, coalesce(last + 1, 0)) <= least(p, total - m)")
-    windows = near.select("doc_id", "item_id", "n", "m", "low", "region", F.explode(F.expr(starts)).alias("start_word"))
+    first = F.greatest(F.col("p") - F.col("m") + 1, F.coalesce(last + 1, F.lit(0)), F.lit(0))
+    near = hits.withColumns({"first": first, "until": F.least("p", F.col("total") - F.col("m"))}).filter("first <= until")
+    windows = near.select("doc_id", "item_id", "n", "m", "low", "region", F.explode(F.sequence("first", "until")).alias("start_word"))
     windows = windows.select("doc_id", "item_id", "n", "start_word", F.expr("slice(region, start_word - low + 1, m)").alias("win"))
     windows = windows.withColumn("fp", fingerprint("win"))
-    index = known.select("item_id", "own", "m", fingerprint("own").alias("item_fp"))
-    blocks = index.select(F.col("item_id"), F.col("item_fp"), F.inline(_blocks(F.col("item_fp"), radius)))
+    blocks = known.select("item_id", "item_fp", F.inline(_blocks(F.col("item_fp"), radius)))
     keyed = windows.select("doc_id", "item_id", "n", "start_word", "win", "fp", F.inline(_blocks(F.col("fp"), radius)))
-    near = keyed.join(hint(blocks), ["item_id", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.groupBy("doc_id", "item_id", "start_word", "n").agg(F.first("win").alias("win"))
-    counts = index.select("item_id", "m", F.expr("transform(array_distinct(own), h -> struct(h, size(filter(own, x -> x = h)) as c))").alias("counts"))
-    near = near.join(hint(counts), "item_id")
+    close = keyed.join(hint(blocks), ["item_id", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    close = close.groupBy("doc_id", "item_id", "start_word", "n").agg(F.first("win").alias("win")).join(hint(known.select("item_id", "m", "counts")), "item_id")
     shared = F.expr("aggregate(counts, 0, (acc, e) -> acc + least(e.c, size(filter(win, x -> x = e.h))))")
-    near = near.withColumn("similarity", shared / (2 * F.col("m") - shared))
-    return near.filter(F.col("similarity") >= similarity - 1e-12).select("doc_id", "item_id", "start_word", F.col("n").alias("n_words"), "similarity")
+    close = close.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (2 * F.col("m") - F.col("shared")))
+    return close.filter(F.col("similarity") >= similarity - 1e-12).select("doc_id", "item_id", "start_word", F.col("n").alias("n_words"), "similarity")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
