@@ -76,15 +76,24 @@ class QdaModel:
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", shrink: float = SHRINK) -> QdaModel:
-    """Class sums over every labelled row of ``docs`` (joined on the id)."""
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(labels.select(id_col, label).filter(F.col(label).isin(0, 1)), id_col).select(F.col(label).cast("int").alias("y"), "text")
+def describe(docs: DataFrame, text_col: str = "text", out_col: str = "stats") -> DataFrame:
+    """Append the statistics of every whole text."""
+
+    def make():
+        return lambda texts: {out_col: [[float(x) for x in statistics(t)] for t in texts]}
+
+    return append_columns(docs, make, [T.StructField(out_col, T.ArrayType(T.DoubleType()))], text_col)
+
+
+def fit(described: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", shrink: float = SHRINK) -> QdaModel:
+    """Class sums over every labelled row; only the short statistics are joined to the labels, never the texts."""
+    rows = described.select(id_col, "stats").join(labels.select(id_col, label).filter(F.col(label).isin(0, 1)), id_col).select(F.col(label).cast("int").alias("y"), "stats")
     d = len(NAMES)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {}
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, d)
+            x = batch.column(1).flatten().to_numpy().reshape(-1, d)
             y = batch.column(0).to_numpy(zero_copy_only=False)
             for c in (0, 1):
                 part = x[y == c]
@@ -120,14 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     return QdaModel(centre, scale, means, factors, offsets)
 
 
-def score(docs: DataFrame, model: QdaModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """Append the probability of label 1 for every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
+def score(described: DataFrame, model: QdaModel, out_col: str = "score") -> DataFrame:
+    """Append the probability of label 1 to rows that ``describe`` has described."""
+    shared = described.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
 
     def make():
-        def run(texts):
-            return {out_col: shared.value.scores(np.array([statistics(t) for t in texts]).reshape(-1, len(NAMES))).tolist()}
-
-        return run
+        return lambda rows: {out_col: shared.value.scores(np.array(rows, float).reshape(-1, len(NAMES))).tolist()}
 
-    return append_columns(docs, make, [T.StructField(out_col, T.DoubleType())], text_col)
+    return append_columns(described, make, [T.StructField(out_col, T.DoubleType())], "stats")

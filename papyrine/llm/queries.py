@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import fold, fresh_path, table
+from papyrine.llm.common import fold, fresh_path, materialise, table
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -35,9 +35,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyrine.llm import quality
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    described = materialise(quality.describe(docs).select("doc_id", "stats"), "quality")
     held = fold("doc_id", 3) == 1
-    model = quality.fit(docs.filter(~held), table(spark, sf_dir, "labels"))
-    found = quality.score(docs, model)
+    model = quality.fit(described.filter(~held), table(spark, sf_dir, "labels"))
+    found = quality.score(described, model)
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
