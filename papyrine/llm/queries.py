@@ -42,6 +42,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from papyrine.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyrine.llm import warc
 
