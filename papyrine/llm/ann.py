@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from papyrine.llm.common import materialise, release
 
 DEGREE = 28
-SAMPLE = 14
-PASS_ON = 6
-ROUNDS = 5
+SAMPLE = 16
+PASS_ON = 8
+ROUNDS = 6
 TREES = 4
 BLOCK = 256
-BEAM = 128
-EXPAND = 32
+BEAM = 320
+EXPAND = 80
 HOPS = 12
 ROWS_AT_ONCE = 200_000
 EDGE = "node long, nbr long, score float"
@@ -227,11 +227,30 @@ def _scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "q long, node long, score double")
 
 
-def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
-    """(q, node, score) of the best nodes found for every node in ``queries`` (column q)."""
+def _guessed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(q, node, score) in half precision: each query's vector travels once, beside those of its candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 20_000):
+            q, node, own = (rows[c].to_numpy(zero_copy_only=False) for c in ("q", "node", "own"))
+            x, score = _matrix(rows["half"]), np.zeros(len(q), np.float32)
+            cuts = _bounds(q)
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                mine = begin + int(np.flatnonzero(own[begin:end])[0])
+                score[begin:end] = x[begin:end] @ x[mine]
+            keep = ~own
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (q, node, score)], names=["q", "node", "score"])
+
+    cells = pairs.join(nodes.select("node", "half"), "node").select("q", "node", "half", F.lit(False).alias("own"))
+    asked = pairs.select("q").distinct().join(nodes.select(F.col("node").alias("q"), "half"), "q").select("q", F.col("q").alias("node"), "half", F.lit(True).alias("own"))
+    return cells.unionByName(asked).repartition("q").sortWithinPartitions("q").mapInArrow(run, "q long, node long, score float")
+
+
+def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, keep: int, beam: int = BEAM) -> DataFrame:
+    """(q, node, score) of the best ``keep`` nodes found for every node in ``queries`` (column q), scores in double precision."""
     back = graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "score")
     near = materialise(_keep_best(graph.unionByName(back), 2 * DEGREE).select(F.col("node").alias("at"), F.col("nbr").alias("node")), "walk")
-    state = materialise(_scored(queries.select("q", F.col("q").alias("node")), nodes).withColumn("seen", F.lit(False)), "state")
+    state = materialise(_guessed(queries.select("q", F.col("q").alias("node")), nodes).withColumn("seen", F.lit(False)), "state")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "node")
     for _ in range(HOPS):
         ranked = state.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam)
@@ -243,10 +262,11 @@ def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: i
             release(nodes.sparkSession, step)
             break
         fresh = moves.join(near, "at").select("q", "node").distinct().join(step.select("q", "node"), ["q", "node"], "left_anti")
-        new = materialise(step.drop("go").unionByName(_scored(fresh, nodes).withColumn("seen", F.lit(False))), "state")
+        new = materialise(step.drop("go").unionByName(_guessed(fresh, nodes).withColumn("seen", F.lit(False))), "state")
         release(nodes.sparkSession, state, step)
         state = new
-    return state.select("q", "node", "score")
+    lead = state.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep).select("q", "node")
+    return _scored(lead, nodes)
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -256,7 +276,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     graph = build_graph(nodes)
     asked = rows.withColumnRenamed("id", id_col).filter(is_query).withColumnRenamed(id_col, "id").distinct()
     asked = materialise(asked.join(nodes.select("node", "vec"), "vec").select("id", F.col("node").alias("q")), "asked")
-    found = search_graph(asked.select("q").distinct(), nodes, graph)
+    found = search_graph(asked.select("q").distinct(), nodes, graph, 2 * k + 24)
     # k + 1 nodes hold k other ids at least (all of them if there are fewer).
     lead = found.withColumn("r", F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1)
     lists = lead.join(members.withColumnRenamed("id", "vec_id"), "node").groupBy("q", "vec_id").agg(F.max("score").alias("score"))
