@@ -2,8 +2,8 @@
 
 For a benchmark item of n words every window of n words of a document is a candidate. Windows are
 compared by SimHash over their word shingles: a window and an item within ``RADIUS`` differing bits
-agree on at least one of ``RADIUS`` + 1 blocks of the fingerprint, so joining on (item, block, value)
-finds all of them; candidates are then verified by exact weighted (multiset) shingle similarity.
+agree on at least one of ``RADIUS`` + 1 blocks of the fingerprint, so probing an index of (block,
+value) keys finds all of them; candidates are then verified by exact weighted (multiset) shingle similarity.
 
 Fingerprints are computed only for windows that can pass: a window of the same size at similarity s
 shares at least ceil(2 m s / (1 + s)) of the item's m shingles, so it holds at least one of any
@@ -62,9 +62,9 @@ def _from_counts(s: Column) -> Column:
 
 
 def _blocks(fp: Column, radius: int) -> Column:
-    """(block, value) pairs of radius + 1 blocks."""
+    """Keys of radius + 1 blocks: the block's number above its value."""
     edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+    return F.array(*[F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).bitwiseOR(F.lit(k << 32)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
 def least_overlap(m: Column, similarity: float) -> Column:
@@ -122,13 +122,14 @@ def _find(docs: DataFrame, known: DataFrame, k: int, similarity: float, radius:
     near = hits.withColumns({"first": first, "until": F.least("p", F.col("total") - F.col("m"))}).filter("first <= until")
     windows = near.select("doc_id", "item_id", "n", "m", "low", "region", F.explode(F.sequence("first", "until")).alias("start_word"))
     windows = windows.select("doc_id", "item_id", "n", "start_word", F.expr("slice(region, start_word - low + 1, m)").alias("win"))
-    windows = windows.withColumn("fp", fingerprint("win"))
-    blocks = known.select("item_id", "item_fp", F.inline(_blocks(F.col("item_fp"), radius)))
-    keyed = windows.select("doc_id", "item_id", "n", "start_word", "win", "fp", F.inline(_blocks(F.col("fp"), radius)))
-    close = keyed.join(hint(blocks), ["item_id", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    close = close.groupBy("doc_id", "item_id", "start_word", "n").agg(F.first("win").alias("win")).join(hint(known.select("item_id", "m", "counts")), "item_id")
+    # Every window knows its item here, so the (block, value) index is probed in the row: no window is
+    # copied per block, and what agrees on no block never gets as far as the verification.
+    index = known.select("item_id", "m", "counts", "item_fp", _blocks(F.col("item_fp"), radius).alias("item_blocks"))
+    windows = windows.join(hint(index), "item_id")
+    near_item = lambda f: F.arrays_overlap(_blocks(f, radius), F.col("item_blocks")) & (F.bit_count(f.bitwiseXOR(F.col("item_fp"))) <= radius)
+    close = windows.filter(F.transform(F.array(fingerprint("win")), near_item)[0])
     shared = F.expr("aggregate(counts, 0, (acc, e) -> acc + least(e.c, size(filter(win, x -> x = e.h))))")
-    close = close.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (2 * F.col("m") - F.col("shared")))
+    close = close.withColumn("similarity", F.transform(F.array(shared), lambda s: s / (2 * F.col("m") - s))[0])
     return close.filter(F.col("similarity") >= similarity - 1e-12).select("doc_id", "item_id", "start_word", F.col("n").alias("n_words"), "similarity")
 
 
