@@ -98,11 +98,21 @@ def _all_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         row = pa.array(np.concatenate(rows))
         gram, mix, first, last, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-        columns = [gram.view(np.int64), mix.view(np.int64), first.astype(np.int32), (last - first).astype(np.int16), (at - first).astype(np.int16)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:2]), ids.take(row), tags.take(row), *map(pa.array, columns[2:])], names=["gram", "mix", "id", "tag", "first", "span", "off"])
-
-
-ANCHOR = "gram long, mix long, id long, tag int, first int, span short, off short"
+        # Copies that meet here already are settled: one stands for them, the rest only carry their
+        # spans on, dealt by place instead of by gram, so that a common line does not fill one task.
+        order = np.lexsort((mix, gram))
+        new = np.concatenate(([True], (gram[order][1:] != gram[order][:-1]) | (mix[order][1:] != mix[order][:-1])))
+        run = np.cumsum(new) - 1
+        copied, settled = np.zeros(len(gram), bool), np.zeros(len(gram), bool)
+        copied[order] = np.bincount(run)[run] > 1
+        settled[order] = ~new
+        spread = (first.astype(np.uint64) + row.to_numpy().astype(np.uint64) * _C[1]) * _C[0]
+        gram = np.where(settled, spread ^ (spread >> np.uint64(29)) ^ gram, gram)
+        columns = [gram.view(np.int64), mix.view(np.int64), first.astype(np.int32), (last - first).astype(np.int16), (at - first).astype(np.int16), copied]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:2]), ids.take(row), tags.take(row), *map(pa.array, columns[2:])], names=["gram", "mix", "id", "tag", "first", "span", "off", "copied"])
+
+
+ANCHOR = "gram long, mix long, id long, tag int, first int, span short, off short, copied boolean"
 VERDICT = ANCHOR + ", known boolean, open boolean"
 
 
@@ -139,7 +149,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch])
-        copies = np.zeros(len(rows), bool)
+        copies = rows["copied"].to_numpy()
         if held is not None:
             rows, copies = pa.concat_tables([held, rows]), np.concatenate((held_copies, copies))
         done, held, held_copies = judge(rows, copies, True)
