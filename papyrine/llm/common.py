@@ -82,3 +82,56 @@ def append_columns(
             yield pa.RecordBatch.from_arrays(arrays, names=names + new)
 
     return df.mapInArrow(run, out_schema)
+
+
+#: Bits of the filter that ``split_by_keys`` broadcasts: 4 MB whatever the number of keys.
+FILTER_BITS = 1 << 25
+
+
+def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that cannot match, rows that may) for the one long column of ``keys``.
+
+    A bitmap of fixed size travels, never the keys; false hits only send a few more rows through the
+    join that follows. So a filter by a small share of the ids does not shuffle every text. Both
+    parts hold all columns of ``df`` and no other. Null keys may match.
+    """
+    import zlib
+
+    import numpy as np
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).drop_null().to_numpy() & (FILTER_BITS - 1)
+            np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bitmap.tobytes(), 1)], pa.binary())], names=["bitmap"])
+
+    spark = df.sparkSession
+    hashed = keys.select(F.xxhash64(keys.columns[0]).alias("h"))
+    merged = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in hashed.coalesce(4).mapInArrow(bits, "bitmap binary").toLocalIterator():
+        merged |= np.frombuffer(zlib.decompress(row["bitmap"]), np.uint8)
+    shared = spark.sparkContext.broadcast(merged)
+    names = df.columns
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bitmap = shared.value
+            for batch in batches:
+                h = batch.column(batch.num_columns - 1)
+                at = h.fill_null(0).to_numpy() & (FILTER_BITS - 1)
+                hit = ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) | h.is_null().to_numpy(zero_copy_only=False)
+                rows = pa.RecordBatch.from_arrays(batch.columns[:-1], names=names)
+                yield rows.filter(pa.array(hit == wanted))
+
+        return run
+
+    tagged = df.withColumn("__key__", F.when(key.isNotNull(), F.xxhash64(key)))
+    return tuple(tagged.mapInArrow(part(w), df.schema) for w in (False, True))
+
+
+def drop_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``gone``; rows with a null id stay."""
+    gone = gone.select(F.col(gone.columns[0]).alias("__gone__")).distinct()
+    clear, maybe = split_by_keys(docs, F.col(id_col), gone)
+    return clear.unionByName(maybe.join(gone, maybe[id_col] == F.col("__gone__"), "left_anti"))

@@ -135,8 +135,8 @@ def _find(docs: DataFrame, known: DataFrame, k: int, similarity: float, radius:
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """Documents in which no item is found; rows with a null id cannot be told apart and stay."""
-    dirty = find(docs, items, id_col=id_col, **settings).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dirty, id_col, "left_anti")
+    dirty = materialise(find(docs, items, id_col=id_col, **settings).select("doc_id").distinct(), "dirty")
+    return docs.join(dirty.withColumnRenamed("doc_id", "__dirty__"), F.col(id_col) == F.col("__dirty__"), "left_anti")
 
 
 def oracle(words: int = WORDS, similarity: float = SIMILARITY) -> str:

@@ -70,7 +70,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyrine.llm import suffix_dedup
 
-    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

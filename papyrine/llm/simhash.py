@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import append_columns, materialise
+from papyrine.llm.common import append_columns, materialise, split_by_keys
 from papyrine.llm.components import connected_components
 
 SEED = 42
@@ -213,3 +213,172 @@ def components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = named.join(heads, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+# Near duplicates by verified similarity ------------------------------------------------------------
+
+#: Tables of paired min-hashes that shard the documents, and the radius searched within a shard. Two
+#: texts of similarity 0.8 miss one table with probability 0.36, all 20 with 1e-9; their fingerprints
+#: differ by 10 bits on average and by more than 20 in fewer than 1 of 1000 cases.
+TABLES = 20
+NEAR_RADIUS = 22
+_MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, size=2 * TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(text: str | None, words: int) -> tuple[int, int, int, int, list[int]]:
+    """(two digests of the shingle set, its size, fingerprint, shard keys)."""
+    from xxhash import xxh64_intdigest
+
+    hashes = shingle_hashes(text, words)
+    distinct = np.unique(hashes)
+    raw = distinct.tobytes()
+    keys = [0] * TABLES
+    if len(distinct):
+        least = np.empty(2 * TABLES, np.uint64)
+        for i, m in enumerate(_MULTIPLIERS):
+            mixed = distinct * m
+            least[i] = (mixed ^ (mixed >> np.uint64(31))).min()
+        pair = least[0::2] * _MULTIPLIERS[0] ^ (least[1::2] * _MULTIPLIERS[1] >> np.uint64(7)) ^ np.arange(TABLES, dtype=np.uint64) * _MULTIPLIERS[2]
+        keys = pair.view(np.int64).tolist()
+    return signed(xxh64_intdigest(raw, 1)), signed(xxh64_intdigest(raw, 2)), len(distinct), signed(fold_bits(hashes)), keys
+
+
+def _candidates(radius: int, similarity: float, everything: bool):
+    """Candidate pairs of each shard (rows come sorted by key: key, node, fp, n, active).
+
+    First every member is held against the leaders of its shard: it goes to the first within reach,
+    or becomes a leader. ``everything``: each active member is held against all members before it.
+    """
+
+    def shard(rows: list[tuple[int, int, int, bool]]) -> Iterator[tuple[int, int]]:
+        tree, where = BKTree(), []
+        for node, fp, n, active in rows:
+            near = (where[i] for i, _ in tree.within(fp, radius))
+            fits = [o for o in near if min(n, o[1]) >= similarity * max(n, o[1]) and o[0] != node]
+            if everything:
+                yield from ((node, o[0]) for o in fits if active or o[2])
+            elif fits:
+                yield node, min(o[0] for o in fits)
+                continue
+            tree.add(fp)
+            where.append((node, n, active))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held = None, []
+
+        def emit(pairs):
+            u, v = zip(*pairs, strict=True) if pairs else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            pairs: list[tuple[int, int]] = []
+            key, node, fp, n, active = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            if not len(key):
+                continue
+            cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows = list(zip(node[begin:end].tolist(), fp[begin:end].view(np.uint64).tolist(), n[begin:end].tolist(), active[begin:end].tolist(), strict=True)) if end - begin > 1 or end == len(key) or key[begin] == held_key else []
+                if key[begin] == held_key:
+                    held += rows
+                    continue
+                if len(held) > 1:
+                    pairs += shard(held)
+                held_key, held = key[begin], rows
+            yield emit(pairs)
+        if len(held) > 1:
+            yield emit(list(shard(held)))
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, ok): the exact similarity of the two shingle sets reaches the threshold."""
+    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
+
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, ok boolean")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group_id): the smallest id of the documents reachable over pairs of ``similarity`` or more.
+
+    Similarity is the exact Jaccard similarity of the sets of word shingles. Texts of equal sets are
+    one node. Nodes are dealt into shards by paired min-hashes; each shard holds a BK-tree of SimHash
+    fingerprints, and what it finds within the radius is verified on the whole sets. A shard first
+    holds members against its leaders only; those of which a pair failed are then held against all,
+    so a large group of near copies costs a pair a member and no link is lost. Texts without words
+    are one group.
+    """
+
+    def make():
+        def run(texts):
+            got = [signature(t, words) for t in texts]
+            return {name: [g[i] for g in got] for i, name in enumerate(("da", "db", "n", "fp", "keys"))}
+
+        return run
+
+    fields = [T.StructField(c, T.LongType()) for c in ("da", "db", "n", "fp")] + [T.StructField("keys", T.ArrayType(T.LongType()))]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = materialise(append_columns(rows, make, fields).drop("text"), "signatures")
+    # A node is named by the smallest id of its set; ids that several sets share get the digest's name.
+    heads = rows.groupBy("da", "db").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
+    heads = materialise(heads.withColumn("node", F.xxhash64("da", "db")), "nodes")
+
+    def candidates(active: DataFrame | None) -> DataFrame:
+        base = heads if active is None else heads.join(active.withColumn("active", F.lit(True)), "node", "left")
+        flag = F.lit(False) if active is None else F.coalesce("active", F.lit(False))
+        keyed = base.filter("n > 0").select(F.explode("keys").alias("key"), "node", "fp", "n", flag.alias("active"))
+        if active is not None:  # only shards that hold an active member
+            keyed = keyed.join(keyed.filter("active").select("key").distinct(), "key", "left_semi")
+        found = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(radius, similarity, active is not None), "u long, v long")
+        return materialise(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+
+    def shingle_sets(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        owners = materialise(heads.join(wanted, "node").select("node", F.col("least").alias("id"), "da", "db"), "owners")
+        _, maybe = split_by_keys(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), F.col("id"), owners.select("id"))
+
+        def sets():
+            def run(texts):
+                from xxhash import xxh64_intdigest
+
+                found = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts]
+                return {"shingles": found, "da": [signed(xxh64_intdigest(f, 1)) for f in found]}
+
+            return run
+
+        made = append_columns(maybe, sets, [T.StructField("shingles", T.BinaryType()), T.StructField("da", T.LongType())]).select("id", "da", "shingles")
+        return materialise(made.join(owners.select("node", "id", "da"), ["id", "da"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
+
+    pairs = candidates(None)
+    judged = materialise(_verified(pairs, shingle_sets(pairs), similarity), "judged")
+    failed = judged.filter("not ok")
+    active = failed.select(F.col("u").alias("node")).unionByName(failed.select(F.col("v").alias("node"))).distinct()
+    rest = candidates(materialise(active, "active")).join(judged.select("u", "v"), ["u", "v"], "left_anti")
+    rest = materialise(rest, "pairs")
+    judged = judged.unionByName(_verified(rest, shingle_sets(rest), similarity))
+    roots = connected_components(judged.filter("ok").select("u", "v"))
+    named = materialise(heads.join(roots, "node", "left").select("da", "db", "least", F.coalesce("root", "node").alias("root")), "roots")
+    groups = named.groupBy("root").agg(F.min("least").alias("group_id"))
+    of_set = named.join(groups, "root").select("da", "db", "group_id")
+    return rows.join(of_set, ["da", "db"]).select(F.col("id").alias(id_col), "group_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id (a row that repeats is kept once)."""
+    found = materialise(near_duplicates(docs, id_col=id_col, **settings), "groups")
+    kept = found.groupBy("group_id").agg(F.count_if(F.col(id_col) == F.col("group_id")).alias("c"))
+    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("group_id"))).select(F.col(id_col).alias("id"))
+    twice = kept.filter("c > 1").select(F.col("group_id").alias("id"))
+    clear, maybe = split_by_keys(docs, F.col(id_col), gone.unionByName(twice))
+    left = maybe.join(gone.distinct(), maybe[id_col] == F.col("id"), "left_anti").dropDuplicates([id_col])
+    return clear.unionByName(left)

@@ -22,15 +22,15 @@ not a text stay apart; an empty table gives none.
 """
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from papyrine.llm.common import materialise, whole_text
+from papyrine.llm.common import materialise, split_by_keys, whole_text
 
 LENGTH = 200
 K = 64
@@ -316,44 +316,71 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = rows.repartition("gram").sortWithinPartitions("gram", "mix").mapInArrow(_groups, VERDICT)
     judged = materialise(judged, "anchors")
     known = judged.filter("known").select("id", "tag", F.col("first").alias("begin"), F.expr(f"cast(first + span + {LENGTH} as int)").alias("end"))
-    opened = judged.filter("open").groupBy("id", "tag").agg(F.collect_list(F.struct("gram", "first", "span", "off")).alias("found"))
-    packed = keyed.filter(F.length("raw") >= LENGTH).mapInArrow(_packed, "id long, tag int, packed binary").dropDuplicates(["id", "tag"])
+    opened = materialise(judged.filter("open").groupBy("id", "tag").agg(F.collect_list(F.struct("gram", "first", "span", "off")).alias("found")), "open")
+    long = keyed.filter(F.length("raw") >= LENGTH)
+    _, maybe = split_by_keys(long, F.xxhash64("id", "tag"), opened.select(F.xxhash64("id", "tag").alias("key")))
+    packed = maybe.mapInArrow(_packed, "id long, tag int, packed binary").dropDuplicates(["id", "tag"])
     on = packed["id"].eqNullSafe(opened["id"]) & (packed["tag"] == opened["tag"])
     contexts = packed.join(opened, on).select(opened["id"], opened["tag"], "packed", "found").mapInArrow(_contexts, "gram long, off short, id long, tag int, first int, context binary")
     found = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_suffix_sort, "id long, tag int, begin int, end int")
     return materialise(known.unionByName(found), "spans")
 
 
-def _remove(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns: ..., raw, spans. Replaces raw by the bytes that remain and adds what was removed."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        for row in batch.to_pylist():
-            raw = unpack(row["packed"]) if row["packed"] else b""
-            spans = merge_spans([(s["begin"], s["end"]) for s in row["spans"] or []])
-            kept, at = [], 0
+        n = batch.num_columns - 2
+        kept, removed, runs = [], [], []
+        for raw, found in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
+            spans = merge_spans([(s["begin"], s["end"]) for s in found or []])
+            parts, at = [], 0
             for begin, end in spans:
-                kept.append(raw[at:begin])
+                parts.append(raw[at:begin])
                 at = end
-            rest = b"".join([*kept, raw[at:]])
-            row_out = [row["id"], len(raw), sum(e - b for b, e in spans), len(spans), hashlib.sha256(rest).hexdigest(), rest if keep_text else None]
-            for column, value in zip(out, row_out, strict=True):
-                column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kept.append(b"".join([*parts, raw[at:]]))
+            removed.append(sum(e - b for b, e in spans))
+            runs.append(len(spans))
+        arrays = [*batch.columns[:n], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:n], "__kept__", "__removed__", "__runs__"])
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row; ``kept`` (bytes) only with ``keep_text``."""
-    spans = repeated_spans(docs, id_col, text_col)
-    per = spans.distinct().groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    packed = _keyed(docs, id_col, text_col).mapInArrow(_packed, "id long, tag int, packed binary")
-    on = packed["id"].eqNullSafe(per["id"]) & (packed["tag"] == per["tag"])
-    both = packed.join(per, on, "left").select(packed["id"], "packed", "spans")
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the columns __kept__ (the remaining bytes), __removed__ (bytes) and __runs__ in place of the text.
 
-    def run(batches):
-        return _remove(batches, keep_text)
-
-    return both.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
+    Only documents that have a span are shuffled, next to their spans; the rest pass.
+    """
+    spans = repeated_spans(docs, id_col, text_col)
+    per = materialise(spans.distinct().groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    text = whole_text(text_col)
+    rows = docs.withColumns({"__tag__": F.hash(text), "__raw__": text.cast("binary")}).drop(text_col)
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col("__tag__"))
+    clear, maybe = split_by_keys(rows, key, per.select(F.xxhash64("id", "tag").alias("key")))
+    on = maybe[id_col].cast("long").eqNullSafe(per["id"]) & (maybe["__tag__"] == per["tag"])
+    others = [maybe[c] for c in rows.columns if c not in ("__tag__", "__raw__")]
+    joined = maybe.join(per, on, "left").select(*others, maybe["__raw__"], per["spans"])
+    names = [c for c in rows.columns if c not in ("__tag__", "__raw__")]
+    out = T.StructType([*(rows.schema[c] for c in names), T.StructField("__kept__", T.BinaryType()), T.StructField("__removed__", T.LongType()), T.StructField("__runs__", T.LongType())])
+    zero = F.lit(0).cast("long")
+    return joined.mapInArrow(_strip, out).unionByName(clear.select(*names, F.col("__raw__").alias("__kept__"), zero.alias("__removed__"), zero.alias("__runs__")))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) per row."""
+    left = strip_repeats(docs.select(id_col, text_col), id_col, text_col)
+    size = F.octet_length("__kept__").cast("long") + F.col("__removed__")
+    return left.select(id_col, size.alias("n_bytes"), F.col("__removed__").alias("n_removed"), F.col("__runs__").alias("n_spans"), F.sha2("__kept__", 256).alias("kept_sha256"))
+
+
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated bytes removed from the text; a character that loses some of its bytes goes whole."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("__kept__")
+            text = pa.array([raw.decode(errors="ignore") for raw in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], text], names=[*batch.schema.names[:at], text_col])
+
+    left = strip_repeats(docs, id_col, text_col).drop("__removed__", "__runs__")
+    names = [c for c in docs.columns if c != text_col]
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(text_col, T.StringType())])
+    return left.select(*names, "__kept__").mapInArrow(whole, schema).select(*docs.columns)
