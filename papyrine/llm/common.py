@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
+#: Rows of texts that a worker turns into Python strings at once.
+ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,7 +77,7 @@ def append_columns(
         from pyspark.sql.pandas.types import to_arrow_type
 
         apply, types = make(), [to_arrow_type(f.dataType) for f in fields]
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             got = apply(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
             arrays += [pa.array(got[n], type=t) for n, t in zip(new, types, strict=True)]

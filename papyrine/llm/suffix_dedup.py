@@ -38,10 +38,18 @@ WINDOW = LENGTH - K + 1
 #: Low bits of an anchor's order that hold its position: texts up to 256 MB.
 POSITION_BITS = 28
 #: Context bytes suffix-sorted at once in a task (whole groups, so a larger group is taken alone).
-SORT_BYTES = 24 << 20
+SORT_BYTES = 6 << 20
+#: Rows of texts taken out of an Arrow batch at once.
+ROWS = 500
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _grams(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all strings of K and of 2 K bytes, by doubling."""
     h = (text.astype(np.uint64) + np.uint64(1)) * _C[0]
@@ -87,7 +95,7 @@ def anchors(raw: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _all_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _pieces(batches):
         ids, tags = batch.column(0), batch.column(1)
         rows, parts = [], []
         for i, raw in enumerate(batch.column(2).to_pylist()):
@@ -269,7 +277,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
-    for batch in batches:
+    for batch in _pieces(batches):
         columns = [*batch.columns[:-1], pa.array([pack(raw) for raw in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
@@ -278,7 +286,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in _pieces(batches):
         out: dict[str, list] = {"gram": [], "off": [], "id": [], "tag": [], "first": [], "context": []}
         for row in batch.to_pylist():
             raw = unpack(row["packed"])
@@ -328,7 +336,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns: ..., raw, spans. Replaces raw by the bytes that remain and adds what was removed."""
-    for batch in batches:
+    for batch in _pieces(batches):
         n = batch.num_columns - 2
         kept, removed, runs = [], [], []
         for raw, found in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
