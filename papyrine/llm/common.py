@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
-#: Rows of texts that a worker turns into Python strings at once.
-ROWS = 2000
+#: Rows of texts that travel to a worker in one Arrow batch: both sides hold a batch outside the heap.
+ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +46,25 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of what follows; a smaller setting of the user's stands."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
+def rebatch(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Join batches of short rows, so that vectorised steps have enough of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,6 +87,7 @@ def append_columns(
     ``make`` runs once per task and returns the function applied to each batch of texts. New
     columns replace input columns of the same name (case-insensitive, as Spark resolves names).
     """
+    small_batches(df.sparkSession)
     taken = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
     out_schema = T.StructType([*kept, *fields])
@@ -103,12 +123,13 @@ def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFram
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in batches:
+        for batch in rebatch(batches):
             at = batch.column(0).drop_null().to_numpy() & (FILTER_BITS - 1)
             np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bitmap.tobytes(), 1)], pa.binary())], names=["bitmap"])
 
     spark = df.sparkSession
+    small_batches(spark)
     hashed = keys.select(F.xxhash64(keys.columns[0]).alias("h"))
     merged = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in hashed.coalesce(4).mapInArrow(bits, "bitmap binary").toLocalIterator():

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import append_columns, materialise, split_by_keys
+from papyrine.llm.common import append_columns, materialise, rebatch, split_by_keys
 from papyrine.llm.components import connected_components
 
 SEED = 42
@@ -164,7 +164,7 @@ def _scan_runs(radius: int):
             return pa.RecordBatch.from_arrays(arrays, names=["u", "v"])
 
         held_key, held = None, []
-        for batch in batches:
+        for batch in rebatch(batches):
             key = batch.column(0).to_numpy()
             fp = batch.column(1).to_numpy().view(np.uint64)
             if not len(key):
@@ -270,7 +270,7 @@ def _candidates(radius: int, similarity: float, everything: bool):
             u, v = zip(*pairs, strict=True) if pairs else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        for batch in batches:
+        for batch in rebatch(batches):
             pairs: list[tuple[int, int]] = []
             key, node, fp, n, active = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(key):

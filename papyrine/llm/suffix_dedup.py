@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import materialise, split_by_keys, whole_text
+from papyrine.llm.common import materialise, rebatch, small_batches, split_by_keys, whole_text
 
 LENGTH = 200
 K = 64
@@ -38,7 +38,7 @@ WINDOW = LENGTH - K + 1
 #: Low bits of an anchor's order that hold its position: texts up to 256 MB.
 POSITION_BITS = 28
 #: Context bytes suffix-sorted at once in a task (whole groups, so a larger group is taken alone).
-SORT_BYTES = 6 << 20
+SORT_BYTES = 2 << 20
 #: Rows of texts taken out of an Arrow batch at once.
 ROWS = 500
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -153,7 +153,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra = pa.table({**{c: rows[c].take(pa.array(spare)) for c in rows.column_names}, "known": pa.array(np.ones(len(spare), bool)), "open": pa.array(np.zeros(len(spare), bool))})
         return pa.concat_tables([done, extra]), rows.take(pa.array(tail)), known[tail]
 
-    for batch in batches:
+    for batch in rebatch(batches):
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch])
@@ -319,6 +319,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tag, begin, end) of repeated byte ranges; they may overlap. ``tag`` tells texts under one id apart."""
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     rows = keyed.filter(F.length("raw") >= LENGTH).mapInArrow(_all_anchors, ANCHOR)
     judged = rows.repartition("gram").sortWithinPartitions("gram", "mix").mapInArrow(_groups, VERDICT)
@@ -365,7 +366,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     clear, maybe = split_by_keys(rows, key, per.select(F.xxhash64("id", "tag").alias("key")))
     on = maybe[id_col].cast("long").eqNullSafe(per["id"]) & (maybe["__tag__"] == per["tag"])
     others = [maybe[c] for c in rows.columns if c not in ("__tag__", "__raw__")]
-    joined = maybe.join(per, on, "left").select(*others, maybe["__raw__"], per["spans"])
+    joined = maybe.join(per, on, "left").select(*others, maybe["__raw__"], per["spans"].alias("__spans__"))
     names = [c for c in rows.columns if c not in ("__tag__", "__raw__")]
     out = T.StructType([*(rows.schema[c] for c in names), T.StructField("__kept__", T.BinaryType()), T.StructField("__removed__", T.LongType()), T.StructField("__runs__", T.LongType())])
     zero = F.lit(0).cast("long")

@@ -27,8 +27,9 @@ from papyrine.llm.sampling import labelled_sample
 
 PER_CLASS = 2500
 PREFIXES = (3, 4, 5, 6, 7, 8)
-#: A feature enters the model if so many sampled texts have it and its log-odds are that far from 0.
-LEAST_TEXTS, LEAST_ODDS = 8, 2.0
+#: A feature enters the model if that share of the sampled texts has it (3 texts at least) and its
+#: log-odds are that far from 0.
+LEAST_SHARE, LEAST_ODDS = 0.003, 2.0
 MOST_FEATURES = 4000
 SEVERE_WORDS = 3
 REJECT_AT = 0.5
@@ -122,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     if len(sizes) < 2:
         return OrdinalModel({}, [50.0, 51.0])
     odds = F.log((F.col("bad") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("good") + 0.5) / (sizes[0] + 1.0))
-    kept = per.filter(F.col("bad") + F.col("good") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.abs("odds") >= LEAST_ODDS)
+    least = max(3, round(LEAST_SHARE * sum(sizes.values())))
+    kept = per.filter(F.col("bad") + F.col("good") >= least).withColumn("odds", odds).filter(F.abs("odds") >= LEAST_ODDS)
     kept = kept.orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("bad") + F.col("good"))), "f").limit(MOST_FEATURES).collect()
     index = {r["f"]: i for i, r in enumerate(kept)}
     strong = {r["f"] for r in kept if r["odds"] > 0}
