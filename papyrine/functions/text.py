@@ -183,7 +183,7 @@ def _only_if(test: Column, udf, c: Column) -> Column:
 
 
 def _lines(c: Column) -> Column:
-    lined = F.regexp_replace(F.translate(F.regexp_replace(c, "\r\n?", "\n"), "\t ", "  "), " {2,}", " ")
+    lined = F.regexp_replace(F.translate(F.regexp_replace(c, "\r\n?", "\n"), "\t\u00a0", "  "), " {2,}", " ")
     lined = F.array_join(F.transform(F.split(lined, "\n"), strip), "\n")
     return strip(F.regexp_replace(lined, "\n{3,}", "\n\n"))
 

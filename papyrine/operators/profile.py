@@ -18,7 +18,7 @@ def _long(df: DataFrame, keys: list[str], values: dict[str, dict[str, Column]],
 
 def null_report(df: DataFrame) -> DataFrame:
     """(columna, nulos, porcentaje) per column, most nulls first."""
-    found = {c: {"nulos": F.count_if(F.col(c).isNull()), "porcentaje": F.round(F.count_if(F.col(c).isNull()) * 100.0 / F.count(F.lit(1)), 2)} for c in df.columns}
+    found = {c: {"nulos": F.count_if(F.col(c).isNull()), "porcentaje": F.round(F.try_divide(F.count_if(F.col(c).isNull()) * 100.0, F.count(F.lit(1))), 2)} for c in df.columns}
     return _long(df, [], found, "columna").orderBy(F.desc("nulos"), "columna")
 
 

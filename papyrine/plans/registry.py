@@ -47,14 +47,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
-_text = F.col("text")
 
 # Profiling -----------------------------------------------------------------------------------------
 
 
 @_query(f"select coalesce(lang, '-') as lang, {S.state('text')} as estado, count(*) as cantidad, avg(length(text)) as largo_promedio from documents group by all")
 def ocr_state(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select(F.coalesce("lang", F.lit("-")).alias("lang"), R.ocr_state(_text).alias("estado"), F.length("text").alias("n"))
+    rows = _docs(spark, sf_dir).select(F.coalesce("lang", F.lit("-")).alias("lang"), R.ocr_state(F.col("text")).alias("estado"), F.length("text").alias("n"))
     return rows.groupBy("lang", "estado").agg(F.count(F.lit(1)).alias("cantidad"), F.avg("n").alias("largo_promedio"))
 
 
@@ -92,7 +91,7 @@ _STATES = ["nulo", "vacio", "texto_muy_corto", "ok"]
 
 @_query(f"select source, {', '.join(f"count(*) filter (estado = '{s}') as {s}" for s in _STATES)} from (select source, {S.state('text')} as estado from documents) group by source")
 def state_crosstab(spark, sf_dir):
-    return profile.crosstab(_docs(spark, sf_dir).select("source", R.ocr_state(_text).alias("estado")), "source", "estado", _STATES)
+    return profile.crosstab(_docs(spark, sf_dir).select("source", R.ocr_state(F.col("text")).alias("estado")), "source", "estado", _STATES)
 
 
 @_query("select lang, count(n_chars) as count, avg(n_chars) as mean, stddev_samp(n_chars) as std, cast(min(n_chars) as double) as min, quantile_cont(n_chars, 0.25) as p25, quantile_cont(n_chars, 0.5) as p50, quantile_cont(n_chars, 0.75) as p75, cast(max(n_chars) as double) as max from documents group by lang")
@@ -159,7 +158,7 @@ def html_patterns(spark, sf_dir):
 @_query(f"select doc_id from documents where {S.state('text')} = 'ok' and lang in ('en', 'es')")
 def target_filter(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return docs.filter(R.is_target(R.ocr_state(_text), F.col("lang"), ("en", "es"))).select("doc_id")
+    return docs.filter(R.is_target(R.ocr_state(F.col("text")), F.col("lang"), ("en", "es"))).select("doc_id")
 
 
 @_query(f"with {CTE} select id, case when {S.any_of('lower(texto)', ['embargo', 'embargar'])} then 'embargo' when {S.any_of('lower(texto)', ['oficio', 'solicito informe', 'informe si'])} then 'oficio' else 'desconocido' end as tipo from legal")
@@ -169,13 +168,13 @@ def document_type(spark, sf_dir):
 
 # Cleaning ------------------------------------------------------------------------------------------
 
-_LINES = S.replace_all("regexp_replace(translate(translate(coalesce(text, ''), '“”„‘’‚', '\"\"\"''''''''''''), chr(9) || chr(160), '  '), '\r\n?', chr(10), 'g')", [(" {2,}", " "), (r"(?m)^\s*? +| +$", "")])
+_QUOTES = f"translate(coalesce(text, ''), '“”„‘’‚', {S.quote('\"\"\"' + "'''")})"
+_LINES = S.replace_all(f"translate(regexp_replace({_QUOTES}, '\r\n?', chr(10), 'g'), chr(9) || chr(160), '  ')", [(" {2,}", " "), (r"(?m)^ +| +$", "")])
 
 
-@_query(f"select doc_id, {S.strip(S.replace_all(_LINES, [(r'\n{3,}', chr(10) * 2)]))} as texto_limpio from documents where not contains(text, '<') and not contains(text, '&')")
+@_query(f"select doc_id, {S.strip(S.replace_all(_LINES, [(r'\n{3,}', chr(10) * 2)]))} as texto_limpio from documents")
 def clean_text(spark, sf_dir):
-    plain = _docs(spark, sf_dir).filter("not contains(text, '<') and not contains(text, '&')")
-    return plain.select("doc_id", X.clean_legal(_text).alias("texto_limpio"))
+    return _docs(spark, sf_dir).select("doc_id", X.clean_legal(F.col("text")).alias("texto_limpio"))
 
 
 @_query()
@@ -185,15 +184,14 @@ def clean_pages(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", X.clean_legal(html).alias("texto_limpio"), X.html_to_markdown(html).alias("markdown"))
 
 
-@_query(rf"select doc_id, trim(regexp_replace(translate(lower(coalesce(text, '')), '{X.ACCENTED}', '{X.PLAIN}'), '\s+', ' ', 'g')) as clave from documents where not regexp_matches(translate(lower(text), '{X.ACCENTED}', ''), '[^\x00-\x7f]')")
+@_query(rf"select doc_id, trim(regexp_replace(replace(translate(lower(coalesce(text, '')), '{X.ACCENTED}', '{X.PLAIN}'), 'ß', 'ss'), '\s+', ' ', 'g')) as clave from documents")
 def search_norm(spark, sf_dir):
-    latin = _docs(spark, sf_dir).filter(~F.translate(F.lower("text"), X.ACCENTED, "").rlike(r"[^\x00-\x7f]"))
-    return latin.select("doc_id", X.search_key(_text).alias("clave"))
+    return _docs(spark, sf_dir).select("doc_id", X.search_key(F.col("text")).alias("clave"))
 
 
 @_query("select doc_id, '# Documento legal' || chr(10) || chr(10) || '## Metadatos' || chr(10) || chr(10) || '* ID: ' || doc_id || chr(10) || '* Nombre: ' || coalesce(source, '') || chr(10) || '* Clasificación: ' || coalesce(lang, '') || chr(10) || chr(10) || '## Texto limpio' || chr(10) || chr(10) || coalesce(text, '') as markdown from documents")
 def markdown_doc(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", X.markdown_document(F.col("doc_id"), F.col("source"), F.col("lang"), _text).alias("markdown"))
+    return _docs(spark, sf_dir).select("doc_id", X.markdown_document(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("text")).alias("markdown"))
 
 
 @_query("select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by md5('42:' || doc_id), doc_id) as n from documents) where n <= 5")
@@ -365,7 +363,7 @@ def token_chunks(spark, sf_dir):
 @_query(f"select lang, count(*) as cantidad, avg(n) as media, cast(min(n) as int) as minimo, cast(max(n) as int) as maximo, count(*) filter (n > 300) as con_riesgo from (select lang, len({_TOK}) as n from documents) group by lang")
 def token_stats(spark, sf_dir):
     n = F.col("n")
-    rows = _docs(spark, sf_dir).select("lang", chunks.token_count(_text).alias("n"))
+    rows = _docs(spark, sf_dir).select("lang", chunks.token_count(F.col("text")).alias("n"))
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("cantidad"), F.avg(n).alias("media"), F.min(n).alias("minimo"), F.max(n).alias("maximo"), F.count_if(n > 300).alias("con_riesgo"))
 
 
@@ -376,7 +374,7 @@ def short_mid_long(spark, sf_dir):
 
 @_query(rf"select doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')) as palabras_espacio, {S.word_count("coalesce(text, '')")} as palabras from documents")
 def word_counts(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", M.space_word_count(_text).cast("long").alias("palabras_espacio"), M.word_count(_text).cast("long").alias("palabras"))
+    return _docs(spark, sf_dir).select("doc_id", M.space_word_count(F.col("text")).cast("long").alias("palabras_espacio"), M.word_count(F.col("text")).cast("long").alias("palabras"))
 
 
 @_query(f"with {CTE} select id, substr(texto, greatest(strpos(texto, 'DNI') - 1 - 180, 0) + 1, least(length(texto), strpos(texto, 'DNI') + 2 + 180) - greatest(strpos(texto, 'DNI') - 1 - 180, 0)) as contexto from legal")
