@@ -176,8 +176,10 @@ MANUAL_COLUMNS = [
 ]
 REVIEW_STATES = ["pendiente", "bien", "revisar", "corregir"]
 TEXT_COLUMNS = {
-    "selection": ["texto_limpieza_avanzada", "texto_limpio_avanzado", "texto_limpio", "texto_base", "texto_ocr", "texto"],
+    "selection": ["texto_limpieza_avanzada", "texto_limpio", "texto_base", "texto_ocr", "texto_markdown"],
+    "quality": ["texto_limpio", "texto_markdown", "texto_ocr", "texto_original", "descripcion", "Description", "body", "texto"],
     "chunks": ["texto_limpieza_avanzada", "texto_limpio_avanzado", "texto_limpio", "texto_base", "texto", "texto_ocr", "contenido"],
+    "simple": ["texto_limpieza_avanzada", "texto_limpio_avanzado", "texto_limpio", "texto_base", "texto", "contenido"],
     "rich": ["texto_limpieza_avanzada", "texto_limpio", "texto_ocr", "texto_base", "texto_markdown"],
 }
 MARKDOWN = ("# Documento legal\n\n## Metadatos\n\n* ID: ", "\n* Nombre: ", "\n* Clasificación: ", "\n\n## Texto limpio\n\n")

@@ -168,3 +168,8 @@ def short_middle_long(df: DataFrame, column: str, id_col: str) -> DataFrame:
     )
     kinds = F.array(*[F.struct(F.lit(k).alias("caso"), F.col(k)[id_col].alias(id_col), F.col(k)[column].alias(column)) for k in ("corto", "medio", "largo")])
     return picks.select(F.inline(kinds))
+
+
+def by_ids(df: DataFrame, ids: list, id_col: str = "id") -> DataFrame:
+    """Rows whose id, as text, is one of a short list."""
+    return df.filter(F.col(id_col).cast("string").isin([str(i) for i in ids]))

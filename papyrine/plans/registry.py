@@ -11,7 +11,7 @@ from papyrine.functions import metrics as M
 from papyrine.functions import patterns as P
 from papyrine.functions import predicates as R
 from papyrine.functions import text as X
-from papyrine.operators import chunks, entities, extract, profile, resolve, selection
+from papyrine.operators import chunks, entities, extract, models, profile, resolve, selection
 from papyrine.plans import sqlgen as S
 from papyrine.plans.legal import CTE, legal_documents
 from papyrine.sources import io
@@ -585,6 +585,21 @@ def model_persons(spark, sf_dir):
     return rows.filter("e.tipo = 'persona'").select("id", "e.valor", "e.metodo", "e.span_inicio", "e.span_fin", "e.confianza")
 
 
+@_query(rf"with {CTE}, hits as (select id, unnest(regexp_extract_all(texto, '\d{{7,}}')) as v from legal) select id, 'numero' as entidad_label, v as entidad_texto, 0.9::double as score from hits union all select id, 'SIN_ENTIDADES', null, null from legal where id not in (select id from hits)")
+def model_predictions(spark, sf_dir):
+    """Whole-text inference with the demonstration model: its predictions and sentinel rows."""
+    found = models.predict(legal_documents(spark, sf_dir), "texto", lambda: models.digit_runs, ["numero"])
+    return found.select("id", "entidad_label", "entidad_texto", "score")
+
+
+@_query(rf"with {CTE}, t as (select id, regexp_extract_all(texto, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\s]') as k from legal), c as (select id, k, unnest(range(0, case when len(k) <= 60 then 1 else cast(ceil((len(k) - 20) / 40.0) as int) end)) as chunk_id from t), hits as (select id, unnest(regexp_extract_all(array_to_string(k[chunk_id * 40 + 1 : chunk_id * 40 + 60], ' '), '\d{{7,}}')) as v from c) select distinct id, 'numero' as entidad_label, v as entidad_texto from hits union all select id, 'SIN_ENTIDADES', null from legal where id not in (select id from hits)")
+def chunk_predictions(spark, sf_dir):
+    """Chunked inference with the demonstration model, repeats of overlapping chunks removed."""
+    found = models.predict_chunks(legal_documents(spark, sf_dir), "texto", lambda: models.digit_runs, ["numero"], size=60, overlap=20)
+    first = extract.dedupe_first(found, ["id", "entidad_label", "entidad_texto"], ["chunk_id", "start"])
+    return first.select("id", "entidad_label", "entidad_texto")
+
+
 # Validation, review, comparison --------------------------------------------------------------------
 
 _PREDICTED = (

@@ -76,3 +76,42 @@ def manual_template(spark: SparkSession) -> DataFrame:
 def workbook_rows(review: DataFrame, group: str = "grupo_revision") -> DataFrame:
     """Review rows as a workbook shows them: a colour band per group, and whether the state is one of the list."""
     return review.withColumns({"banda": F.pmod(F.xxhash64(group), F.lit(2)) if dict(review.dtypes)[group] == "string" else F.pmod(F.col(group), F.lit(2)), "estado_valido": F.col("estado_revision").isin(P.REVIEW_STATES)})
+
+
+#: Fills of a workbook's odd and even groups.
+BANDS = {1: ("EAF3FF", "9DC3E6"), 0: ("FFF2CC", "FFD966")}
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str, group: str = "grupo_revision", most: int = 100_000) -> None:
+    """Review sheets as one workbook on the driver: header frozen, filter, group bands, a list of states.
+
+    A workbook is for people; a sheet of over ``most`` rows is refused. Needs openpyxl.
+    """
+    try:
+        from openpyxl import Workbook
+        from openpyxl.styles import PatternFill
+        from openpyxl.worksheet.datavalidation import DataValidation
+    except ImportError as e:
+        raise RuntimeError("writing a workbook needs openpyxl; write_csv needs nothing") from e
+    book = Workbook()
+    book.remove(book.active)
+    for name, df in sheets.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name}: more than {most} rows")
+        sheet = book.create_sheet(name)
+        sheet.append(df.columns)
+        bands: dict[object, int] = {}
+        for row in rows:
+            sheet.append([v if isinstance(v, (str, int, float, bool, type(None))) else str(v) for v in row])
+            if group in df.columns:
+                band = bands.setdefault(row[group], (len(bands) + 1) % 2)
+                for cell in sheet[sheet.max_row]:
+                    cell.fill = PatternFill("solid", fgColor=BANDS[band][cell.column == df.columns.index(group) + 1])
+        sheet.freeze_panes, sheet.auto_filter.ref = "A2", sheet.dimensions
+        if "estado_revision" in df.columns:
+            choice = DataValidation(type="list", formula1='"' + ",".join(P.REVIEW_STATES) + '"')
+            sheet.add_data_validation(choice)
+            letter = sheet.cell(1, df.columns.index("estado_revision") + 1).column_letter
+            choice.add(f"{letter}2:{letter}{max(2, sheet.max_row)}")
+    book.save(path)

@@ -99,3 +99,30 @@ def test_label_pivot_and_lists(spark):
     got = {r["id"]: r for r in entities.label_pivot(df, ["DNI", "CBU", "CVU"]).collect()}
     assert (got[1]["entidades_DNI"], got[1]["entidades_CVU"], got[2]["entidades_DNI"]) == (2, None, None)
     assert {r["id"]: r["etiquetas_encontradas"] for r in entities.document_labels(df).collect()} == {1: "CBU, DNI", 2: "CBU"}
+
+
+def test_prediction_shapes():
+    from papyrine.operators.models import spans
+
+    text = "ANA vive en LIMA"
+    assert list(spans(["ANA", "x"], text, "p")) == [("ANA", "p", None, 0, 3), ("x", "p", None, None, None)]
+    assert list(spans({"entities": {"p": ["ANA"], "l": [{"text": "LIMA", "confidence": 0.5}]}}, text)) == [("ANA", "p", None, 0, 3), ("LIMA", "l", 0.5, 12, 16)]
+    assert list(spans([{"span": "ANA", "label": "p", "start": 0, "end": 3, "score": 1}], text)) == [("ANA", "p", 1.0, 0, 3)]
+    assert list(spans({"start": 12, "end": 16, "label": "l"}, text)) == [("LIMA", "l", None, 12, 16)]
+
+
+def test_every_document_gives_a_row(spark):
+    from papyrine.operators import models
+
+    def load():
+        def model(text, labels, threshold):
+            if "boom" in text:
+                raise RuntimeError("no")
+            return models.digit_runs(text, labels, threshold)
+
+        return model
+
+    df = spark.createDataFrame([(1, None), (2, " "), (3, "nada"), (4, "boom"), (5, "n 1234567 y 7654321")], "id long, texto string")
+    for found in (models.predict(df, "texto", load, ["n"]), models.predict_chunks(df, "texto", load, ["n"], size=3, overlap=1)):
+        got = sorted({(r["id"], r["entidad_label"], r["entidad_texto"]) for r in found.collect()}, key=str)
+        assert got == [(1, "SIN_TEXTO", None), (2, "SIN_TEXTO", None), (3, "SIN_ENTIDADES", None), (4, "ERROR", None), (5, "n", "1234567"), (5, "n", "7654321")]
