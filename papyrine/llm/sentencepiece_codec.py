@@ -138,7 +138,8 @@ class Codec:
         self.split = (lambda t: [t]) if inner else re.compile(f"{SPACE}*[^{stop}]+|{SPACE}+|\n").findall
         self.ids_cache = _Memo(self._ids_text)
         self.text_cache = _Memo(self._decoded)
-        self.surface = {i: p for p, i in self.id_of.items()}
+        self.spaced = {i: p.replace(SPACE, " ") for p, i in self.id_of.items()}
+        self.decimal = {i: str(i) for i in self.spaced}
         self.byte_of = {i: b for b, i in model.byte_ids.items()}
 
     def compatible(self, left: str, right: str) -> bool:
@@ -151,7 +152,26 @@ class Codec:
         return ok
 
     def pieces(self, text: str) -> list[str]:
-        """Backtracking encode of a text in which spaces are marks already."""
+        """Encode a text in which spaces are marks already."""
+        return self._greedy(text) or self._backtrack(text)
+
+    def _greedy(self, text: str) -> list[str] | None:
+        """The longest matches from left to right, if they cover the text and every pair fits: then they are the encoding."""
+        out, at, last, fits = [], 0, None, self.fits
+        for end, size in self.automaton.iter_long(text):
+            if end - size + 1 != at:
+                return None
+            piece = text[at : end + 1]
+            if last is not None:
+                ok = fits.get((last, piece))
+                if not (self.compatible(last, piece) if ok is None else ok):
+                    return None
+            out.append(piece)
+            at, last = end + 1, piece
+        return out if at == len(text) else None
+
+    def _backtrack(self, text: str) -> list[str]:
+        """Longest piece first, the next shorter where a pair does not fit, a step back where none is left."""
         n = len(text)
         starts: list[list[int]] = [[] for _ in range(n)]
         for end, size in self.automaton.iter(text):
@@ -197,7 +217,15 @@ class Codec:
         return out
 
     def _ids_text(self, word: str) -> str:
-        return " ".join(map(str, self.ids(word)))
+        ids = list(map(self.id_of.get, self.pieces(word)))
+        if None in ids:  # characters outside the vocabulary
+            ids = self.ids(word)
+            line = " ".join(map(str, ids))
+            self.text_cache.keep(line, self.raw(ids))
+        else:
+            line = " ".join(map(self.decimal.__getitem__, ids))
+            self.text_cache.keep(line, "".join(map(self.spaced.__getitem__, ids)))
+        return line
 
     def _marked(self, text: str) -> list[str]:
         if not text:
@@ -223,7 +251,7 @@ class Codec:
             if i == self.model.unk:
                 out.append(" ⁇ ")
             elif i not in self.model.silent:
-                out.append(self.surface[i].replace(SPACE, " "))
+                out.append(self.spaced[i])
         if pending:
             out.append(pending.decode(errors="replace"))
         return "".join(out)
@@ -254,11 +282,14 @@ class _Memo(dict):
 
     def __missing__(self, key):
         value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         if len(key) <= CACHE_LONGEST * 4:
             if len(self) >= CACHE_WORDS:
                 self.clear()
             self[key] = value
-        return value
 
 
 def _codec_maker(df: DataFrame, model_path: str):
