@@ -22,8 +22,12 @@ from papyrine.llm.common import append_columns
 
 SPACE = "▁"
 #: Words remembered per Python worker; when full the memory starts anew (bounds memory, not results).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 CACHE_LONGEST = 64
+CACHE_PAIRS = 250_000
+SYMBOL_BITS = 22
+SYMBOL_MASK = (1 << SYMBOL_BITS) - 1
+OUTSIDE = 1 << 21
 
 
 def _fields(buf: bytes):
@@ -116,116 +120,119 @@ class Merger:
 
 
 class Codec:
-    """Encoder and decoder of one worker."""
+    """Encoder and decoder of one worker. Within it a symbol is a piece's id, or ``OUTSIDE`` + code point."""
 
     def __init__(self, model: PieceModel):
         import ahocorasick
 
         self.model = model
-        plain = [i for i, p in enumerate(model.pieces) if i not in model.silent and i not in set(model.byte_ids.values())]
-        self.id_of = {model.pieces[i]: i for i in plain}
+        bytes_ = set(model.byte_ids.values())
+        plain = [i for i, p in enumerate(model.pieces) if i not in model.silent and i not in bytes_]
         self.merger = Merger(model, plain)
         self.automaton = ahocorasick.Automaton()
         for i in model.reachable:
-            self.automaton.add_word(model.pieces[i], len(model.pieces[i]))
+            self.automaton.add_word(model.pieces[i], len(model.pieces[i]) << SYMBOL_BITS | i)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
-        joined = [p for p in self.id_of if len(p) > 1]
+        self.fits: dict[int, bool] = {}
+        joined = [model.pieces[i] for i in plain if len(model.pieces[i]) > 1]
         inner = any(SPACE in p.lstrip(SPACE) for p in joined)
         lone_newline = not any("\n" in p for p in joined)
         # No piece holds a space mark after another character, so no merge crosses that border.
         stop = SPACE + ("\n" if lone_newline else "")
         self.split = (lambda t: [t]) if inner else re.compile(f"{SPACE}*[^{stop}]+|{SPACE}+|\n").findall
-        self.ids_cache = _Memo(self._ids_text)
-        self.text_cache = _Memo(self._decoded)
-        self.spaced = {i: p.replace(SPACE, " ") for p, i in self.id_of.items()}
-        self.decimal = {i: str(i) for i in self.spaced}
+        self.words = _Memo(self._word)
+        self.spaced = {i: model.pieces[i].replace(SPACE, " ") for i in plain}
+        self.decimal = {i: str(i) for i in plain}
         self.byte_of = {i: b for b, i in model.byte_ids.items()}
 
-    def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
+    def _surface(self, symbol: int) -> str:
+        return self.model.pieces[symbol] if symbol < OUTSIDE else chr(symbol - OUTSIDE)
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether two adjacent symbols, merged anew from single characters, come out as they are (memoised)."""
+        key = left << SYMBOL_BITS | right
         ok = self.fits.get(key)
         if ok is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= CACHE_PAIRS:
                 self.fits.clear()
-            ok = self.fits[key] = self.merger.merge(left + right) == [left, right]
+            pair = [self._surface(left), self._surface(right)]
+            ok = self.fits[key] = self.merger.merge(pair[0] + pair[1]) == pair
         return ok
 
-    def pieces(self, text: str) -> list[str]:
+    def symbols(self, text: str) -> list[int]:
         """Encode a text in which spaces are marks already."""
         return self._greedy(text) or self._backtrack(text)
 
-    def _greedy(self, text: str) -> list[str] | None:
+    def _greedy(self, text: str) -> list[int] | None:
         """The longest matches from left to right, if they cover the text and every pair fits: then they are the encoding."""
-        out, at, last, fits = [], 0, None, self.fits
-        for end, size in self.automaton.iter_long(text):
-            if end - size + 1 != at:
+        out, at, last, fits = [], 0, -1, self.fits
+        for end, found in self.automaton.iter_long(text):
+            if end - (found >> SYMBOL_BITS) + 1 != at:
                 return None
-            piece = text[at : end + 1]
-            if last is not None:
-                ok = fits.get((last, piece))
-                if not (self.compatible(last, piece) if ok is None else ok):
+            symbol = found & SYMBOL_MASK
+            if last >= 0:
+                ok = fits.get(last << SYMBOL_BITS | symbol)
+                if not (self.compatible(last, symbol) if ok is None else ok):
                     return None
-            out.append(piece)
-            at, last = end + 1, piece
+            out.append(symbol)
+            at, last = end + 1, symbol
         return out if at == len(text) else None
 
-    def _backtrack(self, text: str) -> list[str]:
+    def _backtrack(self, text: str) -> list[int]:
         """Longest piece first, the next shorter where a pair does not fit, a step back where none is left."""
         n = len(text)
         starts: list[list[int]] = [[] for _ in range(n)]
-        for end, size in self.automaton.iter(text):
-            starts[end - size + 1].append(size)  # ends grow, so each list is in ascending length
+        for end, found in self.automaton.iter(text):
+            starts[end - (found >> SYMBOL_BITS) + 1].append(found)  # ends grow, so each list is in ascending length
         failed = bytearray(n // 8 + 1)
-        out: list[str] = []
+        out: list[int] = []
         tried: list[int] = []
-        at, k, last, fits = 0, -1, "", self.fits
+        at, k, last, fits = 0, -1, -1, self.fits
         while at < n:
-            sizes = starts[at]
-            # A character outside the vocabulary stands alone and falls back to bytes.
-            end = at + (sizes[k] if sizes else 1)
-            piece = text[at:end]
+            found = starts[at]
+            if found:
+                symbol, end = found[k] & SYMBOL_MASK, at + (found[k] >> SYMBOL_BITS)
+            else:  # a character outside the vocabulary stands alone and falls back to bytes
+                symbol, end = OUTSIDE + ord(text[at]), at + 1
             if not failed[end >> 3] >> (end & 7) & 1:
-                ok = fits.get((last, piece)) if out else True
+                ok = True if last < 0 else fits.get(last << SYMBOL_BITS | symbol)
                 if ok is None:
-                    ok = self.compatible(last, piece)
+                    ok = self.compatible(last, symbol)
                 if ok:
-                    out.append(piece)
-                    tried.append(k)
-                    at, k, last = end, -1, piece
+                    out.append(symbol)
+                    tried.append(at << 8 | -k)
+                    at, k, last = end, -1, symbol
                     continue
-            if -k < len(sizes):
+            if -k < len(found):
                 k -= 1  # the next shorter piece
                 continue
             failed[at >> 3] |= 1 << (at & 7)
             if not out:
                 raise ValueError("no valid encoding")
-            at -= len(out.pop())
-            k, last = tried.pop(), out[-1] if out else ""
+            out.pop()
+            back = tried.pop()
+            at, k = back >> 8, -(back & 255)
+            last = out[-1] if out else -1
         return out
 
-    def ids(self, text: str) -> list[int]:
+    def _ids(self, symbols: list[int]) -> list[int]:
         out: list[int] = []
-        for piece in self.pieces(text):
-            i = self.id_of.get(piece)
-            if i is not None:
-                out.append(i)
+        for symbol in symbols:
+            if symbol < OUTSIDE:
+                out.append(symbol)
             elif self.model.byte_ids:
-                out.extend(self.model.byte_ids[b] for b in piece.encode())
+                out.extend(self.model.byte_ids[b] for b in chr(symbol - OUTSIDE).encode())
             else:
                 out.append(self.model.unk)
         return out
 
-    def _ids_text(self, word: str) -> str:
-        ids = list(map(self.id_of.get, self.pieces(word)))
-        if None in ids:  # characters outside the vocabulary
-            ids = self.ids(word)
-            line = " ".join(map(str, ids))
-            self.text_cache.keep(line, self.raw(ids))
-        else:
-            line = " ".join(map(self.decimal.__getitem__, ids))
-            self.text_cache.keep(line, "".join(map(self.spaced.__getitem__, ids)))
-        return line
+    def _word(self, word: str) -> tuple[str, str]:
+        """Ids of a word as decimal text, and what those ids decode to."""
+        symbols = self.symbols(word)
+        if max(symbols) >= OUTSIDE:
+            ids = self._ids(symbols)
+            return " ".join(map(str, ids)), self.raw(ids)
+        return " ".join(map(self.decimal.__getitem__, symbols)), "".join(map(self.spaced.__getitem__, symbols))
 
     def _marked(self, text: str) -> list[str]:
         if not text:
@@ -236,7 +243,7 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, the end id last."""
-        return [int(i) for w in self._marked(text) for i in self.ids_cache[w].split(" ")] + [self.model.eos]
+        return [int(i) for w in self._marked(text) for i in self.words[w][0].split(" ")] + [self.model.eos]
 
     def raw(self, ids: list[int]) -> str:
         """Surface of ids, spaces restored, the dummy prefix kept."""
@@ -256,40 +263,35 @@ class Codec:
             out.append(pending.decode(errors="replace"))
         return "".join(out)
 
-    def _decoded(self, ids_text: str) -> str:
-        return self.raw([int(i) for i in ids_text.split(" ")])
-
     def decode(self, ids: list[int]) -> str:
         text = self.raw(ids)
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of their decimal text, SHA-256 of what they decode to."""
-        words = list(map(self.ids_cache.__getitem__, self._marked(text)))
+        found = list(map(self.words.__getitem__, self._marked(text)))
         # Each word is decoded from its ids; bytes of one character never straddle two words.
-        back = "".join(map(self.text_cache.__getitem__, words))
+        back = "".join([decoded for _, decoded in found])
         if self.model.dummy_prefix and back[:1] == " ":
             back = back[1:]
-        words.append(str(self.model.eos))
-        line = " ".join(words)
+        line = " ".join([*[ids for ids, _ in found], str(self.model.eos)])
         return line.count(" ") + 1, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
 class _Memo(dict):
+    """Short keys are remembered, ``CACHE_WORDS`` of them at most."""
+
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, key):
         value = self.make(key)
-        self.keep(key, value)
-        return value
-
-    def keep(self, key, value) -> None:
-        if len(key) <= CACHE_LONGEST * 4:
+        if len(key) <= CACHE_LONGEST:
             if len(self) >= CACHE_WORDS:
                 self.clear()
             self[key] = value
+        return value
 
 
 def _codec_maker(df: DataFrame, model_path: str):

@@ -33,7 +33,7 @@ LEAST_SHARE, LEAST_ODDS = 0.003, 2.0
 MOST_FEATURES = 4000
 SEVERE_WORDS = 3
 REJECT_AT = 0.5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 words_of = re.compile(r"\w+").findall
 
 

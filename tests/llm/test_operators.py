@@ -54,7 +54,8 @@ def test_codec_steps_back():
     model = codec.PieceModel(["<unk>", "a", "b", "c", "ab", "bc", "abc"][:6], [0, 0, 0, 0, -2, -1], {}, {0}, 0, 0, False)
     model.reachable = [1, 2, 3, 4, 5]
     own = codec.Codec(model)
-    assert own.pieces("abc") == own.merger.merge("abc") == ["a", "bc"]
+    assert [model.pieces[i] for i in own.symbols("abc")] == own.merger.merge("abc") == ["a", "bc"]
+    assert own._greedy("abc") is None
 
 
 def test_op1(spark, sf_dir):
