@@ -1,7 +1,7 @@
 """Profiling of raw tables: nulls, lengths, cardinalities, duplicates, distributions, diagnostics."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,7 +10,7 @@ from papyrine.functions import patterns as P
 from papyrine.functions.text import strip, text_of
 
 
-def _long(df: DataFrame, keys: list[str], values: dict[str, dict[str, Column]], key_name: str) -> DataFrame:
+def _long(df: DataFrame, values: dict[str, dict[str, Column]], key_name: str) -> DataFrame:
     """One aggregate over the table, turned to one row per entry: {entry: {column: aggregate}}."""
     structs = [F.struct(F.lit(entry).alias(key_name), *[c.alias(n) for n, c in cols.items()]) for entry, cols in values.items()]
     return df.agg(F.array(*structs).alias("rows")).select(F.inline("rows"))
@@ -19,7 +19,7 @@ def _long(df: DataFrame, keys: list[str], values: dict[str, dict[str, Column]],
 def null_report(df: DataFrame) -> DataFrame:
     """(columna, nulos, porcentaje) per column, most nulls first."""
     found = {c: {"nulos": F.count_if(F.col(c).isNull()), "porcentaje": F.round(F.try_divide(F.count_if(F.col(c).isNull()) * 100.0, F.count(F.lit(1))), 2)} for c in df.columns}
-    return _long(df, [], found, "columna").orderBy(F.desc("nulos"), "columna")
+    return _long(df, found, "columna").orderBy(F.desc("nulos"), "columna")
 
 
 def text_columns(df: DataFrame, all_types: bool = False) -> DataFrame:
@@ -31,7 +31,7 @@ def text_columns(df: DataFrame, all_types: bool = False) -> DataFrame:
             found[f.name] = {"promedio_caracteres": F.avg(size), "max_caracteres": F.max(size), "min_caracteres": F.min(size), "valores_no_nulos": F.count(f.name)}
     if not found:
         return df.sparkSession.createDataFrame([], "columna string, promedio_caracteres double, max_caracteres int, min_caracteres int, valores_no_nulos long")
-    return _long(df, [], found, "columna").filter("valores_no_nulos > 0").orderBy(F.desc("promedio_caracteres"), "columna")
+    return _long(df, found, "columna").filter("valores_no_nulos > 0").orderBy(F.desc("promedio_caracteres"), "columna")
 
 
 def text_column_stats(df: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def text_column_stats(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.StringType):
             size = F.length(text_of(F.col(f.name)))
             found[f.name] = {"no_nulos": F.count(f.name), "largo_promedio": F.avg(size), "largo_mediana": F.percentile(size, F.lit(0.5)), "largo_max": F.max(size)}
-    return _long(df, [], found, "columna")
+    return _long(df, found, "columna")
 
 
 def find_text_column(df: DataFrame, purpose: str = "selection", by: str = "mean") -> str:
@@ -61,7 +61,7 @@ def categorical_columns(df: DataFrame, most: int = 30) -> DataFrame:
     """Columns of at most ``most`` distinct values (exact), nested types left out."""
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     found = {c: {"valores_unicos": F.count_distinct(c), "nulos": F.count_if(F.col(c).isNull())} for c in plain}
-    return _long(df, [], found, "columna").filter(F.col("valores_unicos") <= most).orderBy("valores_unicos", "columna")
+    return _long(df, found, "columna").filter(F.col("valores_unicos") <= most).orderBy("valores_unicos", "columna")
 
 
 def value_counts(df: DataFrame, column: str, nulls: bool = True) -> DataFrame:
@@ -106,7 +106,6 @@ def diagnostic_report(df: DataFrame, text_col: str) -> DataFrame:
     size, one = F.length(text), lambda c: {"valor": c.cast("double")}
     return _long(
         df.select(text_col),
-        [],
         {
             "filas_totales": one(F.count(F.lit(1))),
             "textos_vacios": one(F.count_if(strip(text) == "")),

@@ -436,12 +436,10 @@ def nested_doc(spark, sf_dir):
     return docs.select("id", "clasificacion", "total_entidades", flat.alias("entidades"), F.array_join("etiquetas_encontradas", ", ").alias("etiquetas"))
 
 
-_MONEY = ["$ 108.332,50", "$81.249", "ARS 1234,5", "12.5", "1.234.567", "pesos 99", "sin monto", "1,2,3"]
-
-
-@_query("select doc as texto, valor from (values ('$ 108.332,50', 108332.5::double), ('$81.249', 81249), ('ARS 1234,5', 1234.5), ('12.5', 12.5), ('1.234.567', 1234567), ('pesos 99', 99), ('sin monto', null), ('1,2,3', null)) t(doc, valor)")
+@_query(rf"with {CTE} select id, v as valor_raw, cast(replace(replace(replace(v, '$ ', ''), '.', ''), ',', '.') as double) as valor from (select id, unnest(regexp_extract_all(texto, '\$ [0-9.]+,[0-9]+')) as v from legal)")
 def money_norm(spark, sf_dir):
-    return spark.createDataFrame([(m,) for m in _MONEY], "texto string").select("texto", X.money_ar(F.col("texto")).alias("valor"))
+    found = legal_documents(spark, sf_dir).select("id", F.explode(F.regexp_extract_all("texto", F.lit(r"\$ [0-9.]+,[0-9]+"), F.lit(0))).alias("valor_raw"))
+    return found.withColumn("valor", X.money_ar(F.col("valor_raw")))
 
 
 # The rich entities of the synthetic texts, each kind by its pattern; a value occurs once in a text,
@@ -685,13 +683,16 @@ def trusted_split(spark, sf_dir):
     return size(trusted, "confiables").unionByName(size(rest, "revisar"))
 
 
-_NAMES = ["Dra. ANA GOMEZ", "JUAN PEREZ JUEZ", "Banco Nacion", " .MARIA SOSA; ", "x1", "DNI 20111222", "Fdo. LUIS A. RUIZ SECRETARIO"]
+_SURE_NAME = r"Sr\. ([A-Z ]+), DNI"
 
 
-@_query("select nombre, limpio, valida from (values ('Dra. ANA GOMEZ', 'ANA GOMEZ', true), ('JUAN PEREZ JUEZ', 'JUAN PEREZ', true), ('Banco Nacion', 'Banco Nacion', false), (' .MARIA SOSA; ', 'MARIA SOSA', true), ('x1', 'x1', false), ('DNI 20111222', 'DNI 20111222', false), ('Fdo. LUIS A. RUIZ SECRETARIO', 'LUIS A. RUIZ', true)) t(nombre, limpio, valida)")
+@_query(f"with {CTE}, n as (select id, regexp_extract(texto, '{_SURE_NAME}', 1) as n from legal) select id, case when id % 4 = 2 then 'Banco ' || n else n end as limpio, id % 4 <> 2 as valida from n")
 def person_names(spark, sf_dir):
-    c = F.col("nombre")
-    return spark.createDataFrame([(n,) for n in _NAMES], "nombre string").select("nombre", X.person_name(c).alias("limpio"), R.valid_person(c).alias("valida"))
+    """Names with a title before, an office behind, or the word for bank: what is left, and whether it is a person."""
+    rows = legal_documents(spark, sf_dir).select("id", F.regexp_extract("texto", _SURE_NAME, 1).alias("n"))
+    four, n = F.col("id") % 4, F.col("n")
+    dressed = F.when(four == 0, F.concat(F.lit("Dra. "), n)).when(four == 1, F.concat(n, F.lit(" JUEZ"))).when(four == 2, F.concat(F.lit("Banco "), n)).otherwise(n)
+    return rows.select("id", X.person_name(dressed).alias("limpio"), R.valid_person(dressed).alias("valida"))
 
 
 @_query(f"with {CTE}, cfg as (select unnest(['a', 'b']) as modelo, unnest([0.3, 0.5]::double[]) as threshold) select id, modelo, threshold from legal, cfg")

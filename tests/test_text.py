@@ -25,6 +25,12 @@ def test_money(spark):
     assert apply(spark, X.money_ar, values) == [108332.5, 81249.0, 10.5, 12.5, 1234567.0, None, None, None]
 
 
+def test_person_names(spark):
+    values = ["Dra. ANA GOMEZ", "JUAN PEREZ JUEZ", "Banco Nacion", " .MARIA SOSA; ", "x1", "DNI 20111222", "Fdo. LUIS A. RUIZ SECRETARIO", None]
+    assert apply(spark, X.person_name, values) == ["ANA GOMEZ", "JUAN PEREZ", "Banco Nacion", "MARIA SOSA", "x1", "DNI 20111222", "LUIS A. RUIZ", ""]
+    assert apply(spark, R.valid_person, values) == [True, True, False, True, False, False, True, False]
+
+
 def test_clean_legal(spark):
     values = [None, "a\r\nb\rc", "x\t y   z ", "\n\n\n\na\n\n\n\nb", "<p>uno &amp; dos</p><script>no()</script><b>tres</b>", "“q” ‘r’"]
     assert apply(spark, X.clean_legal, values) == ["", "a\nb\nc", "x y z", "a\n\nb", "uno & dos\ntres", "\"q\" 'r'"]
