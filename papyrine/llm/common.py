@@ -1,6 +1,10 @@
 """Shared plumbing of the training-data operators."""
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +50,22 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def trimmed(run: Callable) -> Callable:
+    """A worker waits for its next task with what its last one allocated; give freed memory back first."""
+
+    @functools.wraps(run)
+    def inner(batches, *args):
+        try:
+            yield from run(batches, *args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of what follows; a smaller setting of the user's stands."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -93,6 +113,7 @@ def append_columns(
     out_schema = T.StructType([*kept, *fields])
     names, new = [f.name for f in kept], [f.name for f in fields]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
@@ -121,6 +142,7 @@ def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFram
 
     import numpy as np
 
+    @trimmed
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in rebatch(batches):
@@ -138,6 +160,7 @@ def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFram
     names = df.columns
 
     def part(wanted: bool):
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bitmap = shared.value
             for batch in batches:

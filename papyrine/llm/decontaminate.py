@@ -157,6 +157,3 @@ sim as (select doc_id, item_id, n as n_words, start_word, cast(sum(o) as double)
 best as (select *, row_number() over (partition by doc_id, item_id order by similarity desc, start_word) as r from sim where similarity >= {similarity} - 1e-12)
 select doc_id, item_id, cast(start_word as int) as start_word, cast(n_words as int) as n_words, similarity from best where r = 1
 """
-
-
-__all__ = ["clean", "find", "fingerprint", "oracle"]

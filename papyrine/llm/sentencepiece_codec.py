@@ -22,9 +22,9 @@ from papyrine.llm.common import append_columns
 
 SPACE = "▁"
 #: Words remembered per Python worker; when full the memory starts anew (bounds memory, not results).
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 CACHE_LONGEST = 64
-CACHE_PAIRS = 250_000
+CACHE_PAIRS = 300_000
 SYMBOL_BITS = 22
 SYMBOL_MASK = (1 << SYMBOL_BITS) - 1
 OUTSIDE = 1 << 21
@@ -279,18 +279,22 @@ class Codec:
 
 
 class _Memo(dict):
-    """Short keys are remembered, ``CACHE_WORDS`` of them at most."""
+    """Short keys are remembered in two generations of ``CACHE_WORDS`` / 2: what is asked for again outlives the turn."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= CACHE_LONGEST:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > CACHE_LONGEST:
+                return value
+        if len(self) >= CACHE_WORDS // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 

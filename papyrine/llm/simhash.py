@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import append_columns, materialise, rebatch, split_by_keys
+from papyrine.llm.common import append_columns, materialise, rebatch, split_by_keys, trimmed
 from papyrine.llm.components import connected_components
 
 SEED = 42
@@ -157,6 +157,7 @@ def shard_keys(fp: str, radius: int) -> list:
 def _scan_runs(radius: int):
     """Walk rows sorted by key; a run of equal keys is a shard, which may span batches."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(pairs):
             u, v = zip(*pairs, strict=True) if pairs else ((), ())
@@ -264,6 +265,7 @@ def _candidates(radius: int, similarity: float, everything: bool):
             tree.add(fp)
             where.append((node, n, active))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = None, []
 
@@ -297,6 +299,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             ok = []

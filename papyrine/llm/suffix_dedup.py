@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import materialise, rebatch, small_batches, split_by_keys, whole_text
+from papyrine.llm.common import materialise, rebatch, small_batches, split_by_keys, trimmed, whole_text
 
 LENGTH = 200
 K = 64
@@ -94,6 +94,7 @@ def anchors(raw: bytes) -> tuple[np.ndarray, ...]:
     return gram[at], mix, first, last, at
 
 
+@trimmed
 def _all_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _pieces(batches):
         ids, tags = batch.column(0), batch.column(1)
@@ -124,6 +125,7 @@ ANCHOR = "gram long, mix long, id long, tag int, first int, span short, off shor
 VERDICT = ANCHOR + ", known boolean, open boolean"
 
 
+@trimmed
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (gram, mix). ``known``: the context has copies; ``open``: it goes to the suffix sort."""
     held: pa.Table | None = None
@@ -230,6 +232,7 @@ def repeated_windows(groups: np.ndarray, off: np.ndarray, sizes: np.ndarray, buf
     return ctx[owner[same]], start[same]
 
 
+@trimmed
 def _suffix_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (gram, off, id, tag, first, context) come sorted by gram; yields spans (id, tag, begin, end)."""
 
@@ -272,6 +275,7 @@ def _suffix_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from found.combine_chunks().to_batches()
 
 
+@trimmed
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compress the last column; the others pass."""
     import zstandard
@@ -282,6 +286,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
+@trimmed
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -335,6 +340,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return materialise(known.unionByName(found), "spans")
 
 
+@trimmed
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns: ..., raw, spans. Replaces raw by the bytes that remain and adds what was removed."""
     for batch in _pieces(batches):
@@ -383,6 +389,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated bytes removed from the text; a character that loses some of its bytes goes whole."""
 
+    @trimmed
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("__kept__")

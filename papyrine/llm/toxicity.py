@@ -183,6 +183,3 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", out_col:
 
 def is_rejected(severity):
     return severity >= F.lit(REJECT_AT)
-
-
-__all__ = ["OrdinalModel", "fit", "fit_cumulative_link", "is_rejected", "score", "text_features"]
