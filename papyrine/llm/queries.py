@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import fold, fresh_path, materialise, table
+from papyrine.llm.common import fold, fresh_path, materialise, table, texts
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -18,7 +18,7 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyrine.llm import sentencepiece_codec as codec
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     return codec.encode_decode_digests(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -26,7 +26,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, severity (expected grade, 0 to 2) and rejected of every whole text."""
     from papyrine.llm import toxicity
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", "severity", toxicity.is_rejected(F.col("severity")).alias("rejected"))
 
@@ -34,7 +34,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyrine.llm import quality
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     described = materialise(quality.describe(docs).select("doc_id", "stats"), "quality")
     held = fold("doc_id", 3) == 1
     model = quality.fit(described.filter(~held), table(spark, sf_dir, "labels"))
@@ -60,7 +60,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyrine.llm import langid
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = texts(spark, sf_dir).select("doc_id", "text", "lang")
     held = fold("doc_id", 5) == 0
     model = langid.fit(docs.filter(~held))
     found = langid.predict(docs.select("doc_id", "text"), model)
@@ -70,13 +70,13 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyrine.llm import suffix_dedup
 
-    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return suffix_dedup.deduplicate(texts(spark, sf_dir))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyrine.llm import simhash
 
-    found = simhash.components(table(spark, sf_dir, "documents"), words=3, radius=3)
+    found = simhash.components(texts(spark, sf_dir), words=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
