@@ -199,7 +199,7 @@ def with_simple_ids(df: DataFrame, text_col: str, out_col: str = "entidades") ->
 
 def order_and_dedupe(entities: Column) -> Column:
     """By span, first of equal (kind, normalised value, span)."""
-    ordered = F.array_sort(entities, lambda a, b: F.when(a["span_inicio"] != b["span_inicio"], a["span_inicio"] - b["span_inicio"]).when(a["span_fin"] != b["span_fin"], a["span_fin"] - b["span_fin"]).otherwise(a["orden"] - b["orden"]))
+    ordered = F.sort_array(entities)  # the fields of ENTITY begin with the span and the order of discovery
     key = lambda e: F.struct(e["tipo"], F.lower(F.trim(F.coalesce(e["valor_normalizado"], e["monto_normalizado"].cast("string"), e["valor"]))), e["span_inicio"], e["span_fin"])
     return F.transform(
         F.array(ordered),

@@ -36,63 +36,85 @@ def _points(test: Column, points: float) -> Column:
     return F.when(test, F.lit(float(points))).otherwise(F.lit(0.0))
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once: a lambda variable is not copied into every place that reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def amount_score(e: Column, text: Column) -> Column:
     """Points for an amount by the words around it."""
     begin, end = e["span_inicio"], e["span_fin"]
-    around = F.concat(_before(text, begin, 250), F.lit(" "), _after(text, end, 180))
-    orders = F.instr(F.lower(text), P.QUOTED_ORDERS) - 1
-    return (
-        _points(e["valor"].contains("$"), 2)
-        + 5.0 * _hits(around, P.AMOUNT_STRONG)
-        + 3.0 * _hits(around, P.AMOUNT_MEDIUM)
-        + _points(_any(_before(text, begin, 100), P.AMOUNT_EXTRA_BEFORE), -8)
-        + _points(_any(_after(text, end, 120), P.AMOUNT_COSTS_AFTER), -6)
-        + _points(_any(around, P.AMOUNT_FALSE_CONTEXT), -4)
-        + _points((orders >= 0) & (begin < orders), 4)
-        + _points((orders >= 0) & (begin > orders), -1)
-        + _points(F.coalesce(e["texto_monto"], F.lit("")) != "", 1)
-        + _points(F.coalesce(e["monto_normalizado"], F.lit(0.0)) > 0, 1)
+    parts = F.struct(
+        F.concat(_before(text, begin, 250), F.lit(" "), _after(text, end, 180)).alias("around"),
+        _before(text, begin, 100).alias("before"),
+        _after(text, end, 120).alias("after"),
+        (F.instr(F.lower(text), P.QUOTED_ORDERS) - 1).alias("orders"),
     )
 
+    def points(w: Column) -> Column:
+        return (
+            _points(e["valor"].contains("$"), 2)
+            + 5.0 * _hits(w["around"], P.AMOUNT_STRONG)
+            + 3.0 * _hits(w["around"], P.AMOUNT_MEDIUM)
+            + _points(_any(w["before"], P.AMOUNT_EXTRA_BEFORE), -8)
+            + _points(_any(w["after"], P.AMOUNT_COSTS_AFTER), -6)
+            + _points(_any(w["around"], P.AMOUNT_FALSE_CONTEXT), -4)
+            + _points((w["orders"] >= 0) & (begin < w["orders"]), 4)
+            + _points((w["orders"] >= 0) & (begin > w["orders"]), -1)
+            + _points(F.coalesce(e["texto_monto"], F.lit("")) != "", 1)
+            + _points(F.coalesce(e["monto_normalizado"], F.lit(0.0)) > 0, 1)
+        )
+
+    return _with(parts, points)
+
 
 def person_score(e: Column, text: Column) -> Column:
     """Points for a person being the debtor: role words, caption side, identity marks, wording of the order."""
     begin, end = e["span_inicio"], e["span_fin"]
-    value = F.lower(F.coalesce(e["valor"], F.lit("")))
-    before, after = _before(text, begin, 120), _after(text, end, 160)
-    near = F.concat(before, F.lit(" "), after)
-    medium = F.concat(_before(text, begin, 260), F.lit(" "), _after(text, end, 260))
-    wide = _before(text, begin, 500)
-    system = wide.contains("usuario conectado") | (wide.contains("usuari") & wide.contains("conectado"))
     # The line of the name: from the line end before it, or 200 characters where there is none.
     head = F.substring(text, F.lit(1), begin)
     broken = F.instr(F.reverse(head), "\n")
-    line_begin = F.when(broken > 0, F.length(head) - broken).otherwise(F.greatest(begin - 200, F.lit(0)))
     rest = F.instr(F.substring(text, end + 1, F.length(text)), "\n")
-    line_end = F.when(rest > 0, end + rest - 1).otherwise(F.least(F.length(text), end + 200))
-    line = F.lower(F.substring(text, line_begin + 1, line_end - line_begin))
-    versus = F.when(line.contains("c/"), F.instr(line, "c/") - 1).otherwise(F.instr(line, " c ") - 1)
-    place = begin - line_begin
-    return (
-        F.coalesce(e["confianza"], F.lit(0.0))
-        + _points(_any(value, P.ROLE_IN_VALUE), -20)
-        + _points(_any(near, P.AUTHORITY_NEAR), -20)
-        + _points(system & ~_any(near, P.ID_NEAR), -10)
-        + _points(_any(F.right(before, F.lit(45)), P.TITLES_NEAR), -6)
-        + _points(value.startswith("dr.") | value.startswith("dra."), -6)
-        + _points((versus >= 0) & (place < versus), -8)
-        + _points((versus >= 0) & (place > versus), 4)
-        + 5.0 * _hits(near, P.DEBTOR_NEAR)
-        + _points(_any(near, P.ID_TOKENS), 7)
-        + _points(_any(F.substring(after, 1, 110), P.ID_TOKENS), 5)
-        + _points(_any(F.substring(after, 1, 90), P.ID_SHORT), 4)
-        + 1.5 * _hits(medium, P.EMBARGO_MEDIUM)
-        - 3.0 * _hits(near, P.THIRD_PARTY_NEAR)
+    places = F.struct(
+        F.when(broken > 0, begin - broken).otherwise(F.greatest(begin - 200, F.lit(0))).alias("line_begin"),
+        F.when(rest > 0, end + rest - 1).otherwise(F.least(F.length(text), end + 200)).alias("line_end"),
+        _before(text, begin, 120).alias("before"),
+        _after(text, end, 160).alias("after"),
+        F.concat(_before(text, begin, 260), F.lit(" "), _after(text, end, 260)).alias("medium"),
+        _before(text, begin, 500).alias("wide"),
+        F.lower(F.coalesce(e["valor"], F.lit(""))).alias("value"),
     )
 
+    def read(w: Column) -> Column:
+        line = F.lower(F.substring(text, w["line_begin"] + 1, w["line_end"] - w["line_begin"]))
+        versus = _with(line, lambda x: F.when(x.contains("c/"), F.instr(x, "c/") - 1).otherwise(F.instr(x, " c ") - 1))
+        return F.struct(w.alias("w"), F.concat(w["before"], F.lit(" "), w["after"]).alias("near"), versus.alias("versus"), (begin - w["line_begin"]).alias("place"))
+
+    def points(r: Column) -> Column:
+        w, near = r["w"], r["near"]
+        system = w["wide"].contains("usuario conectado") | (w["wide"].contains("usuari") & w["wide"].contains("conectado"))
+        return (
+            F.coalesce(e["confianza"], F.lit(0.0))
+            + _points(_any(w["value"], P.ROLE_IN_VALUE), -20)
+            + _points(_any(near, P.AUTHORITY_NEAR), -20)
+            + _points(system & ~_any(near, P.ID_NEAR), -10)
+            + _points(_any(F.right(w["before"], F.lit(45)), P.TITLES_NEAR), -6)
+            + _points(w["value"].startswith("dr.") | w["value"].startswith("dra."), -6)
+            + _points((r["versus"] >= 0) & (r["place"] < r["versus"]), -8)
+            + _points((r["versus"] >= 0) & (r["place"] > r["versus"]), 4)
+            + 5.0 * _hits(near, P.DEBTOR_NEAR)
+            + _points(_any(near, P.ID_TOKENS), 7)
+            + _points(_any(F.substring(w["after"], 1, 110), P.ID_TOKENS), 5)
+            + _points(_any(F.substring(w["after"], 1, 90), P.ID_SHORT), 4)
+            + 1.5 * _hits(w["medium"], P.EMBARGO_MEDIUM)
+            - 3.0 * _hits(near, P.THIRD_PARTY_NEAR)
+        )
+
+    return _with(_with(places, read), points)
+
 
 def account_score(e: Column) -> Column:
-    return 2.0 * _hits(F.lower(F.coalesce(e["contexto"], F.lit(""))), P.ACCOUNT_NEAR)
+    return _with(F.lower(F.coalesce(e["contexto"], F.lit(""))), lambda c: 2.0 * _hits(c, P.ACCOUNT_NEAR))
 
 
 def _first_best(items: Column, *keys) -> Column:
@@ -108,8 +130,8 @@ def _scored(items: Column, name: str, score) -> Column:
 def best_amount(entities: Column, text: Column) -> Column:
     amounts = _scored(F.filter(entities, lambda e: e["tipo"] == "MONTO"), "score_contextual", lambda e: amount_score(e, text))
     best = _first_best(amounts, lambda e: e["score_contextual"], lambda e: -e["span_inicio"])
-    sure = F.round(F.greatest(F.lit(0.35), F.least(F.lit(0.98), 0.55 + best["score_contextual"] * 0.035)), 2)
-    return F.when(best.isNotNull(), best.withField("confianza", sure))
+    sure = lambda b: F.round(F.greatest(F.lit(0.35), F.least(F.lit(0.98), 0.55 + b["score_contextual"] * 0.035)), 2)
+    return _with(best, lambda b: F.when(b.isNotNull(), b.withField("confianza", sure(b))))
 
 
 def best_person(entities: Column, text: Column) -> Column:
@@ -122,12 +144,11 @@ def nearest(target: Column, candidates: Column, most: int) -> Column:
     gap = lambda c: F.greatest(c["span_inicio"] - target["span_fin"], target["span_inicio"] - c["span_fin"], F.lit(0))
     rated = F.transform(candidates, lambda c, i: F.struct(gap(c).alias("gap"), i.alias("place"), c.alias("c")))
     best = F.array_min(F.filter(rated, lambda r: r["gap"].isNotNull()))
-    return F.when(target.isNotNull() & (best["gap"] <= most), best["c"])
+    return _with(best, lambda b: F.when(target.isNotNull() & (b["gap"] <= most), b["c"]))
 
 
 def bank_in(context: Column) -> Column:
-    found = F.regexp_extract(squeeze(context), ICASE + P.RICH["BANK"], 1)
-    return F.when(found != "", squeeze(found))
+    return _with(squeeze(F.regexp_extract(squeeze(context), ICASE + P.RICH["BANK"], 1)), lambda b: F.when(b != "", b))
 
 
 def resolve(df: DataFrame, text_col: str = "texto", entities_col: str = "entidades") -> DataFrame:
@@ -202,7 +223,9 @@ def assemble(df: DataFrame, id_col: str = "id", name_col: str = "nombre", kind_c
     )
     kinds = F.array_distinct(F.transform(ents, lambda e: e["tipo"]))
     per_kind = F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, F.size(F.filter(ents, lambda e: e["tipo"] == k)))))
-    why = reasons()
+    # Columns of their own: read many times further on, worked out once.
+    df = df.withColumns({"_por_tipo": per_kind, "_motivos": reasons()})
+    why = F.col("_motivos")
     return df.select(
         F.col(id_col).cast("string").alias("id"),
         F.col(name_col).alias("nombre_archivo"),
@@ -212,7 +235,7 @@ def assemble(df: DataFrame, id_col: str = "id", name_col: str = "nombre", kind_c
         amount.alias("monto"),
         account.alias("cuenta_deposito"),
         F.size(ents).alias("cantidad_entidades_encontradas"),
-        F.struct(F.size(ents).alias("total"), per_kind.alias("por_tipo")).alias("estadisticas_entidades"),
+        F.struct(F.size(ents).alias("total"), F.col("_por_tipo").alias("por_tipo")).alias("estadisticas_entidades"),
         ents.alias("entidades"),
         (F.size(why) > 0).alias("revision_manual"),
         why.alias("motivos_revision"),

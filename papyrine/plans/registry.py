@@ -13,7 +13,7 @@ from papyrine.functions import predicates as R
 from papyrine.functions import text as X
 from papyrine.operators import chunks, entities, extract, models, profile, resolve, selection
 from papyrine.plans import sqlgen as S
-from papyrine.plans.legal import CTE, legal_documents
+from papyrine.plans.legal import CTE, legal_documents, spread
 from papyrine.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents")
+    return spread(_table(spark, sf_dir, "documents"))
 
 
 
