@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from papyrine.llm.common import append_columns
 
 SPACE = "▁"
-#: Words remembered per Python worker; when full the memory starts anew (bounds memory, not results).
+#: Words remembered per Python worker unless told otherwise, and pairs of pieces (bounds memory, about 330
+#: bytes a word, not results).
 CACHE_WORDS = 400_000
 CACHE_LONGEST = 64
 CACHE_PAIRS = 300_000
@@ -122,7 +123,7 @@ class Merger:
 class Codec:
     """Encoder and decoder of one worker. Within it a symbol is a piece's id, or ``OUTSIDE`` + code point."""
 
-    def __init__(self, model: PieceModel):
+    def __init__(self, model: PieceModel, cache_words: int = CACHE_WORDS):
         import ahocorasick
 
         self.model = model
@@ -140,7 +141,8 @@ class Codec:
         # No piece holds a space mark after another character, so no merge crosses that border.
         stop = SPACE + ("\n" if lone_newline else "")
         self.split = (lambda t: [t]) if inner else re.compile(f"{SPACE}*[^{stop}]+|{SPACE}+|\n").findall
-        self.words = _Memo(self._word)
+        self.words = _Memo(self._word, cache_words // 2)
+        self.most_pairs = min(CACHE_PAIRS, cache_words)
         self.spaced = {i: model.pieces[i].replace(SPACE, " ") for i in plain}
         self.decimal = {i: str(i) for i in plain}
         self.byte_of = {i: b for b, i in model.byte_ids.items()}
@@ -153,7 +155,7 @@ class Codec:
         key = left << SYMBOL_BITS | right
         ok = self.fits.get(key)
         if ok is None:
-            if len(self.fits) >= CACHE_PAIRS:
+            if len(self.fits) >= self.most_pairs:
                 self.fits.clear()
             pair = [self._surface(left), self._surface(right)]
             ok = self.fits[key] = self.merger.merge(pair[0] + pair[1]) == pair
@@ -279,11 +281,11 @@ class Codec:
 
 
 class _Memo(dict):
-    """Short keys are remembered in two generations of ``CACHE_WORDS`` / 2: what is asked for again outlives the turn."""
+    """Short keys are remembered in two generations of ``most`` each: what is asked for again outlives the turn."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -291,20 +293,20 @@ class _Memo(dict):
             value = self.make(key)
             if len(key) > CACHE_LONGEST:
                 return value
-        if len(self) >= CACHE_WORDS // 2:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
         return value
 
 
-def _codec_maker(df: DataFrame, model_path: str):
+def _codec_maker(df: DataFrame, model_path: str, cache_words: int = CACHE_WORDS):
     shared = df.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))  # bounded by the model file
 
     def codec() -> Codec:
         # One codec per worker process: later tasks find the words that earlier ones have seen.
         if "codec" not in shared.value.__dict__:
-            shared.value.__dict__["codec"] = Codec(shared.value)
+            shared.value.__dict__["codec"] = Codec(shared.value, cache_words)
         return shared.value.__dict__["codec"]
 
     return codec
@@ -332,9 +334,9 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
     return append_columns(df, make, [T.StructField(out_col, T.StringType())], ids_col)
 
 
-def encode_decode_digests(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+def encode_decode_digests(df: DataFrame, model_path: str, text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Append n_tokens, ids_sha256 and decoded_sha256: the round trip without moving the ids out of the worker."""
-    new = _codec_maker(df, model_path)
+    new = _codec_maker(df, model_path, cache_words)
 
     def make():
         codec = new()
