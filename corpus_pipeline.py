@@ -39,8 +39,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every whole text encoded and decoded: digests per document."""
-    found = sentencepiece_codec.encode_decode_digests(docs.select("doc_id", "text"), tokenizer_path())
+    """Every whole text encoded and decoded: digests per document.
+
+    Workers remember fewer words than they could alone: executors come from the stages before with a
+    grown heap and other workers.
+    """
+    found = sentencepiece_codec.encode_decode_digests(docs.select("doc_id", "text"), tokenizer_path(), cache_words=100_000)
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
