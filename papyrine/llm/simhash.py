@@ -218,13 +218,14 @@ def components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "
 
 # Near duplicates by verified similarity ------------------------------------------------------------
 
-#: Tables of paired min-hashes that shard the documents, and the radius searched within a shard. Two
-#: texts of similarity 0.8 miss one table with probability 0.36, all 20 with 1e-9; a bit of their
-#: fingerprints differs with probability 0.15 (0.19 for the shortest texts that can be so similar, 4 and
-#: 5 shingles), so that more than 26 of 64 do in fewer than 1 of 10,000 cases.
-TABLES = 20
-NEAR_RADIUS = 26
-_MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, size=2 * TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Tables that shard the documents, min-hashes in a table's key, and the radius searched within a
+#: shard. Texts of similarity 0.8 agree in a key with probability 0.33 and miss all 40 with 1e-7; texts
+#: that share a passage of a third of their length agree with 0.004, so that a passage of very many
+#: documents makes no large shard. A bit of the fingerprints differs with probability 0.15, so that
+#: more than 22 of 64 do in fewer than 1 of 10,000 cases.
+TABLES, KEY_HASHES = 40, 5
+NEAR_RADIUS = 22
+_MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, size=TABLES * KEY_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signature(text: str | None, words: int) -> tuple[int, int, int, int, list[int]]:
@@ -236,34 +237,38 @@ def signature(text: str | None, words: int) -> tuple[int, int, int, int, list[in
     raw = distinct.tobytes()
     keys = [0] * TABLES
     if len(distinct):
-        least = np.empty(2 * TABLES, np.uint64)
-        for i, m in enumerate(_MULTIPLIERS):
-            mixed = distinct * m
-            least[i] = (mixed ^ (mixed >> np.uint64(31))).min()
-        pair = least[0::2] * _MULTIPLIERS[0] ^ (least[1::2] * _MULTIPLIERS[1] >> np.uint64(7)) ^ np.arange(TABLES, dtype=np.uint64) * _MULTIPLIERS[2]
-        keys = pair.view(np.int64).tolist()
+        least = np.full(len(_MULTIPLIERS), MASK, np.uint64)
+        for at in range(0, len(distinct), 1024):
+            mixed = distinct[at : at + 1024, None] * _MULTIPLIERS[None, :]
+            least = np.minimum(least, (mixed ^ (mixed >> np.uint64(31))).min(0))
+        key = np.arange(TABLES, dtype=np.uint64)
+        for part in least.reshape(KEY_HASHES, TABLES):
+            key = (key ^ part) * _MULTIPLIERS[0]
+            key ^= key >> np.uint64(29)
+        keys = key.view(np.int64).tolist()
     return signed(xxh64_intdigest(raw, 1)), signed(xxh64_intdigest(raw, 2)), len(distinct), signed(fold_bits(hashes)), keys
 
 
 def _candidates(radius: int, similarity: float, everything: bool):
-    """Candidate pairs of each shard (rows come sorted by key: key, node, fp, n, active).
+    """Candidate pairs of each shard (rows come sorted by key: key, node, fp, n, active, root).
 
     First every member is held against the leaders of its shard: it goes to the first within reach,
-    or becomes a leader. ``everything``: each active member is held against all members before it.
+    or becomes a leader. ``everything``: each active member is held against all members before it
+    that are not in its component already.
     """
 
-    def shard(rows: list[tuple[int, int, int, bool]]) -> Iterator[tuple[int, int]]:
+    def shard(rows: list[tuple[int, int, int, bool, int]]) -> Iterator[tuple[int, int]]:
         tree, where = BKTree(), []
-        for node, fp, n, active in rows:
+        for node, fp, n, active, root in rows:
             near = (where[i] for i, _ in tree.within(fp, radius))
-            fits = [o for o in near if min(n, o[1]) >= similarity * max(n, o[1]) and o[0] != node]
+            fits = [o for o in near if min(n, o[1]) >= similarity * max(n, o[1]) and o[0] != node and not (everything and o[3] == root)]
             if everything:
                 yield from ((node, o[0]) for o in fits if active or o[2])
             elif fits:
                 yield node, min(o[0] for o in fits)
                 continue
             tree.add(fp)
-            where.append((node, n, active))
+            where.append((node, n, active, root))
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,12 +280,12 @@ def _candidates(radius: int, similarity: float, everything: bool):
 
         for batch in rebatch(batches):
             pairs: list[tuple[int, int]] = []
-            key, node, fp, n, active = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            key, node, fp, n, active, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             if not len(key):
                 continue
             cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
             for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                rows = list(zip(node[begin:end].tolist(), fp[begin:end].view(np.uint64).tolist(), n[begin:end].tolist(), active[begin:end].tolist(), strict=True)) if end - begin > 1 or end == len(key) or key[begin] == held_key else []
+                rows = list(zip(node[begin:end].tolist(), fp[begin:end].view(np.uint64).tolist(), n[begin:end].tolist(), active[begin:end].tolist(), root[begin:end].tolist(), strict=True)) if end - begin > 1 or end == len(key) or key[begin] == held_key else []
                 if key[begin] == held_key:
                     held += rows
                     continue
@@ -316,9 +321,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     """(id, group_id): the smallest id of the documents reachable over pairs of ``similarity`` or more.
 
     Similarity is the exact Jaccard similarity of the sets of word shingles. Texts of equal sets are
-    one node. Nodes are dealt into shards by paired min-hashes; each shard holds a BK-tree of SimHash
+    one node. Nodes are dealt into shards by keys of min-hashes; each shard holds a BK-tree of SimHash
     fingerprints, and what it finds within the radius is verified on the whole sets. A shard first
-    holds members against its leaders only; those of which a pair failed are then held against all,
+    holds members against its leaders only; those of which a pair failed are then held against all others
+    that are not in their component yet,
     so a large group of near copies costs a pair a member and no link is lost. Texts without words
     are one group.
     """
@@ -337,10 +343,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     heads = rows.groupBy("da", "db").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
     heads = materialise(heads.withColumn("node", F.xxhash64("da", "db")), "nodes")
 
-    def candidates(active: DataFrame | None) -> DataFrame:
-        base = heads if active is None else heads.join(active.withColumn("active", F.lit(True)), "node", "left")
-        flag = F.lit(False) if active is None else F.coalesce("active", F.lit(False))
-        keyed = base.filter("n > 0").select(F.explode("keys").alias("key"), "node", "fp", "n", flag.alias("active"))
+    def candidates(active: DataFrame | None, roots: DataFrame | None) -> DataFrame:
+        base, flag, root = heads, F.lit(False), F.col("node")
+        if active is not None:
+            base = heads.join(active.withColumn("active", F.lit(True)), "node", "left").join(roots, "node", "left")
+            flag, root = F.coalesce("active", F.lit(False)), F.coalesce("root", "node")
+        keyed = base.filter("n > 0").select(F.explode("keys").alias("key"), "node", "fp", "n", flag.alias("active"), root.alias("root"))
         if active is not None:  # only shards that hold an active member
             keyed = keyed.join(keyed.filter("active").select("key").distinct(), "key", "left_semi")
         found = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(radius, similarity, active is not None), "u long, v long")
@@ -363,11 +371,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
         made = append_columns(maybe, sets, [T.StructField("shingles", T.BinaryType()), T.StructField("da", T.LongType())]).select("id", "da", "shingles")
         return materialise(made.join(owners.select("node", "id", "da"), ["id", "da"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
 
-    pairs = candidates(None)
+    pairs = candidates(None, None)
     judged = materialise(_verified(pairs, shingle_sets(pairs), similarity), "judged")
     failed = judged.filter("not ok")
     active = failed.select(F.col("u").alias("node")).unionByName(failed.select(F.col("v").alias("node"))).distinct()
-    rest = candidates(materialise(active, "active")).join(judged.select("u", "v"), ["u", "v"], "left_anti")
+    first = materialise(connected_components(judged.filter("ok").select("u", "v")), "first")
+    rest = candidates(materialise(active, "active"), first).join(judged.select("u", "v"), ["u", "v"], "left_anti")
     rest = materialise(rest, "pairs")
     judged = judged.unionByName(_verified(rest, shingle_sets(rest), similarity))
     roots = connected_components(judged.filter("ok").select("u", "v"))
