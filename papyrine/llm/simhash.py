@@ -229,11 +229,10 @@ _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, size=TABLES * KEY_H
 
 
 def signature(text: str | None, words: int) -> tuple[int, int, int, int, list[int]]:
-    """(two digests of the shingle set, its size, fingerprint, shard keys)."""
+    """(two digests of the shingle set, its size, fingerprint, shard keys), all of the set: repeats do not count."""
     from xxhash import xxh64_intdigest
 
-    hashes = shingle_hashes(text, words)
-    distinct = np.unique(hashes)
+    distinct = np.unique(shingle_hashes(text, words))
     raw = distinct.tobytes()
     keys = [0] * TABLES
     if len(distinct):
@@ -246,7 +245,7 @@ def signature(text: str | None, words: int) -> tuple[int, int, int, int, list[in
             key = (key ^ part) * _MULTIPLIERS[0]
             key ^= key >> np.uint64(29)
         keys = key.view(np.int64).tolist()
-    return signed(xxh64_intdigest(raw, 1)), signed(xxh64_intdigest(raw, 2)), len(distinct), signed(fold_bits(hashes)), keys
+    return signed(xxh64_intdigest(raw, 1)), signed(xxh64_intdigest(raw, 2)), len(distinct), signed(fold_bits(distinct)), keys
 
 
 def _candidates(radius: int, similarity: float, everything: bool):

@@ -402,6 +402,20 @@ def test_near_duplicates_are_brute_force(spark, sf_dir):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_near_duplicates_whose_passages_repeat_unequally(spark):
+    rng = np.random.default_rng(16)
+    texts = []
+    for size in [1, 3, 5, 9] * 10:
+        base = [f"v{rng.integers(10**6)}" for _ in range(200)]
+        passage = [f"r{rng.integers(10**6)}" for _ in range(size)]
+        texts += [" ".join(base + passage * 2), " ".join(edited(rng, base, 0.005) + passage * 60)]
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    want = near_groups(texts, ids)
+    assert len(set(want.values())) == len(texts) // 2
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(df).collect()} == want
+
+
 # 10. Decontamination -------------------------------------------------------------------------------
 
 
