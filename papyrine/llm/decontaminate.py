@@ -10,9 +10,13 @@ shares at least ceil(2 m s / (1 + s)) of the item's m shingles, so it holds at l
 m - that + 1 of them. Those ``anchors`` (the rarest in the benchmark) are looked up in every shingle
 of every document; no window at the threshold or above is lost by that.
 
+A document with fewer shingles than the item is one window, the whole document. At similarity s it
+shares at least ceil(m s) of the item's shingles, so more anchors are looked up for it, and it is
+verified without the index.
+
 Defined results: null or empty texts and items match nothing; items shorter than a shingle are one
 shingle of all their words; several windows of a document that match one item give one row, the most
-similar window, then the first; repeated documents and items stay apart by their ids; empty tables
+similar window, then the first; ``n_words`` is the window's length; repeated documents and items stay apart by their ids; empty tables
 give no rows.
 """
 from __future__ import annotations
@@ -72,6 +76,11 @@ def least_overlap(m: Column, similarity: float) -> Column:
     return F.ceil(m * (2 * similarity / (1 + similarity)) - 1e-9)
 
 
+def least_overlap_of_shorter(m: Column, similarity: float) -> Column:
+    """Shingles of an item's m that a multiset of fewer must share to reach the similarity."""
+    return F.ceil(m * similarity - 1e-9)
+
+
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): the best window of every contaminated (document, item)."""
     source = docs.select(F.col(id_col).alias("doc_id"), word_array(F.col(text_col)).alias("words"))
@@ -107,7 +116,9 @@ def _find(docs: DataFrame, known: DataFrame, k: int, similarity: float, radius:
     flat = known.select("item_id", "m", F.explode("own").alias("h"))
     spread = flat.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
     rarest = Window.partitionBy("item_id").orderBy("f", "h")
-    anchors = flat.join(spread, "h").withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= F.col("m") - least_overlap(F.col("m"), similarity) + 1).select("h", "item_id").distinct()
+    ranked = flat.join(spread, "h").withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= F.col("m") - least_overlap_of_shorter(F.col("m"), similarity) + 1)
+    same_size = F.col("r") <= F.col("m") - least_overlap(F.col("m"), similarity) + 1
+    anchors = ranked.groupBy("h", "item_id").agg(F.max(same_size).alias("any_size"))
     literal = anchors.select("h").distinct().limit(MOST_LITERALS + 1).collect()
     most = known.agg(F.max("m")).first()[0] or 1
     few = len(literal) <= MOST_LITERALS
@@ -115,11 +126,12 @@ def _find(docs: DataFrame, known: DataFrame, k: int, similarity: float, radius:
     hits = _hits(docs, k, most, f"x.h in ({values})" if few else "true")
     small = known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     hint = F.broadcast if few and small else (lambda d: d)
-    hits = hits.join(hint(anchors), "h").join(hint(known.select("item_id", "n", "m")), "item_id")
+    hits = hits.join(hint(anchors), "h").join(hint(known.select("item_id", "n", "m")), "item_id").filter("any_size or total < m")
     # A window belongs to the first anchor in it: starts after the one before, so that none is made twice.
     last = F.lag("p").over(Window.partitionBy("doc_id", "item_id").orderBy("p"))
     first = F.greatest(F.col("p") - F.col("m") + 1, F.coalesce(last + 1, F.lit(0)), F.lit(0))
-    near = hits.withColumns({"first": first, "until": F.least("p", F.col("total") - F.col("m"))}).filter("first <= until")
+    hits = hits.withColumn("n", F.least("n", F.col("total") + (k - 1)))
+    near = hits.withColumns({"first": first, "until": F.least("p", F.greatest(F.col("total") - F.col("m"), F.lit(0)))}).filter("first <= until")
     windows = near.select("doc_id", "item_id", "n", "m", "low", "region", F.explode(F.sequence("first", "until")).alias("start_word"))
     windows = windows.select("doc_id", "item_id", "n", "start_word", F.expr("slice(region, start_word - low + 1, m)").alias("win"))
     # Every window knows its item here, so the (block, value) index is probed in the row: no window is
@@ -127,9 +139,9 @@ def _find(docs: DataFrame, known: DataFrame, k: int, similarity: float, radius:
     index = known.select("item_id", "m", "counts", "item_fp", _blocks(F.col("item_fp"), radius).alias("item_blocks"))
     windows = windows.join(hint(index), "item_id")
     near_item = lambda f: F.arrays_overlap(_blocks(f, radius), F.col("item_blocks")) & (F.bit_count(f.bitwiseXOR(F.col("item_fp"))) <= radius)
-    close = windows.filter(F.transform(F.array(fingerprint("win")), near_item)[0])
+    close = windows.filter((F.size("win") < F.col("m")) | F.transform(F.array(fingerprint("win")), near_item)[0])
     shared = F.expr("aggregate(counts, 0, (acc, e) -> acc + least(e.c, size(filter(win, x -> x = e.h))))")
-    close = close.withColumn("similarity", F.transform(F.array(shared), lambda s: s / (2 * F.col("m") - s))[0])
+    close = close.withColumn("similarity", F.transform(F.array(shared), lambda s: s / (F.col("m") + F.size("win") - s))[0])
     return close.filter(F.col("similarity") >= similarity - 1e-12).select("doc_id", "item_id", "start_word", F.col("n").alias("n_words"), "similarity")
 
 

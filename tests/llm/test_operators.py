@@ -436,6 +436,29 @@ def test_decontamination(spark, empty):
     assert decontaminate.clean(docs, items.limit(0)).count() == len(texts)
 
 
+def test_documents_shorter_than_the_item(spark):
+    rng = np.random.default_rng(17)
+    benchmark, texts = [], []
+    for n in (6, 9, 12, 24, 40, 59):
+        item = [f"c{rng.integers(12)}" if n == 24 else f"b{rng.integers(10**6)}" for _ in range(n)]
+        benchmark.append(item)
+        texts += [item[cut:] for cut in range(n)] + [item[: n - cut] for cut in range(1, n)]
+        texts += [item[:2] + item[3:], item[: n // 2] + item[n // 2 + 1 :], [*item[:2], "x", *item[4:]], ["x", *item[2:]]]
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(benchmark):
+            a, b = (Counter(tuple(t[at : at + 5]) for at in range(len(t) - 4)) for t in (text, item))
+            m, total = sum(b.values()), sum(a.values())
+            if 0 < total <= m and (s := sum((a & b).values())) >= 0.8 * (total + m - s):
+                want[d, i] = (0, len(text), round(s / (total + m - s), 9))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(benchmark)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_words"], round(r["similarity"], 9)) for r in decontaminate.find(docs, items).collect()}
+    assert got == want and sum(len(texts[d]) < len(benchmark[i]) for d, i in want) > 20
+    kept = {r["doc_id"] for r in decontaminate.clean(docs, items).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_joined_anchors_agree_with_literals(spark, sf_dir, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     want = rows(decontaminate.find(docs, items).toPandas())
