@@ -7,6 +7,9 @@ of, together (neighbours of neighbours), they are scored against each other, and
 Queries start at their own node and walk the graph: each round joins the best unvisited nodes of
 every query with their neighbours, until the best ``BEAM`` of a query are all visited.
 
+Graph and walk rank by copies in the vectors' own precision (``raw``) with scores in double precision,
+as the result does, so that close vectors are told apart and one large vector does not blur the others.
+
 All rows are indexed. What is sampled is only the work of a round (``SAMPLE`` neighbours each way per
 node, the method's own rate); recall against brute force is tested.
 
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyrine.llm.common import materialise, release
 
@@ -36,7 +40,7 @@ BEAM = 320
 EXPAND = 80
 HOPS = 12
 ROWS_AT_ONCE = 200_000
-EDGE = "node long, nbr long, score float"
+EDGE = "node long, nbr long, score double"
 
 
 def _runs(batches: Iterator[pa.RecordBatch], least: int = ROWS_AT_ONCE) -> Iterator[pa.Table]:
@@ -58,14 +62,18 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int = ROWS_AT_ONCE) -> Itera
         yield pa.concat_tables(held).combine_chunks()
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Half-precision rows of a binary column as a float32 matrix."""
+def _width(nodes: DataFrame) -> type:
+    return np.float32 if isinstance(nodes.schema["vec"].dataType.elementType, T.FloatType) else np.float64
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, width: type) -> np.ndarray:
+    """Rows of a binary column as a float64 matrix."""
     cells = column.to_pylist()
-    return np.frombuffer(b"".join(cells), np.float16).reshape(len(cells), -1).astype(np.float32)
+    return np.frombuffer(b"".join(cells), width).reshape(len(cells), -1).astype(np.float64)
 
 
 def _edges(node, nbr, score) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(nbr, pa.int64()), pa.array(score, pa.float32())], names=["node", "nbr", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(nbr, pa.int64()), pa.array(score, pa.float64())], names=["node", "nbr", "score"])
 
 
 def _bounds(key: np.ndarray) -> np.ndarray:
@@ -80,29 +88,26 @@ def _best(scores: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of the rows that take part."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter("id is not null and vec is not null and size(vec) > 0")
+    """(id, vec) of the rows that take part; floats stay floats, all else is double."""
+    kind = "array<float>" if vectors.select(vec_col).dtypes[0][1] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec")).filter("id is not null and vec is not null and size(vec) > 0")
     rows = rows.filter("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))").filter("exists(vec, x -> x <> 0)")
     common = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return rows.filter(F.size("vec") == (common[0]["d"] if common else 0))
 
 
-def _pack(scale: float):
-    """Half-precision copies for candidate scores, brought to at most 1 so that none overflows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vec = batch.column(1)
-            half = (vec.flatten().to_numpy().reshape(batch.num_rows, -1) / scale).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), vec, pa.array([r.tobytes() for r in half], pa.binary())], names=["node", "vec", "half"])
-
-    return run
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Copies as bytes, for candidate scores."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        vec = batch.column(1)
+        raw = vec.flatten().to_numpy().reshape(batch.num_rows, -1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), vec, pa.array([r.tobytes() for r in raw], pa.binary())], names=["node", "vec", "raw"])
 
 
 def nodes_of(rows: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
-    """(node, vec, half) of distinct vectors and (node, id) of the ``members`` smallest ids of each.
+    """(node, vec, raw) of distinct vectors and (node, id) of the ``members`` smallest ids of each.
 
     The ranked filter is cut to ``members`` rows per vector before the shuffle, so a common vector
     does not gather in one task.
@@ -112,8 +117,7 @@ def nodes_of(rows: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
     heads = ranked.filter("r = 1").select(F.col("id").alias("head"), "vec")
     # Ids may repeat with other vectors: nodes get numbers of their own.
     heads = heads.withColumn("node", F.xxhash64("head", "vec"))
-    scale = heads.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
-    nodes = materialise(heads.select("node", "vec").mapInArrow(_pack(scale), "node long, vec array<double>, half binary"), "nodes")
+    nodes = materialise(heads.select("node", "vec").mapInArrow(_pack, f"node long, vec {heads.select('vec').dtypes[0][1]}, raw binary"), "nodes")
     named = ranked.join(nodes.select("node", "vec"), "vec").select("node", "id")
     return nodes, materialise(named, "member_ids")
 
@@ -121,19 +125,20 @@ def nodes_of(rows: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
 def _start(nodes: DataFrame, count: int, dim: int, trees: int) -> DataFrame:
     """First edges: the best of each block of BLOCK nodes that are neighbours in a random projection."""
     bits = max(0, int(np.ceil(np.log2(max(1, count) / BLOCK))))
-    planes = np.random.default_rng(11).normal(size=(trees, bits + 1, dim)).astype(np.float32)
+    planes = np.random.default_rng(11).normal(size=(trees, bits + 1, dim))
+    width = _width(nodes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1))
+            x = _matrix(batch.column(1), width)
             for t in range(trees):
                 y = x @ planes[t].T
                 bucket = ((y[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))) * trees + t
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(y[:, bits], pa.float32()), batch.column(0), batch.column(1)], names=["bucket", "line", "node", "half"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(y[:, bits], pa.float64()), batch.column(0), batch.column(1)], names=["bucket", "line", "node", "raw"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 20_000):
-            x, node = _matrix(rows["half"]), rows["node"].to_numpy()
+            x, node = _matrix(rows["raw"], width), rows["node"].to_numpy()
             cuts = _bounds(rows["bucket"].to_numpy())
             for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
                 for a in range(begin, end, BLOCK):
@@ -145,7 +150,7 @@ def _start(nodes: DataFrame, count: int, dim: int, trees: int) -> DataFrame:
                     i, j = _best(s, min(DEGREE // 2, len(s) - 1))
                     yield _edges(node[part][i], node[part][j], s[i, j])
 
-    placed = nodes.select("node", "half").mapInArrow(place, "bucket long, line float, node long, half binary")
+    placed = nodes.select("node", "raw").mapInArrow(place, "bucket long, line double, node long, raw binary")
     return placed.repartition("bucket").sortWithinPartitions("bucket", "line").mapInArrow(pair, EDGE)
 
 
@@ -171,18 +176,19 @@ def _keep_best(edges: DataFrame, degree: int) -> DataFrame:
 
 def _round(graph: DataFrame, nodes: DataFrame, number: int) -> DataFrame:
     """Candidate edges from one joining of neighbours of neighbours."""
+    width = _width(nodes)
     pick = F.xxhash64(F.lit(number), "node", "nbr")
     some = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(pick)) <= SAMPLE
     ahead = graph.withColumn("k", some("node")).filter("k").select(F.col("node").alias("pivot"), F.col("nbr").alias("node"))
     back = graph.withColumn("k", some("nbr")).filter("k").select(F.col("nbr").alias("pivot"), "node")
     itself = nodes.select(F.col("node").alias("pivot"), "node")
-    floor = graph.groupBy("node").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("n")).select("node", F.when(F.col("n") >= DEGREE, F.col("worst")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-    carried = nodes.select("node", "half").join(floor, "node", "left")
-    members = ahead.unionByName(back).unionByName(itself).distinct().join(carried, "node").select("pivot", "node", "half", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
+    floor = graph.groupBy("node").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("n")).select("node", F.when(F.col("n") >= DEGREE, F.col("worst")).otherwise(F.lit(float("-inf"))).alias("worst"))
+    carried = nodes.select("node", "raw").join(floor, "node", "left")
+    members = ahead.unionByName(back).unionByName(itself).distinct().join(carried, "node").select("pivot", "node", "raw", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 20_000):
-            x, node, worst = _matrix(rows["half"]), rows["node"].to_numpy(), rows["worst"].to_numpy()
+            x, node, worst = _matrix(rows["raw"], width), rows["node"].to_numpy(), rows["worst"].to_numpy()
             cuts = _bounds(rows["pivot"].to_numpy())
             out: list[tuple] = []
             for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
@@ -219,7 +225,7 @@ def _scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (batch.column(i).flatten().to_numpy().reshape(batch.num_rows, -1) for i in (2, 3))
+            a, b = (batch.column(i).flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a * b).sum(1), pa.float64())], names=["q", "node", "score"])
 
     of_q = nodes.select(F.col("node").alias("q"), F.col("vec").alias("qvec"))
@@ -228,12 +234,13 @@ def _scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _guessed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(q, node, score) in half precision: each query's vector travels once, beside those of its candidates."""
+    """(q, node, score) from the copies: each query's vector travels once, beside those of its candidates."""
+    width = _width(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 20_000):
             q, node, own = (rows[c].to_numpy(zero_copy_only=False) for c in ("q", "node", "own"))
-            x, score = _matrix(rows["half"]), np.zeros(len(q), np.float32)
+            x, score = _matrix(rows["raw"], width), np.zeros(len(q))
             cuts = _bounds(q)
             for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
                 mine = begin + int(np.flatnonzero(own[begin:end])[0])
@@ -241,9 +248,9 @@ def _guessed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = ~own
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (q, node, score)], names=["q", "node", "score"])
 
-    cells = pairs.join(nodes.select("node", "half"), "node").select("q", "node", "half", F.lit(False).alias("own"))
-    asked = pairs.select("q").distinct().join(nodes.select(F.col("node").alias("q"), "half"), "q").select("q", F.col("q").alias("node"), "half", F.lit(True).alias("own"))
-    return cells.unionByName(asked).repartition("q").sortWithinPartitions("q").mapInArrow(run, "q long, node long, score float")
+    cells = pairs.join(nodes.select("node", "raw"), "node").select("q", "node", "raw", F.lit(False).alias("own"))
+    asked = pairs.select("q").distinct().join(nodes.select(F.col("node").alias("q"), "raw"), "q").select("q", F.col("q").alias("node"), "raw", F.lit(True).alias("own"))
+    return cells.unionByName(asked).repartition("q").sortWithinPartitions("q").mapInArrow(run, "q long, node long, score double")
 
 
 def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, keep: int, beam: int = BEAM) -> DataFrame:

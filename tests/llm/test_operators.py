@@ -168,6 +168,27 @@ def test_nearest_recall_and_scores(spark, sf_dir):
     assert hit / len(got) >= 0.9
 
 
+@pytest.mark.parametrize(("kind", "noise"), [("float", 0.005), ("double", 0.0001)])
+def test_nearest_tells_near_copies_apart(spark, kind, noise):
+    """One group of near copies and a vector with a large component, against brute force."""
+    rng = np.random.default_rng(18)
+    centre, e = rng.normal(size=32), rng.normal(size=(1000, 32))
+    x = centre / np.linalg.norm(centre) + noise * e / np.linalg.norm(e, axis=1)[:, None]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1] = 0
+    x[1, 3] = 1e6
+    x = x.astype(np.float32 if kind == "float" else np.float64).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0).toPandas()
+    assert got.groupby("query_id").size().to_dict() == dict.fromkeys(range(0, 1000, 20), 20)
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        hit += len(set(np.lexsort((np.arange(1000), -s))[:20]) & set(g.vec_id))
+    assert hit / len(got) >= 0.9
+
+
 def test_nearest_odd_vectors(spark):
     nan = float("nan")
     vectors = [(i, [1.0, 0.0]) for i in range(40)] + [(40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [None, 1.0]), (120, [0.5, 0.5]), (140, [1.0]), (0, [1.0, 0.0]), (160, [1e6, 0.0])]
