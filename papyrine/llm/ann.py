@@ -213,7 +213,7 @@ def build_graph(nodes: DataFrame, rounds: int = ROUNDS, trees: int = TREES) -> D
     graph = materialise(_keep_best(_start(nodes, first["n"], first["d"] or 1, trees), DEGREE), "graph")
     for number in range(rounds):
         better = materialise(_keep_best(graph.unionByName(_round(graph, nodes, number)), DEGREE), "graph")
-        release(nodes.sparkSession, graph)
+        release(graph)
         graph = better
     return graph
 
@@ -266,11 +266,11 @@ def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, keep: i
         step = materialise(ranked.select("q", "node", "score", (F.col("seen") | F.col("go")).alias("seen"), "go"), "step")
         moves = step.filter("go").select("q", F.col("node").alias("at"))
         if not moves.head(1):
-            release(nodes.sparkSession, step)
+            release(step)
             break
         fresh = moves.join(near, "at").select("q", "node").distinct().join(step.select("q", "node"), ["q", "node"], "left_anti")
         new = materialise(step.drop("go").unionByName(_guessed(fresh, nodes).withColumn("seen", F.lit(False))), "state")
-        release(nodes.sparkSession, state, step)
+        release(state, step)
         state = new
     lead = state.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep).select("q", "node")
     return _scored(lead, nodes)

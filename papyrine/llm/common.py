@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
-#: Rows of texts that travel to a worker in one Arrow batch: both sides hold a batch outside the heap.
-ROWS = 1000
+#: Rows and bytes that travel to a worker in one Arrow batch (one row at least): both sides hold a batch outside the heap.
+ROWS, BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark is local (tests)."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_to:
         return set_to.rstrip("/")
     if "dir" not in _LOCAL:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="papyrine_")
     return _LOCAL["dir"]
 
@@ -37,17 +39,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
 
 
-def release(spark: SparkSession, *frames: DataFrame) -> None:
+def release(*frames: DataFrame) -> None:
     """Delete tables written by ``materialise`` that nothing reads any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for frame in frames:
-        tops = {f[: f.index("/", f.rindex("_"))] for f in frame.inputFiles() if "_" in f}
-        for top in tops:
-            path = jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(conf).delete(path, True)
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def trimmed(run: Callable) -> Callable:
@@ -66,11 +68,15 @@ def trimmed(run: Callable) -> Callable:
     return inner
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of what follows; a smaller setting of the user's stands."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= ROWS:
-        spark.conf.set(name, str(ROWS))
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of what follows by rows and by bytes; smaller settings of the user's stand.
+
+    They are read when a plan is run, which may be after the operator has returned, so they stay set.
+    """
+    for name, most in (("maxRecordsPerBatch", ROWS), ("maxBytesPerBatch", BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def rebatch(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -99,6 +105,12 @@ def whole_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def row_key(text: str | Column, *names: str) -> list[Column]:
+    """Two 64-bit hashes that, beside the id, tell the rows of a table apart by their texts; a null text has its own."""
+    c = F.col(text) if isinstance(text, str) else text
+    return [F.xxhash64(F.lit(7 * i), c.isNull(), c).alias(n) for i, n in enumerate(names)]
+
+
 def fold(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod``; a null id is in fold of the empty text (0)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -113,7 +125,7 @@ def append_columns(
     ``make`` runs once per task and returns the function applied to each batch of texts. New
     columns replace input columns of the same name (case-insensitive, as Spark resolves names).
     """
-    small_batches(df.sparkSession)
+    bound_batches(df.sparkSession)
     taken = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
     out_schema = T.StructType([*kept, *fields])
@@ -133,53 +145,34 @@ def append_columns(
     return df.mapInArrow(run, out_schema)
 
 
-#: Bits of the filter that ``split_by_keys`` broadcasts: 4 MB whatever the number of keys.
+#: Bits of the largest filter that ``split_by_keys`` makes: 4 MB whatever the number of keys.
 FILTER_BITS = 1 << 25
 
 
+def _bitmap(keys: DataFrame) -> tuple[Column, int]:
+    """(bitmap as one array of longs, its bits) of the hashes of a one-column frame; 32 bits a key or more, up to FILTER_BITS."""
+    hashed = keys.select(F.xxhash64(keys.columns[0]).alias("h"))
+    bits = min(FILTER_BITS, 1 << max(10, (32 * hashed.count()).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
+    words = hashed.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("w"))
+    cells = keys.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
+    whole = cells.agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("t")).select(F.transform("t", lambda x: x["w"]).alias("t"))
+    return materialise(whole, "bitmap").scalar(), bits
+
+
 def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that cannot match, rows that may) for the one long column of ``keys``.
 
-    A bitmap of fixed size travels, never the keys; false hits only send a few more rows through the
-    join that follows. So a filter by a small share of the ids does not shuffle every text. Both
-    parts hold all columns of ``df`` and no other. Null keys may match.
+    A bitmap of bounded size travels, never the keys; false hits only send a few more rows through the
+    join that follows. So a filter by a small share of the ids does not shuffle every text, and the
+    texts do not leave the JVM for it. Both parts hold all columns of ``df`` and no other. Null keys may match.
     """
-    import zlib
-
-    import numpy as np
-
-    @trimmed
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in rebatch(batches):
-            at = batch.column(0).drop_null().to_numpy() & (FILTER_BITS - 1)
-            np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bitmap.tobytes(), 1)], pa.binary())], names=["bitmap"])
-
-    spark = df.sparkSession
-    small_batches(spark)
-    hashed = keys.select(F.xxhash64(keys.columns[0]).alias("h"))
-    merged = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in hashed.coalesce(4).mapInArrow(bits, "bitmap binary").toLocalIterator():
-        merged |= np.frombuffer(zlib.decompress(row["bitmap"]), np.uint8)
-    shared = spark.sparkContext.broadcast(merged)
-    names = df.columns
-
-    def part(wanted: bool):
-        @trimmed
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bitmap = shared.value
-            for batch in batches:
-                h = batch.column(batch.num_columns - 1)
-                at = h.fill_null(0).to_numpy() & (FILTER_BITS - 1)
-                hit = ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) | h.is_null().to_numpy(zero_copy_only=False)
-                rows = pa.RecordBatch.from_arrays(batch.columns[:-1], names=names)
-                yield rows.filter(pa.array(hit == wanted))
-
-        return run
-
-    tagged = df.withColumn("__key__", F.when(key.isNotNull(), F.xxhash64(key)))
-    return tuple(tagged.mapInArrow(part(w), df.schema) for w in (False, True))
+    table, bits = _bitmap(keys)
+    at = F.xxhash64(key).bitwiseAND(F.lit(bits - 1))
+    word = F.get(table, F.shiftright(at, 6).cast("int"))
+    hit = F.call_function("shiftrightunsigned", word, at.bitwiseAND(F.lit(63)).cast("int"))
+    may = key.isNull() | (hit.bitwiseAND(F.lit(1)) == 1)
+    return df.filter(~may), df.filter(may)
 
 
 def drop_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:

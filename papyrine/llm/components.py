@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = materialise(small.filter("u > v").distinct(), "edges")
         now = _state(new)
-        release(edges.sparkSession, edges)
+        release(edges)
         edges = new
         if now == state:
             break

@@ -322,6 +322,31 @@ def test_suffix_dedup_odd_rows(odd, empty):
     assert again.columns == odd.columns and again.count() == len(ODD)
 
 
+def test_suffix_dedup_tells_rows_apart_by_text(spark):
+    """Ids that are null or shared by several texts, against brute force; pieces of long texts change nothing."""
+    texts = dedup_texts()
+    for ids in ([None] * len(texts), [i // 3 for i in range(len(texts))]):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+        got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicate(df).collect())
+        assert got == sorted(brute_repeats(texts))
+
+
+def test_long_texts_go_piece_by_piece(monkeypatch):
+    """Every window has the anchor it has in one piece, and digests are those of the contexts' bytes."""
+    raw = _noise(np.random.default_rng(25), 3000).encode()
+
+    def owners():
+        gram, da, db, first, last, at = suffix_dedup.anchors(raw)
+        assert first[0] == 0 and last[-1] == len(raw) - 200 and (first[1:] == last[:-1] + 1).all()
+        for f, e, a, b in zip(first, last, da, db, strict=True):
+            assert hashlib.sha256(raw[f : e + 200]).digest()[:16] == a.tobytes() + b.tobytes()
+        return np.repeat(at, last - first + 1).tolist(), np.repeat(gram, last - first + 1).tolist()
+
+    whole = owners()
+    monkeypatch.setattr(suffix_dedup, "PIECE", 97)
+    assert owners() == whole
+
+
 def test_sampled_sort_needs_equal_places():
     rng = np.random.default_rng(2)
     body = bytes(rng.integers(0, 4, 420, np.uint8) + 97)
@@ -437,6 +462,80 @@ def test_near_duplicates_whose_passages_repeat_unequally(spark):
     assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(df).collect()} == want
 
 
+def kept_texts(df):
+    return sorted(str(r["text"]) for r in simhash.keep_one(df).collect())
+
+
+def test_no_unique_document_goes_for_its_id(spark):
+    """Null ids and ids that several texts share: every class of texts keeps one row, whatever the ids."""
+    rng = np.random.default_rng(21)
+    texts = [" ".join(f"u{rng.integers(10**6)}" for _ in range(80)) for _ in range(5)]
+    near = texts[0] + " more"
+    some = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (1, texts[3]), (2, texts[3]), (2, texts[4]), (2, texts[4]), (7, near), (None, None), (8, "")]
+    df = spark.createDataFrame(some, "doc_id long, text string").withColumns({"row_a": F.lit(1), "root": F.lit(2), "node": F.rand(1)})
+    assert kept_texts(df.repartition(3)) == sorted([near, texts[1], texts[2], texts[3], texts[4], ""])
+    assert simhash.keep_one(df).columns == df.columns
+    got = {(r["doc_id"], r["row_a"]): r["root"] for r in simhash.near_duplicates(df).collect()}
+    assert len(set(got.values())) == 6
+    assert kept_texts(spark.createDataFrame([(None, t) for t in texts + texts[:2]], "doc_id long, text string")) == sorted(texts)
+
+
+def chain(rng, sizes, count):
+    """``count`` groups of leading words of one sequence."""
+    out = []
+    for _ in range(count):
+        base = [f"c{rng.integers(10**6)}" for _ in range(max(sizes))]
+        out += [" ".join(base[:n]) for n in sizes]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(204, 202, 163), (104, 119, 139, 164), (8, 9), (12, 14, 16, 19)])
+def test_links_between_members_of_leaders(spark, sizes):
+    """A link that alone joins two members, neither of which is the other's leader."""
+    texts = chain(np.random.default_rng(22), sizes, 60)
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    want = near_groups(texts, ids)
+    assert len(set(want.values())) == 60
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(df).collect()} == want
+
+
+def test_large_shards_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 7)
+    rng = np.random.default_rng(23)
+    texts = chain(rng, (204, 202, 163), 5)
+    for share in (0.01, 0.02, 0.03):
+        base = [f"v{rng.integers(5000)}" for _ in range(150)]
+        texts += [" ".join(edited(rng, base, share)) for _ in range(60)]
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(df).collect()} == near_groups(texts, ids)
+
+
+def test_pairs_of_a_shard_are_all_found():
+    """Every pair within the radius of members of different components, by brute force; blocks share them out."""
+    rng = np.random.default_rng(24)
+    base = int(rng.integers(1 << 62))
+    members = []
+    for i in range(120):
+        fp = base
+        for k in rng.choice(64, rng.integers(0, 20), replace=False):
+            fp ^= 1 << int(k)
+        members.append((i, fp, int(rng.integers(80, 120)), int(rng.choice([0, 0, 0, 1, 2, 100 + i]))))
+    fits = lambda a, b: a[3] != b[3] and (a[1] ^ b[1]).bit_count() <= 24 and min(a[2], b[2]) >= 0.8 * max(a[2], b[2])
+    want = {(a[0], b[0]) for a in members for b in members if a[0] < b[0] and fits(a, b)}
+    norm = lambda pairs: sorted(tuple(sorted(p)) for p in pairs)
+    assert norm(simhash.shard_pairs(members, [0] * 120, 0.8, False)) == sorted(want)
+    parts, across = [[m for m in members if m[0] % 3 == b] for b in range(3)], []
+    for i in range(3):
+        for j in range(i, 3):
+            both = parts[i] + parts[j] if i != j else parts[i]
+            across += norm(simhash.shard_pairs(both, [m[0] % 3 for m in both], 0.8, False))
+    assert sorted(across) == sorted(want)
+    close = norm(simhash.shard_pairs(members, [0] * 120, 0.8, True))
+    assert set(close) <= want and {members[a][3] for p in close for a in p} == {members[a][3] for p in want for a in p}
+
+
 # 10. Decontamination -------------------------------------------------------------------------------
 
 
@@ -480,13 +579,54 @@ def test_documents_shorter_than_the_item(spark):
     assert kept == set(range(len(texts))) - {d for d, _ in want}
 
 
-def test_joined_anchors_agree_with_literals(spark, sf_dir, monkeypatch):
+def test_several_anchor_tables_agree_with_one(spark, sf_dir, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     want = rows(decontaminate.find(docs, items).toPandas())
-    monkeypatch.setattr(decontaminate, "MOST_LITERALS", 3)
+    anchors = spark.range(100).selectExpr("id as h", "1 as most")
+    monkeypatch.setattr(decontaminate, "TABLE_ROWS", 40)
+    assert len(list(decontaminate._tables(anchors))) == 3
+    monkeypatch.setattr(decontaminate, "TABLE_ROWS", 2000)
     assert rows(decontaminate.find(docs, items).toPandas()) == want and want
 
 
+def decontaminated_rows(spark, ids):
+    """20 items; of each, one text holds it whole and one its first 20 words. ``ids`` names the rows."""
+    rng = np.random.default_rng(19)
+    items, texts = [], []
+    for _ in range(20):
+        item = [f"b{rng.integers(10**6)}" for _ in range(40)]
+        items.append(" ".join(item))
+        texts += [" ".join(item + [f"d{rng.integers(10**6)}" for _ in range(60)]), " ".join(item[:20] + [f"d{rng.integers(10**6)}" for _ in range(60)])]
+    docs = spark.createDataFrame([(i, t) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string")
+    return docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), texts
+
+
+@pytest.mark.parametrize("ids", [list(range(40)), [i // 2 for i in range(40)], [None] * 40])
+def test_decontamination_tells_rows_apart_by_text(spark, ids):
+    docs, items, texts = decontaminated_rows(spark, ids)
+    found = decontaminate.find(docs, items).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in found) == sorted((str(i), n // 2) for n, i in enumerate(ids) if n % 2 == 0)
+    assert sorted(r["text"] for r in decontaminate.clean(docs.unionByName(docs), items).collect()) == sorted(texts[1::2] * 2)
+
+
+def test_items_tell_apart_by_text(spark):
+    docs, items, _ = decontaminated_rows(spark, range(40))
+    for item_id in (None, 7):
+        got = decontaminate.find(docs, items.withColumn("item_id", F.lit(item_id).cast("long"))).collect()
+        assert sorted((r["doc_id"], r["item_id"], r["similarity"]) for r in got) == [(n, item_id, 1.0) for n in range(0, 40, 2)]
+
+
+def test_fingerprints_of_many_shingles(spark):
+    """Both widths of lanes against the plain definition."""
+    rng = np.random.default_rng(20)
+    small, large = (rng.integers(-(1 << 63), 1 << 63, n) for n in (37, 70_000))
+    large[:40_000] = large[0]
+    df = spark.createDataFrame([(0, small.tolist()), (1, large.tolist())], "k int, h array<long>")
+    got = {r["k"]: (r["fp"], r["narrow"]) for r in df.select("k", decontaminate.fingerprint("h").alias("fp"), decontaminate._counted("h", 2).alias("narrow")).collect()}
+    want = [simhash.signed(simhash.fold_bits(x.view(np.uint64))) for x in (small, large)]
+    assert [got[0], got[1]] == [(w, w) for w in want]
+
+
 # Shared plumbing -----------------------------------------------------------------------------------
 
 
