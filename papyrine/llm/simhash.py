@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import append_columns, materialise, rebatch, split_by_keys, trimmed
+from papyrine.llm.common import append_columns, materialise, rebatch, release, row_key, split_by_keys, trimmed
 from papyrine.llm.components import connected_components
 
 SEED = 42
@@ -218,16 +218,24 @@ def components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "
 
 # Near duplicates by verified similarity ------------------------------------------------------------
 
-#: Tables that shard the documents, min-hashes in a table's key, and the radius searched within a
-#: shard. Texts of similarity 0.8 agree in a key with probability 0.33 and miss all 40 with 1e-7; texts
-#: that share a passage of a third of their length agree with 0.004, so that a passage of very many
-#: documents makes no large shard. A bit of the fingerprints differs with probability 0.15, so that
-#: more than 22 of 64 do in fewer than 1 of 10,000 cases.
+#: Tables that shard the documents and min-hashes in a table's key. Texts of similarity 0.8 agree in a key
+#: with probability 0.33 and miss all 40 with 1e-7; texts that share a passage of a third of their length
+#: agree with 0.004, so that a passage of very many documents makes no large shard.
 TABLES, KEY_HASHES = 40, 5
-NEAR_RADIUS = 22
+#: Rows of one shard that a task takes; a larger shard is cut into blocks of that size.
+SHARD_ROWS = 20_000
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, size=TABLES * KEY_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def near_radius(n: int) -> int:
+    """Bits searched for sets of at most ``n`` shingles.
+
+    For every pair of sets at similarity 0.8 or more the odds that more bits than that differ are below
+    1e-5: a bit differs with probability 0.161 at most, and with 0.188 for four of five shingles.
+    """
+    return 27 if n <= 5 else 24
+
+
 def signature(text: str | None, words: int) -> tuple[int, int, int, int, list[int]]:
     """(two digests of the shingle set, its size, fingerprint, shard keys), all of the set: repeats do not count."""
     from xxhash import xxh64_intdigest
@@ -248,52 +256,125 @@ def signature(text: str | None, words: int) -> tuple[int, int, int, int, list[in
     return signed(xxh64_intdigest(raw, 1)), signed(xxh64_intdigest(raw, 2)), len(distinct), signed(fold_bits(distinct)), keys
 
 
-def _candidates(radius: int, similarity: float, everything: bool):
-    """Candidate pairs of each shard (rows come sorted by key: key, node, fp, n, active, root).
+Member = tuple[int, int, int, int]  # node, fingerprint, set size, component
+
+
+def _reach(tree: BKTree, where: list[Member], fp: int, n: int, similarity: float) -> Iterator[tuple[int, Member]]:
+    """(distance, member) of the tree's members that a set of ``n`` shingles may be similar to."""
+    for i, d in tree.within(fp, near_radius(n) if n <= 5 else near_radius(6)):
+        other = where[i]
+        if d <= near_radius(max(n, other[2])) and min(n, other[2]) >= similarity * max(n, other[2]):
+            yield d, other
 
-    First every member is held against the leaders of its shard: it goes to the first within reach,
-    or becomes a leader. ``everything``: each active member is held against all members before it
-    that are not in its component already.
-    """
 
-    def shard(rows: list[tuple[int, int, int, bool, int]]) -> Iterator[tuple[int, int]]:
-        tree, where = BKTree(), []
-        for node, fp, n, active, root in rows:
-            near = (where[i] for i, _ in tree.within(fp, radius))
-            fits = [o for o in near if min(n, o[1]) >= similarity * max(n, o[1]) and o[0] != node and not (everything and o[3] == root)]
-            if everything:
-                yield from ((node, o[0]) for o in fits if active or o[2])
-            elif fits:
-                yield node, min(o[0] for o in fits)
+def shard_leads(members: list[Member], similarity: float) -> list[int | None]:
+    """For each member the least leader within reach, or none: then it is a leader from there on."""
+    tree, where, out = BKTree(), [], []
+    for member in members:
+        node, fp, n, _ = member
+        lead = min((o[0] for _, o in _reach(tree, where, fp, n, similarity)), default=None)
+        out.append(lead)
+        if lead is None:
+            tree.add(fp)
+            where.append(member)
+    return out
+
+
+def shard_pairs(members: list[Member], blocks: list[int], similarity: float, nearest: bool) -> Iterator[tuple[int, int]]:
+    """Pairs within reach of members of different components (and, where ``blocks`` holds two numbers, of different blocks).
+
+    The tree holds all but the largest component, whose members only search. ``nearest``: of the pairs of a
+    member with a larger component only the closest.
+    """
+    sizes: dict[int, int] = {}
+    for m in members:
+        sizes[m[3]] = sizes.get(m[3], 0) + 1
+    if len(sizes) < 2:
+        return
+    most = max(sizes, key=lambda r: (sizes[r], r))
+    across = min(blocks) != max(blocks)
+    tree, where, block_of = BKTree(), [], {}
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    order = sorted(range(len(members)), key=lambda i: members[i][3] == most)
+    for i in order:
+        node, fp, n, root = members[i]
+        for d, o in _reach(tree, where, fp, n, similarity):
+            if o[3] == root or across and block_of[o[0]] == blocks[i]:
+                continue
+            if not nearest:
+                yield node, o[0]
                 continue
+            own, its = ((node, root), (o[0], o[3])) if (sizes[root], root) < (sizes[o[3]], o[3]) else ((o[0], o[3]), (node, root))
+            key, value = (own[0], its[1]), (d, own[0], its[0])
+            if value < best.get(key, (65, 0, 0)):
+                best[key] = value
+        if root != most:
             tree.add(fp)
-            where.append((node, n, active, root))
+            where.append(members[i])
+            block_of[node] = blocks[i]
+    yield from ((u, v) for _, u, v in best.values())
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole runs of the first column (rows come sorted by it)."""
+    held: list[pa.Table] = []
+    for batch in rebatch(batches):
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_tables([*held, pa.Table.from_batches([batch])]).combine_chunks()
+        key = rows.column(0).to_numpy()
+        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+        if cut:
+            yield rows.slice(0, cut)
+        held = [rows.slice(cut)]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _members(rows: pa.Table, begin: int, end: int) -> list[Member]:
+    part = rows.slice(begin, end - begin)
+    root = part["root"].to_pylist() if "root" in part.column_names else [0] * (end - begin)
+    return list(zip(part["node"].to_pylist(), part["fp"].to_numpy().view(np.uint64).tolist(), part["n"].to_pylist(), root, strict=True))
+
+
+def _cuts(key: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+
+
+SHARD = "shard long, key long, node long, fp long, n long, lead long"
+
+
+def _lead_runs(similarity: float):
+    """Members of shards of two or more, each with its leader; rows come sorted by (shard, node)."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, []
+        for rows in _shards(batches):
+            cuts = _cuts(rows["shard"].to_numpy())
+            shared = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
+            rows = rows.filter(pa.array(shared))
+            if not len(rows):
+                continue
+            cuts, leads = _cuts(rows["shard"].to_numpy()), []
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                leads += shard_leads(_members(rows, begin, end), similarity)
+            yield from rows.append_column("lead", pa.array(leads, pa.int64())).combine_chunks().to_batches()
 
-        def emit(pairs):
-            u, v = zip(*pairs, strict=True) if pairs else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    return run
 
-        for batch in rebatch(batches):
-            pairs: list[tuple[int, int]] = []
-            key, node, fp, n, active, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            if not len(key):
-                continue
-            cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+
+def _pair_runs(similarity: float, nearest: bool):
+    """Pairs of each shard; rows come sorted by (shard, node)."""
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _shards(batches):
+            cuts, blocks = _cuts(rows["shard"].to_numpy()), rows["block"].to_pylist()
             for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                rows = list(zip(node[begin:end].tolist(), fp[begin:end].view(np.uint64).tolist(), n[begin:end].tolist(), active[begin:end].tolist(), root[begin:end].tolist(), strict=True)) if end - begin > 1 or end == len(key) or key[begin] == held_key else []
-                if key[begin] == held_key:
-                    held += rows
-                    continue
-                if len(held) > 1:
-                    pairs += shard(held)
-                held_key, held = key[begin], rows
-            yield emit(pairs)
-        if len(held) > 1:
-            yield emit(list(shard(held)))
+                pairs = list(shard_pairs(_members(rows, begin, end), blocks[begin:end], similarity, nearest))
+                if pairs:
+                    u, v = zip(*pairs, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -305,10 +386,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+        for batch in (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100)):
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
@@ -316,18 +397,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, ok boolean")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = NEAR_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, group_id): the smallest id of the documents reachable over pairs of ``similarity`` or more.
+def _shard_table(heads: DataFrame, similarity: float) -> DataFrame:
+    """Members of all shards of two or more with their leaders. A shard of over SHARD_ROWS is led block by block."""
+    keyed = heads.filter("n > 0").select(F.explode("keys").alias("key"), "node", "fp", "n")
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SHARD_ROWS)
+    large = materialise(large.select("key", F.ceil(F.col("c") / SHARD_ROWS).alias("parts")), "large_shards")
+    shard = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), "parts")))
+    keyed = keyed.join(large, "key", "left").select(shard.alias("shard"), "key", "node", "fp", "n")
+    led = keyed.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_lead_runs(similarity), SHARD)
+    return materialise(led, "shards")
 
-    Similarity is the exact Jaccard similarity of the sets of word shingles. Texts of equal sets are
-    one node. Nodes are dealt into shards by keys of min-hashes; each shard holds a BK-tree of SimHash
-    fingerprints, and what it finds within the radius is verified on the whole sets. A shard first
-    holds members against its leaders only; those of which a pair failed are then held against all others
-    that are not in their component yet,
-    so a large group of near copies costs a pair a member and no link is lost. Texts without words
-    are one group.
-    """
 
+def _contested(shards: DataFrame, roots: DataFrame) -> DataFrame:
+    """(shard, block, node, fp, n, root) of shards whose members are in several components.
+
+    A shard of over SHARD_ROWS is cut into blocks by node, of which every two meet in a shard of their own.
+    """
+    rooted = shards.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(rooted.select("key", "node", "fp", "n", "root"), "rooted")
+    mixed = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    mixed = mixed.select("key", F.ceil(F.col("c") / SHARD_ROWS).cast("int").alias("parts"))
+    block = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    members = rooted.join(mixed, "key").withColumn("block", block)
+    # Block b meets every block: as (b, x) with those after it, as (x, b) with those before it, and itself.
+    met = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    shard = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")))
+    return met.select(shard.alias("shard"), "block", "node", "fp", "n", "root")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row_a, row_b, group_id, root) per row: the class, and the row's key beside its id.
+
+    Classes are joined by pairs of ``similarity`` or more: the exact Jaccard similarity of the sets of word
+    shingles. Texts of equal sets are one node. Nodes are dealt into shards by keys of min-hashes; each
+    shard holds a BK-tree of SimHash fingerprints, and what it finds within the radius is verified on the
+    whole sets, in three rounds: every member with one leader of its shards; then, of members of different
+    components, each with the closest member of a larger one; then all pairs of members that are still in
+    different components. So a large group of near copies costs few pairs a member, and every pair that a
+    shard and the radius propose is verified unless its members are joined already.
+
+    Defined results: ``group_id`` is the smallest id of the class (null where all its ids are), ``root``
+    names the class where ids are null or repeat; texts without words are one class; rows that share an id
+    are nodes by their texts; an empty table gives none.
+    """
     def make():
         def run(texts):
             got = [signature(t, words) for t in texts]
@@ -336,61 +448,67 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
         return run
 
     fields = [T.StructField(c, T.LongType()) for c in ("da", "db", "n", "fp")] + [T.StructField("keys", T.ArrayType(T.LongType()))]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = materialise(append_columns(rows, make, fields).drop("text"), "signatures")
-    # A node is named by the smallest id of its set; ids that several sets share get the digest's name.
-    heads = rows.groupBy("da", "db").agg(F.min("id").alias("least"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), *row_key(text_col, "row_a", "row_b"), F.col(text_col).alias("text"))
+    rows = materialise(append_columns(keyed, make, fields).drop("text"), "signatures")
+    one = F.min(F.struct("id", "row_a", "row_b")).alias("one")  # the row whose text is read again for the node
+    heads = rows.groupBy("da", "db").agg(F.min("id").alias("least"), one, F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
     heads = materialise(heads.withColumn("node", F.xxhash64("da", "db")), "nodes")
 
-    def candidates(active: DataFrame | None, roots: DataFrame | None) -> DataFrame:
-        base, flag, root = heads, F.lit(False), F.col("node")
-        if active is not None:
-            base = heads.join(active.withColumn("active", F.lit(True)), "node", "left").join(roots, "node", "left")
-            flag, root = F.coalesce("active", F.lit(False)), F.coalesce("root", "node")
-        keyed = base.filter("n > 0").select(F.explode("keys").alias("key"), "node", "fp", "n", flag.alias("active"), root.alias("root"))
-        if active is not None:  # only shards that hold an active member
-            keyed = keyed.join(keyed.filter("active").select("key").distinct(), "key", "left_semi")
-        found = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(radius, similarity, active is not None), "u long, v long")
-        return materialise(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
-
     def shingle_sets(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        owners = materialise(heads.join(wanted, "node").select("node", F.col("least").alias("id"), "da", "db"), "owners")
-        _, maybe = split_by_keys(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), F.col("id"), owners.select("id"))
+        owners = materialise(heads.select("node", "one").join(wanted, "node").select("node", "one.*"), "owners")
+        _, maybe = split_by_keys(keyed, F.xxhash64("id", "row_a", "row_b"), owners.select(F.xxhash64("id", "row_a", "row_b").alias("key")))
 
         def sets():
-            def run(texts):
-                from xxhash import xxh64_intdigest
-
-                found = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts]
-                return {"shingles": found, "da": [signed(xxh64_intdigest(f, 1)) for f in found]}
-
-            return run
-
-        made = append_columns(maybe, sets, [T.StructField("shingles", T.BinaryType()), T.StructField("da", T.LongType())]).select("id", "da", "shingles")
-        return materialise(made.join(owners.select("node", "id", "da"), ["id", "da"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
-
-    pairs = candidates(None, None)
-    judged = materialise(_verified(pairs, shingle_sets(pairs), similarity), "judged")
-    failed = judged.filter("not ok")
-    active = failed.select(F.col("u").alias("node")).unionByName(failed.select(F.col("v").alias("node"))).distinct()
-    first = materialise(connected_components(judged.filter("ok").select("u", "v")), "first")
-    rest = candidates(materialise(active, "active"), first).join(judged.select("u", "v"), ["u", "v"], "left_anti")
-    rest = materialise(rest, "pairs")
-    judged = judged.unionByName(_verified(rest, shingle_sets(rest), similarity))
+            return lambda texts: {"shingles": [np.unique(shingle_hashes(t, words)).tobytes() for t in texts]}
+
+        on = maybe["id"].eqNullSafe(owners["id"]) & (maybe["row_a"] == owners["row_a"]) & (maybe["row_b"] == owners["row_b"])
+        mine = maybe.join(owners, on).select("node", "text").dropDuplicates(["node"])
+        found = materialise(append_columns(mine, sets, [T.StructField("shingles", T.BinaryType())]).select("node", "shingles"), "sets")
+        release(owners)
+        return found
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        sets = shingle_sets(pairs)
+        found = materialise(_verified(pairs, sets, similarity), "judged")
+        release(sets)
+        return found
+
+    shards = _shard_table(heads, similarity)
+    pairs = materialise(shards.filter("lead is not null").groupBy(F.col("node").alias("u")).agg(F.min("lead").alias("v")), "pairs")
+    judged = judge(pairs)
+    for nearest in (True, False):
+        roots = materialise(connected_components(judged.filter("ok").select("u", "v")), "roots")
+        mixed = _contested(shards, roots).repartition("shard").sortWithinPartitions("shard", "node")
+        pairs = mixed.mapInArrow(_pair_runs(similarity, nearest), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        known = judged.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        pairs = materialise(pairs.distinct().join(known, ["u", "v"], "left_anti"), "pairs")
+        judged = judged.unionByName(judge(pairs))
+    release(shards)
     roots = connected_components(judged.filter("ok").select("u", "v"))
     named = materialise(heads.join(roots, "node", "left").select("da", "db", "least", F.coalesce("root", "node").alias("root")), "roots")
     groups = named.groupBy("root").agg(F.min("least").alias("group_id"))
-    of_set = named.join(groups, "root").select("da", "db", "group_id")
-    return rows.join(of_set, ["da", "db"]).select(F.col("id").alias(id_col), "group_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id (a row that repeats is kept once)."""
-    found = materialise(near_duplicates(docs, id_col=id_col, **settings), "groups")
-    kept = found.groupBy("group_id").agg(F.count_if(F.col(id_col) == F.col("group_id")).alias("c"))
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("group_id"))).select(F.col(id_col).alias("id"))
-    twice = kept.filter("c > 1").select(F.col("group_id").alias("id"))
-    clear, maybe = split_by_keys(docs, F.col(id_col), gone.unionByName(twice))
-    left = maybe.join(gone.distinct(), maybe[id_col] == F.col("id"), "left_anti").dropDuplicates([id_col])
+    of_set = named.join(groups, "root").select("da", "db", "group_id", "root")
+    return rows.join(of_set, ["da", "db"]).select(F.col("id").alias(id_col), "row_a", "row_b", "group_id", "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row of each near-duplicate class: the smallest id (a null one last), of equal ids the smallest text key.
+
+    Rows of equal id and text that differ in other columns are copies too; one of them stays.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
+    found = materialise(found.select("root", F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), "row_a", "row_b").alias("row")), "groups")
+    first = found.groupBy("root").agg(F.min("row").alias("first"))
+    kept = found.join(first, "root").groupBy("row").agg(F.any_value(F.col("row") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("c"))
+    kept = materialise(kept.filter("not stays or c > 1").select("row.id", "row.row_a", "row.row_b", "stays"), "gone")
+    # Rows of one key are alike in id and text, so they are in one class: a key stays or goes as a whole.
+    a, b = row_key(text_col, "a", "b")
+    docs_id = F.col(id_col).cast("long")
+    clear, maybe = split_by_keys(docs, F.xxhash64(docs_id, a, b), kept.select(F.xxhash64("id", "row_a", "row_b").alias("key")))
+    gone = kept.filter("not stays")
+    on = docs_id.eqNullSafe(gone["id"]) & (a == gone["row_a"]) & (b == gone["row_b"])
+    order = F.xxhash64(*[F.to_json(F.struct(*docs.columns))])
+    copies = Window.partitionBy(docs_id, a, b).orderBy(order)
+    left = maybe.join(gone, on, "left_anti").withColumn("__copy__", F.row_number().over(copies)).filter("__copy__ = 1").drop("__copy__")
     return clear.unionByName(left)
