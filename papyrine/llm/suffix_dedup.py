@@ -6,42 +6,45 @@ Every byte that lies in a ``LENGTH``-byte string which also starts anywhere else
    windows have equal anchors at equal offsets, so windows only meet within an anchor's group, and
    positions at multiples of 8 from the anchor are a difference cover: equal windows reach a sampled
    position after the same l < 8 bytes. An anchor's context spans the windows that it owns.
-2. Groups. Anchors are dealt by hash. One that occurs once is dropped. Contexts that agree in two
-   64-bit hashes are copies: their windows repeat, and one of them stands for all from here on.
+2. Groups. Anchors are dealt by hash. One that occurs once is dropped. Contexts of equal bytes, told by
+   128 bits of their SHA-256, are copies: their windows repeat, and one of them stands for all from here on.
 3. Suffix sort of what is left, per group: sort the sampled triples of 8-byte words and name them,
    recurse on triples of names (24, 72, then 192 bytes), merge the remaining suffixes by the bytes
    before and after the named 192, and compare adjacent prefixes of LENGTH bytes exactly.
 4. Spans go back to their documents, and the remaining bytes are concatenated.
 
 Documents never meet in one task as a whole; what moves is anchors, distinct contexts and, twice, the
-compressed texts next to their own spans.
+compressed texts next to their own spans. Anchors of a long text are found piece by piece (``PIECE``).
 
 Defined results: a null text is empty; texts shorter than LENGTH keep everything; repeated rows (equal
-id and text) are copies of each other, so each loses all that LENGTH covers; rows that share an id but
-not a text stay apart; an empty table gives none.
+id and text) are copies of each other, so each loses all that LENGTH covers; rows that share an id, or
+have a null one, stay apart by their texts; an empty table gives none; extra columns pass.
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import materialise, rebatch, small_batches, split_by_keys, trimmed, whole_text
+from papyrine.llm.common import bound_batches, materialise, rebatch, release, split_by_keys, trimmed, whole_text
 
 LENGTH = 200
 K = 64
 WINDOW = LENGTH - K + 1
-#: Low bits of an anchor's order that hold its position: texts up to 256 MB.
-POSITION_BITS = 28
+#: Windows of a text that are looked at together: bounds a task's memory, not the length of texts.
+PIECE = 1 << 20
+#: Low bits of an anchor's order that hold its position in a piece.
+POSITION_BITS = 21
 #: Context bytes suffix-sorted at once in a task (whole groups, so a larger group is taken alone).
 SORT_BYTES = 2 << 20
 #: Rows of texts taken out of an Arrow batch at once.
 ROWS = 500
-_C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F)]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,18 +53,16 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def _grams(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all strings of K and of 2 K bytes, by doubling."""
+def _grams(text: np.ndarray) -> np.ndarray:
+    """Hashes of all strings of K bytes, by doubling."""
     h = (text.astype(np.uint64) + np.uint64(1)) * _C[0]
     h ^= h >> np.uint64(29)
-    size, out = 1, []
-    while size < 2 * K:
+    size = 1
+    while size < K:
         h = h[:-size] * _C[1] + h[size:] * _C[2]
         h ^= h >> np.uint64(31)
         size *= 2
-        if size >= K:
-            out.append(h * _C[0])
-    return out[0], out[1]
+    return h * _C[0]
 
 
 def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -74,30 +75,28 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: bytes) -> tuple[np.ndarray, ...]:
-    """(gram hash, context hash, first owned window, last owned window, anchor) of every anchor of a text."""
-    text = np.frombuffer(raw, np.uint8)
-    gram, wide = _grams(text)
-    if len(gram) >= 1 << POSITION_BITS:
-        raise ValueError("texts of 256 MB or more are not supported")
-    low = np.uint64((1 << POSITION_BITS) - 1)
-    order = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
-    owner = (_sliding_min(order, WINDOW) & low).astype(np.int64)  # of the window that starts at each position
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    last = np.concatenate((first[1:] - 1, [len(owner) - 1]))
-    at = owner[first]
-    end = last + LENGTH - 2 * K
-    mix = wide[first]
-    for part in (wide[(first + end) // 2], wide[end], ((at - first) << 32 | (last - first)).astype(np.uint64)):
-        mix = (mix ^ part) * _C[3]
-        mix ^= mix >> np.uint64(32)
-    # Contexts span up to 2 LENGTH bytes; three wide grams overlap over LENGTH + WINDOW <= 3 * 2 K.
-    return gram[at], mix, first, last, at
+    """(gram hash, two halves of the context's digest, first owned window, last owned window, anchor) of every anchor.
+
+    A piece takes the windows that start in it, so an anchor beside a border has a context on either side.
+    """
+    low, found = np.uint64((1 << POSITION_BITS) - 1), []
+    windows, view, sha = len(raw) - LENGTH + 1, memoryview(raw), hashlib.sha256
+    for start in range(0, windows, PIECE):
+        text = np.frombuffer(raw, np.uint8, min(PIECE, windows - start) + LENGTH - 1, start)
+        gram = _grams(text)
+        order = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
+        owner = (_sliding_min(order, WINDOW) & low).astype(np.int64)  # of the window that starts at each position
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        last = np.concatenate((first[1:] - 1, [len(owner) - 1]))
+        digest = b"".join([sha(view[f:e]).digest()[:16] for f, e in zip((first + start).tolist(), (last + start + LENGTH).tolist(), strict=True)])
+        halves = np.frombuffer(digest, np.int64).reshape(-1, 2)
+        found.append((gram[owner[first]], halves[:, 0], halves[:, 1], first + start, last + start, owner[first] + start))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 @trimmed
 def _all_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _pieces(batches):
-        ids, tags = batch.column(0), batch.column(1)
         rows, parts = [], []
         for i, raw in enumerate(batch.column(2).to_pylist()):
             if len(raw) >= LENGTH:
@@ -105,38 +104,39 @@ def _all_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append(np.full(len(parts[-1][0]), i))
         if not parts:
             continue
-        row = pa.array(np.concatenate(rows))
-        gram, mix, first, last, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+        row = np.concatenate(rows)
+        gram, da, db, first, last, at = (np.concatenate(c) for c in zip(*parts, strict=True))
         # Copies that meet here already are settled: one stands for them, the rest only carry their
         # spans on, dealt by place instead of by gram, so that a common line does not fill one task.
-        order = np.lexsort((mix, gram))
-        new = np.concatenate(([True], (gram[order][1:] != gram[order][:-1]) | (mix[order][1:] != mix[order][:-1])))
+        order = np.lexsort((db, da, gram))
+        new = np.concatenate(([True], np.any([c[order][1:] != c[order][:-1] for c in (gram, da, db)], axis=0)))
         run = np.cumsum(new) - 1
         copied, settled = np.zeros(len(gram), bool), np.zeros(len(gram), bool)
         copied[order] = np.bincount(run)[run] > 1
         settled[order] = ~new
-        spread = (first.astype(np.uint64) + row.to_numpy().astype(np.uint64) * _C[1]) * _C[0]
+        spread = (first.astype(np.uint64) + row.astype(np.uint64) * _C[1]) * _C[0]
         gram = np.where(settled, spread ^ (spread >> np.uint64(29)) ^ gram, gram)
-        columns = [gram.view(np.int64), mix.view(np.int64), first.astype(np.int32), (last - first).astype(np.int16), (at - first).astype(np.int16), copied]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:2]), ids.take(row), tags.take(row), *map(pa.array, columns[2:])], names=["gram", "mix", "id", "tag", "first", "span", "off", "copied"])
+        keys = [batch.column(i).take(pa.array(row)) for i in (0, 1)]
+        columns = [gram.view(np.int64), da, db, *keys, first.astype(np.int32), (last - first).astype(np.int16), (at - first).astype(np.int16), copied]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["gram", "da", "db", "row_a", "row_b", "first", "span", "off", "copied"])
 
 
-ANCHOR = "gram long, mix long, id long, tag int, first int, span short, off short, copied boolean"
+ANCHOR = "gram long, da long, db long, row_a long, row_b long, first int, span short, off short, copied boolean"
 VERDICT = ANCHOR + ", known boolean, open boolean"
 
 
 @trimmed
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (gram, mix). ``known``: the context has copies; ``open``: it goes to the suffix sort."""
+    """Rows come sorted by (gram, digest). ``known``: the context has copies; ``open``: it goes to the suffix sort."""
     held: pa.Table | None = None
     held_copies = np.zeros(0, bool)
 
     def judge(rows: pa.Table, copies: np.ndarray, more: bool):
         """(finished rows, rows of the last group if it goes on, whether those have copies)."""
-        gram, mix = rows["gram"].to_numpy(), rows["mix"].to_numpy()
+        gram, da, db = (rows[c].to_numpy() for c in ("gram", "da", "db"))
         n = len(gram)
         new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
-        new_mix = new_gram | np.concatenate(([True], mix[1:] != mix[:-1]))
+        new_mix = new_gram | np.concatenate(([True], (da[1:] != da[:-1]) | (db[1:] != db[:-1])))
         run = np.cumsum(new_mix) - 1
         size = np.bincount(run)
         has_copies = (size > 1) | (np.bincount(run, copies, len(size)) > 0)
@@ -234,7 +234,7 @@ def repeated_windows(groups: np.ndarray, off: np.ndarray, sizes: np.ndarray, buf
 
 @trimmed
 def _suffix_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, off, id, tag, first, context) come sorted by gram; yields spans (id, tag, begin, end)."""
+    """Rows (gram, off, row_a, row_b, first, context) come sorted by gram; yields spans (row_a, row_b, begin, end)."""
 
     def solve(rows: pa.Table):
         gram = rows["gram"].to_numpy()
@@ -250,7 +250,7 @@ def _suffix_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = np.concatenate((head[1:] - 1, [len(ctx) - 1]))
         of = pa.array(ctx[head])
         first = rows["first"].to_numpy()[ctx[head]]
-        return pa.table({"id": rows["id"].take(of), "tag": rows["tag"].take(of), "begin": pa.array((first + start[head]).astype(np.int32)), "end": pa.array((first + start[stop] + LENGTH).astype(np.int32))})
+        return pa.table({"row_a": rows["row_a"].take(of), "row_b": rows["row_b"].take(of), "begin": pa.array((first + start[head]).astype(np.int32)), "end": pa.array((first + start[stop] + LENGTH).astype(np.int32))})
 
     held: list[pa.Table] = []
     size = 0
@@ -292,17 +292,17 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in _pieces(batches):
-        out: dict[str, list] = {"gram": [], "off": [], "id": [], "tag": [], "first": [], "context": []}
+        out: dict[str, list] = {"gram": [], "off": [], "row_a": [], "row_b": [], "first": [], "context": []}
         for row in batch.to_pylist():
             raw = unpack(row["packed"])
             for a in row["found"]:
                 out["gram"].append(a["gram"])
                 out["off"].append(a["off"])
-                out["id"].append(row["id"])
-                out["tag"].append(row["tag"])
+                out["row_a"].append(row["row_a"])
+                out["row_b"].append(row["row_b"])
                 out["first"].append(a["first"])
                 out["context"].append(raw[a["first"] : a["first"] + a["span"] + LENGTH])
-        types = [pa.int64(), pa.int16(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        types = [pa.int64(), pa.int16(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
 
@@ -317,86 +317,83 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _row_keys(id_col: str, text: Column) -> dict[str, Column]:
+    """128 bits that name a row by its id and text; rows that are equal in both share them."""
+    key = F.col(id_col)
+    return {name: F.xxhash64(F.lit(i), key.isNull(), key, text) for i, name in enumerate(("row_a", "row_b"))}
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = whole_text(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("tag"), text.cast("binary").alias("raw"))
+    return docs.select(*[c.alias(n) for n, c in _row_keys(id_col, text).items()], text.cast("binary").alias("raw")).filter(F.length("raw") >= LENGTH)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tag, begin, end) of repeated byte ranges; they may overlap. ``tag`` tells texts under one id apart."""
-    small_batches(docs.sparkSession)
+    """(row_a, row_b, begin, end) of repeated byte ranges; they may overlap. The row's key is that of ``_row_keys``."""
+    bound_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    rows = keyed.filter(F.length("raw") >= LENGTH).mapInArrow(_all_anchors, ANCHOR)
-    judged = rows.repartition("gram").sortWithinPartitions("gram", "mix").mapInArrow(_groups, VERDICT)
-    judged = materialise(judged, "anchors")
-    known = judged.filter("known").select("id", "tag", F.col("first").alias("begin"), F.expr(f"cast(first + span + {LENGTH} as int)").alias("end"))
-    opened = materialise(judged.filter("open").groupBy("id", "tag").agg(F.collect_list(F.struct("gram", "first", "span", "off")).alias("found")), "open")
-    long = keyed.filter(F.length("raw") >= LENGTH)
-    _, maybe = split_by_keys(long, F.xxhash64("id", "tag"), opened.select(F.xxhash64("id", "tag").alias("key")))
-    packed = maybe.mapInArrow(_packed, "id long, tag int, packed binary").dropDuplicates(["id", "tag"])
-    on = packed["id"].eqNullSafe(opened["id"]) & (packed["tag"] == opened["tag"])
-    contexts = packed.join(opened, on).select(opened["id"], opened["tag"], "packed", "found").mapInArrow(_contexts, "gram long, off short, id long, tag int, first int, context binary")
-    found = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_suffix_sort, "id long, tag int, begin int, end int")
-    return materialise(known.unionByName(found), "spans")
-
-
-@trimmed
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns: ..., raw, spans. Replaces raw by the bytes that remain and adds what was removed."""
-    for batch in _pieces(batches):
-        n = batch.num_columns - 2
-        kept, removed, runs = [], [], []
-        for raw, found in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
-            spans = merge_spans([(s["begin"], s["end"]) for s in found or []])
-            parts, at = [], 0
-            for begin, end in spans:
-                parts.append(raw[at:begin])
-                at = end
-            kept.append(b"".join([*parts, raw[at:]]))
-            removed.append(sum(e - b for b, e in spans))
-            runs.append(len(spans))
-        arrays = [*batch.columns[:n], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:n], "__kept__", "__removed__", "__runs__"])
-
-
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns __kept__ (the remaining bytes), __removed__ (bytes) and __runs__ in place of the text.
-
-    Only documents that have a span are shuffled, next to their spans; the rest pass.
+    rows = keyed.mapInArrow(_all_anchors, ANCHOR)
+    judged = rows.repartition("gram").sortWithinPartitions("gram", "da", "db").mapInArrow(_groups, VERDICT)
+    judged = materialise(judged.drop("da", "db", "copied"), "anchors")
+    known = judged.filter("known").select("row_a", "row_b", F.col("first").alias("begin"), F.expr(f"cast(first + span + {LENGTH} as int)").alias("end"))
+    opened = materialise(judged.filter("open").groupBy("row_a", "row_b").agg(F.collect_list(F.struct("gram", "first", "span", "off")).alias("found")), "open")
+    _, maybe = split_by_keys(keyed, F.xxhash64("row_a", "row_b"), opened.select(F.xxhash64("row_a", "row_b").alias("key")))
+    packed = maybe.mapInArrow(_packed, "row_a long, row_b long, packed binary").dropDuplicates(["row_a", "row_b"])
+    contexts = packed.join(opened, ["row_a", "row_b"]).mapInArrow(_contexts, "gram long, off short, row_a long, row_b long, first int, context binary")
+    found = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_suffix_sort, "row_a long, row_b long, begin int, end int")
+    spans = materialise(known.unionByName(found), "spans")
+    release(judged, opened)
+    return spans
+
+
+def _kept(raw: bytes, found: list | None) -> tuple[bytes, int, int]:
+    """(bytes that remain, bytes removed, runs removed)."""
+    spans = merge_spans([(s["begin"], s["end"]) for s in found or []])
+    parts, at = [], 0
+    for begin, end in spans:
+        parts.append(raw[at:begin])
+        at = end
+    return b"".join([*parts, raw[at:]]), sum(e - b for b, e in spans), len(spans)
+
+
+def strip_repeats(docs: DataFrame, id_col: str, text_col: str, finish, fields: list[T.StructField], untouched: list[Column]) -> DataFrame:
+    """``docs`` with the text column replaced by ``fields``: what ``finish`` makes of (kept bytes, removed, runs).
+
+    Only documents that have a span are shuffled, next to their spans, and go through Python; the rest pass
+    with ``untouched`` in the JVM.
     """
     spans = repeated_spans(docs, id_col, text_col)
-    per = materialise(spans.distinct().groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    per = materialise(spans.distinct().groupBy("row_a", "row_b").agg(F.collect_list(F.struct("begin", "end")).alias("__spans__")).withColumnsRenamed({"row_a": "__a__", "row_b": "__b__"}), "spans")
+    release(spans)
     text = whole_text(text_col)
-    rows = docs.withColumns({"__tag__": F.hash(text), "__raw__": text.cast("binary")}).drop(text_col)
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col("__tag__"))
-    clear, maybe = split_by_keys(rows, key, per.select(F.xxhash64("id", "tag").alias("key")))
-    on = maybe[id_col].cast("long").eqNullSafe(per["id"]) & (maybe["__tag__"] == per["tag"])
-    others = [maybe[c] for c in rows.columns if c not in ("__tag__", "__raw__")]
-    joined = maybe.join(per, on, "left").select(*others, maybe["__raw__"], per["spans"].alias("__spans__"))
-    names = [c for c in rows.columns if c not in ("__tag__", "__raw__")]
-    out = T.StructType([*(rows.schema[c] for c in names), T.StructField("__kept__", T.BinaryType()), T.StructField("__removed__", T.LongType()), T.StructField("__runs__", T.LongType())])
-    zero = F.lit(0).cast("long")
-    return joined.mapInArrow(_strip, out).unionByName(clear.select(*names, F.col("__raw__").alias("__kept__"), zero.alias("__removed__"), zero.alias("__runs__")))
+    keys = list(_row_keys(id_col, text).values())
+    clear, maybe = split_by_keys(docs, F.xxhash64(*keys), per.select(F.xxhash64("__a__", "__b__").alias("key")))
+    others = [c for c in docs.columns if c != text_col]
+    joined = maybe.join(per, (keys[0] == per["__a__"]) & (keys[1] == per["__b__"]), "left").select(*others, text.cast("binary").alias("__raw__"), "__spans__")
+    n = len(others)
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for batch in _pieces(batches):
+            made = [finish(*_kept(raw, found)) for raw, found in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
+            new = [pa.array([m[i] for m in made], to_arrow_type(f.dataType)) for i, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], names=[*batch.schema.names[:n], *(f.name for f in fields)])
+
+    out = T.StructType([*(docs.schema[c] for c in others), *fields])
+    return joined.mapInArrow(run, out).unionByName(clear.select(*others, *[c.alias(f.name) for c, f in zip(untouched, fields, strict=True)]))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) per row."""
-    left = strip_repeats(docs.select(id_col, text_col), id_col, text_col)
-    size = F.octet_length("__kept__").cast("long") + F.col("__removed__")
-    return left.select(id_col, size.alias("n_bytes"), F.col("__removed__").alias("n_removed"), F.col("__runs__").alias("n_spans"), F.sha2("__kept__", 256).alias("kept_sha256"))
+    text, zero = whole_text(text_col).cast("binary"), F.lit(0).cast("long")
+    fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
+    finish = lambda kept, removed, runs: (len(kept) + removed, removed, runs, hashlib.sha256(kept).hexdigest())
+    return strip_repeats(docs.select(id_col, text_col), id_col, text_col, finish, fields, [F.octet_length(text).cast("long"), zero, zero, F.sha2(text, 256)])
 
 
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated bytes removed from the text; a character that loses some of its bytes goes whole."""
-
-    @trimmed
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("__kept__")
-            text = pa.array([raw.decode(errors="ignore") for raw in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], text], names=[*batch.schema.names[:at], text_col])
-
-    left = strip_repeats(docs, id_col, text_col).drop("__removed__", "__runs__")
-    names = [c for c in docs.columns if c != text_col]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(text_col, T.StringType())])
-    return left.select(*names, "__kept__").mapInArrow(whole, schema).select(*docs.columns)
+    """``docs`` with repeated bytes removed from the text (null: empty); a character that loses some of its bytes goes whole."""
+    finish = lambda kept, removed, runs: (kept.decode(errors="ignore"),)
+    return strip_repeats(docs, id_col, text_col, finish, [T.StructField(text_col, T.StringType())], [whole_text(text_col)]).select(*docs.columns)
