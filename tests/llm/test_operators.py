@@ -228,10 +228,14 @@ def test_warc_empty_and_damaged(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
     warc.write_archive(df.limit(0), str(tmp_path / "e"))
     assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
-    warc.write_archive(df, str(tmp_path / "d"))
-    spark.read.parquet(str(tmp_path / "d/payloads")).withColumn("payload", F.lit(b"y")).write.parquet(str(tmp_path / "f/payloads"))
-    with pytest.raises(Exception, match="damaged"):
-        warc.read_payloads(spark, str(tmp_path / "f")).collect()
+    for name, change in (("damaged", {"payloads": F.lit(warc.write_packed(b"y"))}), ("differ", {"headers": F.expr("cast(replace(cast(header as string), 'Content-Length: 1', 'Content-Length: 2') as binary)")})):
+        path = tmp_path / name
+        warc.write_archive(df, str(path / "a"))
+        for part, column in (("payloads", "packed"), ("headers", "header")):
+            got = spark.read.parquet(str(path / "a" / part))
+            got.withColumn(column, change.get(part, F.col(column))).write.parquet(str(path / "b" / part))
+        with pytest.raises(Exception, match=name):
+            warc.read_archive(spark, str(path / "b")).collect()
 
 
 # 5, 7, 10 against SQL ------------------------------------------------------------------------------
@@ -262,7 +266,25 @@ def test_chat(spark):
     masked = [whole[r["start_char"] + m["start"] : r["start_char"] + m["end"]] for r in ana for m in r["mask"]]
     assert masked == ["hola < |x|><|end|>\n", "fin<|end|>\n"]
     assert len(by[3, "b"][-1]["mask"]) == 2
-    assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_chat_chunks(spark, monkeypatch):
+    """Starts follow the rendered lengths over many segments, whatever a chunk holds; texts as ids, too."""
+    turns = [(c, t, r, "x" * (t % 7)) for c in ("a", "b", None) for t in range(0, 1500, 3) for r in (["ana", "ben", "system"][t % 3 :] if t % 2 else ["ben"])]
+    df = spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")
+    monkeypatch.setattr(chat, "CHUNK", 3)
+    by = defaultdict(list)
+    for r in sorted(chat.rotate(df).collect(), key=lambda r: r["segment"]):
+        by[r["conv_id"], r["perspective"]].append(r)
+    assert {p for _, p in by} == {"ana", "ben"} and all(len(v) == 24 for v in by.values())
+    for v in by.values():
+        at = np.cumsum([0] + [len(r["rendered"]) for r in v])
+        assert [r["start_char"] for r in v] == at[:-1].tolist()
+
+
+def test_chat_empty(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.rotate(df).count() == 0
 
 
 # 8. Suffix dedup -----------------------------------------------------------------------------------
