@@ -53,8 +53,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = fresh_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    found = warc.read_summaries(spark, path)
-    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.read_archive(spark, path)
+    # What the rebuilt bytes say: the payload's size and digest are taken from it, not from the header.
+    digest = warc.base32_of_hex(F.upper(F.sha1("payload")))
+    return found.select(F.col("id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
