@@ -3,10 +3,13 @@
 Letters are folded to lower case, anything else to one gap; 1- to 3-grams are hashed into
 ``BUCKETS``. Document frequencies cover all training rows; the weights are fitted by
 follow-the-regularised-leader (FTRL-proximal, elastic net) on a bounded sample (``PER_LANG`` rows of
-each language) and calibrated by one temperature on the part of the sample held out for it.
+each language, fewer where that would be more than ``SAMPLE_ROWS`` in all, two at least) and calibrated
+by one temperature on the part of the sample held out for it. Every language that occurs is learned.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; if nothing can be
-learned every text is ``und``; rows with a null language teach nothing.
+learned every text is ``und``; rows with a null language teach nothing; rows of equal id and text teach
+once, rows that share an id but not a text are rows of their own; ties go to the language that sorts first;
+texts of any length are read whole; an empty table gives none; extra columns pass.
 """
 from __future__ import annotations
 
@@ -20,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrine.llm.common import append_columns
-from papyrine.llm.sampling import labelled_sample
+from papyrine.llm.sampling import text_sample
 
 BUCKETS = 1 << 15
 PER_LANG = 400
-MOST_LANGS = 256
+SAMPLE_ROWS = 16_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 _FOLD: list[np.ndarray] = []
@@ -115,8 +118,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_pydict({"k": pa.array([-1, *at.tolist()], pa.int32()), "v": pa.array([n, *total[at].tolist()], pa.int64())})
 
     counted = dict(rows.select("text").mapInArrow(frequencies, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect())
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(MOST_LANGS).collect()
-    langs = sorted(r["lang"] for r in found)
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     n = counted.get(-1) or 0
     idf = np.full(BUCKETS, np.log(n + 1.0) + 1)
     for k, v in counted.items():
@@ -133,15 +135,18 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 
         return run
 
-    picked = labelled_sample(rows.select("id", "text"), rows.select("id", "lang"), "lang", langs, per_lang, "langid", "id")
+    order = F.xxhash64(F.lit("langid"), "id", "text")
+    picked = text_sample(rows, "lang", order, max(2, min(per_lang, SAMPLE_ROWS // len(langs)))).dropDuplicates(["id", "text"])
     fields = [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.FloatType()))]
-    sample = append_columns(picked, make, fields).select("id", "lang", "at", "counts").orderBy("id").collect()
+    sample = append_columns(picked.withColumn("h", order), make, fields).select("id", "h", "lang", "at", "counts").orderBy("id", "h").collect()
     sample = [r for r in sample if r["at"]]
     if not sample:
         return LangModel([], idf, model.weights, 1.0)
     xs = [(np.array(r["at"]), model.vector(np.array(r["at"]), np.array(r["counts"], float))) for r in sample]
     y = np.array([langs.index(r["lang"]) for r in sample])
-    hold = np.arange(len(y)) % 5 == 0
+    hold = np.zeros(len(y), bool)  # every fifth row of a language; a language of fewer is fitted on all it has
+    for lang in range(len(langs)):
+        hold[np.flatnonzero(y == lang)[4::5]] = True
     model.weights = ftrl([x for x, h in zip(xs, hold, strict=True) if not h], y[~hold], len(langs))
     logits = np.array([x @ model.weights[at] for at, x in xs])
     kept = hold if hold.any() else ~hold

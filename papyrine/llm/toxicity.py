@@ -5,10 +5,14 @@ are words and word prefixes, valued by how many distinct words of a text have th
 labelled rows (``PER_CLASS`` of each label); scoring is row-local over every whole text.
 
 Labels hold 0 or 1. Three ordered grades come from them: 0 (label 0), and for label 1 grade 2 with at
-least ``SEVERE_WORDS`` distinct words that speak for the label, else 1. Output: expected severity, 0 to 2.
+least ``SEVERE_WORDS`` distinct words that speak for the label, else 1. Which words speak for it is
+learned from the other half of the sample, so no text is graded by statistics it is part of. Output:
+expected severity, 0 to 2.
 
 Defined results: null and empty texts have no feature and get the severity of a featureless text; a
-sample without both labels gives severity 0 everywhere; extra columns pass through.
+sample without both labels gives severity 0 everywhere; rows that share an id but not a text, null labels
+and ids labelled in two ways teach nothing, repeated rows teach once; repeated rows and ties get equal
+scores; texts of any length are scored whole; an empty table gives none; extra columns pass through.
 """
 from __future__ import annotations
 
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import append_columns
+from papyrine.llm.common import append_columns, materialise, release
 from papyrine.llm.sampling import labelled_sample
 
 PER_CLASS = 2500
@@ -30,7 +34,6 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A feature enters the model if that share of the sampled texts has it (3 texts at least) and its
 #: log-odds are that far from 0.
 LEAST_SHARE, LEAST_ODDS = 0.003, 2.0
-MOST_FEATURES = 4000
 SEVERE_WORDS = 3
 REJECT_AT = 0.5
 CACHE_WORDS = 250_000
@@ -106,8 +109,14 @@ def fit_cumulative_link(rows: list[np.ndarray], values: list[np.ndarray], grades
     return point[0] * scale, np.cumsum(point[1]).tolist()
 
 
+def _odds(bad, good, n_bad: int, n_good: int):
+    return F.log((bad + 0.5) / (n_bad + 1.0)) - F.log((good + 0.5) / (n_good + 1.0))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    sample = labelled_sample(docs.select(id_col, F.col(text_col).alias("text")), labels, label, [0, 1], per_class, "toxicity", id_col)
+    """One scan of the texts picks the sample; all else reads the sample."""
+    sample = labelled_sample(docs, labels, label, [0, 1], per_class, "toxicity", id_col, text_col)
+    sample = sample.select(F.col(id_col).alias("id"), F.col(label).alias("y"), F.pmod(F.xxhash64(F.lit("half"), id_col), F.lit(2)).cast("int").alias("half"), "text")
 
     def make():
         def run(texts):
@@ -116,46 +125,53 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
         return run
 
-    got = append_columns(sample, make, [T.StructField("features", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
-    # Two passes over the sample keep the driver small: counts first, then only the features that stay.
-    per = got.select(label, F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col(label) == 1).alias("bad"), F.count_if(F.col(label) == 0).alias("good"))
-    sizes = {r[label]: r["c"] for r in got.groupBy(label).agg(F.count(F.lit(1)).alias("c")).collect()}
-    if len(sizes) < 2:
+    fields = [T.StructField("features", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
+    got = materialise(append_columns(sample, make, fields), "toxicity_sample")
+    sizes = {(r["y"], r["half"]): r["c"] for r in got.groupBy("y", "half").agg(F.count(F.lit(1)).alias("c")).collect()}
+    n = lambda y, half=None: sum(c for (a, b), c in sizes.items() if a == y and half in (None, b))
+    if not n(0) or not n(1):
         return OrdinalModel({}, [50.0, 51.0])
-    odds = F.log((F.col("bad") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("good") + 0.5) / (sizes[0] + 1.0))
-    least = max(3, round(LEAST_SHARE * sum(sizes.values())))
-    kept = per.filter(F.col("bad") + F.col("good") >= least).withColumn("odds", odds).filter(F.abs("odds") >= LEAST_ODDS)
-    kept = kept.orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("bad") + F.col("good"))), "f").limit(MOST_FEATURES).collect()
-    index = {r["f"]: i for i, r in enumerate(kept)}
-    strong = {r["f"] for r in kept if r["odds"] > 0}
-    spread = got.select(id_col, F.explode(F.map_from_arrays("features", "counts")).alias("f", "c"))
-    chosen = spread.filter(F.col("f").isin(sorted(index))) if index else spread.limit(0)
-    lists = F.collect_list(F.struct("f", "c")).alias("features")  # at most MOST_FEATURES per row
-    small = got.select(id_col, label).join(chosen.groupBy(id_col).agg(lists), id_col, "left").orderBy(id_col).collect()
-    found = [sorted((index[x["f"]], x["c"], x["f"]) for x in r["features"] or []) for r in small]
-    strong = frozenset(strong)
+    seen = [F.count_if((F.col("y") == y) & (F.col("half") == h)).alias(f"c{y}{h}") for y in (0, 1) for h in (0, 1)]
+    per = got.select("y", "half", F.explode("features").alias("f")).groupBy("f").agg(*seen)
+    bad, good = F.col("c10") + F.col("c11"), F.col("c00") + F.col("c01")
+    least = max(3, round(LEAST_SHARE * (n(0) + n(1))))
+    per = per.withColumn("kept", (bad + good >= least) & (F.abs(_odds(bad, good, n(1), n(0))) >= LEAST_ODDS))
+    for h in (0, 1):  # what half h says of the other one
+        b, g = F.col(f"c1{h}"), F.col(f"c0{h}")
+        per = per.withColumn(f"strong{h}", (b + g >= least / 2) & (_odds(b, g, n(1, h), n(0, h)) >= LEAST_ODDS))
+    # Few features are that frequent and that telling: at most a text's features over LEAST_SHARE.
+    told = per.filter("kept or strong0 or strong1").select("f", "kept", "strong0", "strong1").orderBy("f").collect()
+    index = {f: i for i, f in enumerate(r["f"] for r in told if r["kept"])}
+    strong = [frozenset(r["f"] for r in told if r[f"strong{h}"]) for h in (0, 1)]
+    chosen = frozenset(index)
 
     def mark():
         def run(texts):
             words = [set(words_of((t or "").lower())) for t in texts]
-            return {"hits": [sum(not strong.isdisjoint(word_features(w)) for w in ws) for ws in words]}
+            return {f"hits{h}": [sum(not strong[h].isdisjoint(word_features(w)) for w in ws) for ws in words] for h in (0, 1)}
 
         return run
 
-    marked = append_columns(sample.select(id_col, "text"), mark, [T.StructField("hits", T.LongType())]).select(id_col, "hits")
-    hits = dict(marked.collect())
-    grades = np.array([0 if r[label] == 0 else 2 if hits[r[id_col]] >= SEVERE_WORDS else 1 for r in small])
+    def narrow():
+        return lambda rows: {"mine": [[{"f": f, "c": c} for f, c in r if f in chosen] for r in rows]}
+
+    small = append_columns(got.select("id", "y", "half", "text", F.map_from_arrays("features", "counts").alias("all")), mark, [T.StructField(f"hits{h}", T.LongType()) for h in (0, 1)])
+    mine = T.ArrayType(T.StructType([T.StructField("f", T.StringType()), T.StructField("c", T.IntegerType())]))
+    small = append_columns(small.drop("text"), narrow, [T.StructField("mine", mine)], "all").drop("all").orderBy("id").collect()
+    release(got)
+    found = [sorted((index[x["f"]], x["c"]) for x in r["mine"]) for r in small]
+    grades = np.array([0 if r["y"] == 0 else 2 if r[f"hits{1 - r['half']}"] >= SEVERE_WORDS else 1 for r in small])
     if grades.max() < 2:
         grades[np.flatnonzero(grades == 1)[:1]] = 2
-    rows = [np.array([i for i, _, _ in fs], np.int64) for fs in found]
-    values = [np.array([weigh(c) for _, c, _ in fs]) for fs in found]
+    rows = [np.array([i for i, _ in fs], np.int64) for fs in found]
+    values = [np.array([weigh(c) for _, c in fs]) for fs in found]
     w, thetas = fit_cumulative_link(rows, values, grades, max(1, len(index)))
     return OrdinalModel({f: float(w[i]) for f, i in index.items() if w[i]}, thetas)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", out_col: str = "severity") -> DataFrame:
     """Append the expected severity of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the features that the sample keeps
 
     def make():
         model = shared.value

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from papyrine.llm import ann, chat, components, decontaminate, langid, quality, queries, simhash, suffix_dedup, toxicity, warc
+from papyrine.llm import ann, chat, components, decontaminate, langid, quality, queries, sampling, simhash, suffix_dedup, toxicity, warc
 from papyrine.llm import sentencepiece_codec as codec
 from papyrine.llm.common import drop_ids, fold, split_by_keys
 from tests.harness import connect, rows
@@ -78,14 +78,53 @@ def test_codec_frames(odd, empty):
 # 2, 3, 6. Classifiers ------------------------------------------------------------------------------
 
 
-def test_toxicity(spark):
-    sf = "/root/testdata/sf0.01"
-    labels = pd.read_parquet(f"{sf}/labels.parquet").set_index("doc_id").toxic
-    got = queries.op2_toxicity(spark, sf).toPandas().set_index("doc_id")
-    both = got.join(labels, how="inner")
-    assert ((both.toxic == 1) == both.rejected).mean() > 0.93
-    assert both[both.toxic == 0].rejected.mean() < 0.03
-    assert got.severity.between(0, 2).all()
+def test_toxicity_on_labels_it_has_not_seen(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = fold("doc_id", 3) == 1
+    model = toxicity.fit(docs, labels.filter(~held))
+    got = toxicity.score(docs.join(labels.filter(held), "doc_id"), model).select("toxic", toxicity.is_rejected(F.col("severity")).alias("rejected")).toPandas()
+    caught, wrong = got[got.toxic == 1].rejected, got[got.toxic == 0].rejected
+    print("held out:", caught.sum(), len(caught), wrong.sum(), len(wrong))
+    assert caught.mean() > 0.85 and wrong.mean() < 0.02 and len(caught) > 100
+
+
+def test_op2(spark, sf_dir):
+    got = queries.op2_toxicity(spark, sf_dir).toPandas()
+    assert got.severity.between(0, 2).all() and set(got.doc_id) == set(pd.read_parquet(f"{sf_dir}/documents.parquet").doc_id)
+
+
+def test_cumulative_link_is_the_optimum():
+    """Against the dense likelihood, plainly written: the penalised objective has no slope where the fit ends."""
+    rng = np.random.default_rng(26)
+    n, d, l2 = 300, 5, 1e-2
+    dense = np.where(rng.random((n, d)) < 0.4, rng.integers(1, 4, (n, d)), 0).astype(float)
+    eta = dense @ np.array([1.0, -0.7, 0.4, 0.0, 0.9]) + rng.logistic(size=n)
+    grades = np.digitize(eta, [0.5, 2.0])
+    rows = [np.flatnonzero(x) for x in dense]
+    w, thetas = toxicity.fit_cumulative_link(rows, [x[r] for x, r in zip(dense, rows, strict=True)], grades, d, steps=20_000, l1=0.0, l2=l2)
+    scale = 1 / np.sqrt((dense**2).mean(0) + 0.005)
+
+    def objective(p):
+        eta = dense @ p[:d]
+        upto = np.column_stack([np.zeros(n), *(1 / (1 + np.exp(eta - t)) for t in p[d:]), np.ones(n)])
+        likely = upto[np.arange(n), grades + 1] - upto[np.arange(n), grades]
+        return -np.log(likely).mean() + l2 / 2 * ((p[:d] / scale) ** 2).sum()
+
+    at = np.array([*w, *thetas])
+    slope = [(objective(at + e) - objective(at - e)) / 2e-5 for e in 1e-5 * np.eye(len(at))]
+    assert np.abs(slope).max() < 1e-4
+    assert objective(at) < min(objective(at + rng.normal(size=len(at)) * 0.1) for _ in range(50))
+
+
+def test_toxicity_sample(spark):
+    """Ids of several texts, ids labelled twice and null labels teach nothing; repeated rows teach once."""
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "c"), (3, "d"), (4, "e"), (5, None), (None, "f"), (6, "g")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (3, 1), (4, 1), (4, 1), (5, 0), (6, None), (9, 1), (None, 1)], "doc_id long, toxic int")
+    got = sampling.labelled_sample(docs, labels, "toxic", [0, 1], 10, "s").collect()
+    assert sorted((r["doc_id"], r["toxic"], r["text"]) for r in got) == [(1, 0, "a"), (4, 1, "e"), (5, 0, None)]
+    model = toxicity.fit(docs, labels)
+    assert model.severity(0.0) <= 2
 
 
 def test_thresholds_are_ordered_and_shared():
@@ -116,6 +155,26 @@ def test_quality(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_quality_is_brute_force(spark, sf_dir):
+    """Scores against discriminants computed from all rows at once, without sums, factors or frames."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    both = docs.join(labels, "doc_id").toPandas()
+    x = np.array([quality.statistics(t) for t in both.text])
+    parts = [x[both.quality == c] for c in (0, 1)]
+    within = sum(len(p) * p.var(0) for p in parts) / len(x)
+    log_density = []
+    for p in parts:
+        cov = np.cov(p.T, bias=True) / np.sqrt(np.outer(within, within))
+        cov = (1 - quality.SHRINK) * cov + (quality.SHRINK + quality.RIDGE) * np.eye(x.shape[1])
+        z = (x - p.mean(0)) / np.sqrt(within)
+        log_density.append(np.log(len(p) / len(x)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z))
+    want = 1 / (1 + np.exp(np.clip(log_density[0] - log_density[1], -700, 700)))
+    described = quality.describe(docs)
+    model = quality.fit(described, labels)
+    got = quality.score(described, model).select("doc_id", "score").toPandas().set_index("doc_id").score
+    assert np.allclose(got.loc[both.doc_id].to_numpy(), want, atol=1e-9)
+
+
 def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, 0), (2, 1), (3, None)], "doc_id long, quality int")
     described = quality.describe(odd)
@@ -133,6 +192,89 @@ def test_langid(spark):
     assert got.score.between(0, 1).all()
 
 
+def plain_grams(text):
+    """Character 1- to 3-grams as strings: letters folded, all else one gap, a gap at either end."""
+    import re
+
+    folded = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+    words = folded.split()
+    if not words:
+        return Counter()
+    line = " " + " ".join(words) + " "
+    return Counter([c for c in line if c != " "] + re.findall("(?=(..))", line) + re.findall("(?=(...))", line))
+
+
+def test_langid_grams(sf_dir):
+    """Hashed counts against those of the strings themselves."""
+    for text in pd.read_parquet(f"{sf_dir}/documents.parquet").text.tolist()[:60] + ["", "¡Ñandú!  1 x", "日本 ab"]:
+        want = defaultdict(int)
+        for gram, c in plain_grams(text).items():
+            codes = [0 if g == " " else ord(g) for g in gram]
+            h = 0
+            for code in codes:
+                h = (h * 40503 + code) % 2**32
+            h = h * (2654435761, 2246822519, 3266489917)[len(gram) - 1] % 2**32
+            want[h >> 17] += c
+        at, counts = langid.gram_counts(text)
+        assert dict(zip(at.tolist(), counts.tolist(), strict=True)) == want
+
+
+def test_ftrl_step_by_step():
+    """Sparse fitting against the same updates over dense vectors, one number at a time."""
+    rng, classes, width = np.random.default_rng(27), 3, 12
+    rows = []
+    for _ in range(40):
+        at = np.sort(rng.choice(width, 4, replace=False))
+        rows.append((at, rng.random(4)))
+    y = rng.integers(0, classes, 40)
+    z, n = np.zeros((width, classes)), np.zeros((width, classes))
+
+    def weight(i, c):
+        if abs(z[i, c]) <= langid.L1:
+            return 0.0
+        return -(z[i, c] - np.sign(z[i, c]) * langid.L1) / ((langid.BETA + n[i, c] ** 0.5) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(40):
+            x = np.zeros(width)
+            x[rows[i][0]] = rows[i][1]
+            w = np.array([[weight(k, c) for c in range(classes)] for k in range(width)])
+            p = np.exp(x @ w) / np.exp(x @ w).sum()
+            for k in np.flatnonzero(x):
+                for c in range(classes):
+                    g = x[k] * (p[c] - (c == y[i]))
+                    sigma = ((n[k, c] + g * g) ** 0.5 - n[k, c] ** 0.5) / langid.ALPHA
+                    z[k, c] += g - sigma * w[k, c]
+                    n[k, c] += g * g
+    got = langid.ftrl(rows, y, classes, epochs=2)
+    assert np.allclose(got[:width], [[weight(k, c) for c in range(classes)] for k in range(width)]) and not got[width:].any()
+
+
+def test_langid_idf_and_temperature(spark, sf_dir):
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(spark.createDataFrame(docs[["doc_id", "text", "lang"]]))
+    seen = Counter(k for t in docs.text for k in langid.gram_counts(t)[0].tolist())
+    want = np.log((len(docs) + 1) / (np.array([seen.get(k, 0) for k in range(langid.BUCKETS)]) + 1)) + 1
+    assert np.allclose(model.idf, want) and model.langs == sorted(docs.lang.unique())
+    at, counts = langid.gram_counts(docs.text[0])
+    x = np.log1p(counts) * want[at]
+    logits = x / np.sqrt((x**2).sum()) @ model.weights[at] / model.temperature
+    assert np.isclose(model.predict(docs.text[0])[1], np.exp(logits - logits.max()).max() / np.exp(logits - logits.max()).sum())
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any bound on the sample would hold in full: each is learned from two rows or more."""
+    rng = np.random.default_rng(28)
+    letters = [chr(0x4E00 + i) for i in range(600)]
+    rows_ = [(300 * k + i, " ".join("".join(rng.choice([a, "a", "b"], 4)) for _ in range(6)), f"l{i:03}") for k in range(8) for i, a in enumerate(letters[:300])]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.langs) == 300
+    got = langid.predict(df, model).toPandas()
+    assert (got.lang_pred == got.lang).mean() > 0.9
+
+
 def test_langid_odd_rows(spark, odd, empty):
     df = odd.withColumn("lang", F.when(F.col("doc_id") == 4, "es").when(F.col("doc_id") == 7, "xx"))
     model = langid.fit(df.select("doc_id", "text", "lang"))
@@ -431,6 +573,30 @@ def test_simhash_components(spark, odd, empty):
     assert simhash.components(empty).count() == 0
 
 
+def test_op9_is_brute_force(spark, sf_dir):
+    """Fingerprints and components of whole documents against a plain version of the contract."""
+    import xxhash
+
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    texts, ids = [*docs.text, None, "", "Uno DOS", "uno\tdos", "É É é"], [*docs.doc_id, *range(10**6, 10**6 + 5)]
+    fps = []
+    for t in texts:
+        words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").translate(dict.fromkeys(map(ord, "\t\n\r\x0b\x0c"), " ")).split(" ") if w]
+        grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    distinct = np.array(sorted(set(fps)), np.uint64)
+    u, v = np.nonzero(np.bitwise_count(distinct[:, None] ^ distinct[None, :]) <= 3)
+    roots = _roots(len(distinct), [(i, j) for i, j in zip(u.tolist(), v.tolist(), strict=True) if i < j])
+    root_of = {int(f): r for f, r in zip(distinct, roots, strict=True)}
+    least = defaultdict(lambda: 1 << 60)
+    for i, f in zip(ids, fps, strict=True):
+        least[root_of[f]] = min(least[root_of[f]], i)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.components(df).collect()}
+    assert got == {i: (simhash.signed(f), least[root_of[f]]) for i, f in zip(ids, fps, strict=True)}
+
+
 def test_components_of_a_chain(spark):
     n = 300
     df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (7, 7)], "u long, v long")
