@@ -80,11 +80,11 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def rebatch(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Join batches of short rows, so that vectorised steps have enough of them."""
+    """Join batches of short rows, so that vectorised steps have enough of them; long rows make no large batch."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= least:
+        if sum(b.num_rows for b in held) >= least or sum(b.nbytes for b in held) >= BYTES:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
             held = []
     if held:

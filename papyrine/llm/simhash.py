@@ -222,8 +222,12 @@ def components(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "
 #: with probability 0.33 and miss all 40 with 1e-7; texts that share a passage of a third of their length
 #: agree with 0.004, so that a passage of very many documents makes no large shard.
 TABLES, KEY_HASHES = 40, 5
-#: Rows of one shard that a task takes; a larger shard is cut into blocks of that size.
-SHARD_ROWS = 20_000
+#: Rows of a shard that one task leads; a larger shard is led block by block.
+LEAD_ROWS = 20_000
+#: Rows and bytes of shingle sets in a block of a group that is compared member by member: two blocks meet in a task.
+BLOCK_ROWS, BLOCK_BYTES = 1_000, 4 << 20
+#: Members of a group that comes from several shards; beyond that its shards are compared one by one.
+CLUSTER_ROWS = 50_000
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, size=TABLES * KEY_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -280,39 +284,56 @@ def shard_leads(members: list[Member], similarity: float) -> list[int | None]:
     return out
 
 
-def shard_pairs(members: list[Member], blocks: list[int], similarity: float, nearest: bool) -> Iterator[tuple[int, int]]:
-    """Pairs within reach of members of different components (and, where ``blocks`` holds two numbers, of different blocks).
+def _similar(x: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether the exact similarity of a sorted set to each of ``others`` reaches the threshold; no set is empty."""
+    sizes = np.array([len(o) for o in others])
+    y = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    shared = np.add.reduceat((x[at] == y).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+    return shared >= similarity * (len(x) + sizes - shared) - 1e-9
 
-    The tree holds all but the largest component, whose members only search. ``nearest``: of the pairs of a
-    member with a larger component only the closest.
+
+def group_links(members: list[Member], blocks: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Similar members of different components, no more links than join them (and, of two blocks, only across).
+
+    The BK-tree holds all but the largest component, whose members only search; what lies within the radius
+    is verified on the sets, unless a link found before has joined the two already.
     """
+    parent: dict[int, int] = {m[3]: m[3] for m in members}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    if len(parent) < 2:
+        return []
     sizes: dict[int, int] = {}
     for m in members:
         sizes[m[3]] = sizes.get(m[3], 0) + 1
-    if len(sizes) < 2:
-        return
     most = max(sizes, key=lambda r: (sizes[r], r))
     across = min(blocks) != max(blocks)
-    tree, where, block_of = BKTree(), [], {}
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    order = sorted(range(len(members)), key=lambda i: members[i][3] == most)
-    for i in order:
+    tree, where, number, out = BKTree(), [], {}, []
+    for i in sorted(range(len(members)), key=lambda i: members[i][3] == most):
         node, fp, n, root = members[i]
-        for d, o in _reach(tree, where, fp, n, similarity):
-            if o[3] == root or across and block_of[o[0]] == blocks[i]:
-                continue
-            if not nearest:
-                yield node, o[0]
-                continue
-            own, its = ((node, root), (o[0], o[3])) if (sizes[root], root) < (sizes[o[3]], o[3]) else ((o[0], o[3]), (node, root))
-            key, value = (own[0], its[1]), (d, own[0], its[0])
-            if value < best.get(key, (65, 0, 0)):
-                best[key] = value
+        met = [number[o[0]] for _, o in _reach(tree, where, fp, n, similarity)]
+        if across:
+            met = [j for j in met if blocks[j] != blocks[i]]
+        while met:
+            own = find(root)
+            part, met = [j for j in met[:64] if find(members[j][3]) != own], met[64:]
+            if part:
+                for j, ok in zip(part, _similar(sets[i], [sets[j] for j in part], similarity).tolist(), strict=True):
+                    its = find(members[j][3])
+                    if ok and its != find(root):
+                        parent[its] = find(root)
+                        out.append((node, members[j][0]))
         if root != most:
             tree.add(fp)
             where.append(members[i])
-            block_of[node] = blocks[i]
-    yield from ((u, v) for _, u, v in best.values())
+            number[node] = i
+    return out
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -363,17 +384,18 @@ def _lead_runs(similarity: float):
     return run
 
 
-def _pair_runs(similarity: float, nearest: bool):
-    """Pairs of each shard; rows come sorted by (shard, node)."""
+def _link_runs(similarity: float):
+    """Links of each group; rows (group, block, node, fp, n, root, shingles) come sorted by group."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _shards(batches):
-            cuts, blocks = _cuts(rows["shard"].to_numpy()), rows["block"].to_pylist()
+            cuts, blocks = _cuts(rows["group"].to_numpy()), rows["block"].to_pylist()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"].combine_chunks()]
             for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                pairs = list(shard_pairs(_members(rows, begin, end), blocks[begin:end], similarity, nearest))
-                if pairs:
-                    u, v = zip(*pairs, strict=True)
+                found = group_links(_members(rows, begin, end), blocks[begin:end], sets[begin:end], similarity)
+                if found:
+                    u, v = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
@@ -398,10 +420,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _shard_table(heads: DataFrame, similarity: float) -> DataFrame:
-    """Members of all shards of two or more with their leaders. A shard of over SHARD_ROWS is led block by block."""
+    """Members of all shards of two or more with their leaders. A shard of over LEAD_ROWS is led block by block."""
     keyed = heads.filter("n > 0").select(F.explode("keys").alias("key"), "node", "fp", "n")
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SHARD_ROWS)
-    large = materialise(large.select("key", F.ceil(F.col("c") / SHARD_ROWS).alias("parts")), "large_shards")
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LEAD_ROWS)
+    large = materialise(large.select("key", F.ceil(F.col("c") / LEAD_ROWS).alias("parts")), "large_shards")
     shard = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), "parts")))
     keyed = keyed.join(large, "key", "left").select(shard.alias("shard"), "key", "node", "fp", "n")
     led = keyed.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_lead_runs(similarity), SHARD)
@@ -409,20 +431,30 @@ def _shard_table(heads: DataFrame, similarity: float) -> DataFrame:
 
 
 def _contested(shards: DataFrame, roots: DataFrame) -> DataFrame:
-    """(shard, block, node, fp, n, root) of shards whose members are in several components.
+    """(group, block, node, root) of members that share a shard with one of another component.
 
-    A shard of over SHARD_ROWS is cut into blocks by node, of which every two meet in a shard of their own.
+    Shards that have members in common are compared as one group, so that a pair meets once and not in
+    each of its shards, unless that group would be large: then its shards stay groups of their own. A
+    group of more than a block is cut into blocks, of which every two meet in a group of their own.
     """
-    rooted = shards.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialise(rooted.select("key", "node", "fp", "n", "root"), "rooted")
-    mixed = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    mixed = mixed.select("key", F.ceil(F.col("c") / SHARD_ROWS).cast("int").alias("parts"))
-    block = F.pmod(F.xxhash64("node"), "parts").cast("int")
-    members = rooted.join(mixed, "key").withColumn("block", block)
-    # Block b meets every block: as (b, x) with those after it, as (x, b) with those before it, and itself.
-    met = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    shard = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")))
-    return met.select(shard.alias("shard"), "block", "node", "fp", "n", "root")
+    rooted = shards.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(rooted, "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("first")).filter("low <> high")
+    members = materialise(rooted.join(mixed.select("key", "first"), "key"), "contested")
+    clusters = materialise(connected_components(members.select("first", "node"), "first", "node").withColumnRenamed("root", "cluster"), "clusters")
+    small = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= CLUSTER_ROWS).select("cluster", F.lit(True).alias("small"))
+    named = clusters.join(small, "cluster", "left")
+    group = F.when(F.col("small"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.xxhash64(F.lit("shard"), "key"))
+    grouped = materialise(members.join(named, "node").select(group.alias("group"), "node", "n", "root").distinct(), "grouped")
+    size = F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") * 8 / BLOCK_BYTES)
+    parts = grouped.groupBy("group").agg(F.ceil(size).cast("int").alias("parts"))
+    cut = grouped.join(parts, "group").withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    # A block meets every block: those after it, those before it and itself.
+    met = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select(F.xxhash64("group", F.least("block", "with"), F.greatest("block", "with")).alias("group"), "block", "node", "root")
+    met = materialise(met, "groups")
+    release(rooted, members, clusters, grouped)
+    return met
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,10 +463,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     Classes are joined by pairs of ``similarity`` or more: the exact Jaccard similarity of the sets of word
     shingles. Texts of equal sets are one node. Nodes are dealt into shards by keys of min-hashes; each
     shard holds a BK-tree of SimHash fingerprints, and what it finds within the radius is verified on the
-    whole sets, in three rounds: every member with one leader of its shards; then, of members of different
-    components, each with the closest member of a larger one; then all pairs of members that are still in
-    different components. So a large group of near copies costs few pairs a member, and every pair that a
-    shard and the radius propose is verified unless its members are joined already.
+    whole sets, in two rounds: every member with one leader of its shards; then all members of a shard that
+    are in different components, verified where they meet, so that what leaves a task is links alone. So a
+    large group of near copies costs few pairs a member, and every pair that a shard and the radius propose
+    is verified unless its members are joined already.
 
     Defined results: ``group_id`` is the smallest id of the class (null where all its ids are), ``root``
     names the class where ids are null or repeat; texts without words are one class; rows that share an id
@@ -454,9 +486,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     heads = rows.groupBy("da", "db").agg(F.min("id").alias("least"), one, F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
     heads = materialise(heads.withColumn("node", F.xxhash64("da", "db")), "nodes")
 
-    def shingle_sets(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        owners = materialise(heads.select("node", "one").join(wanted, "node").select("node", "one.*"), "owners")
+    def shingle_sets(wanted: DataFrame) -> DataFrame:
+        owners = materialise(heads.select("node", "one").join(wanted.distinct(), "node").select("node", "one.*"), "owners")
         _, maybe = split_by_keys(keyed, F.xxhash64("id", "row_a", "row_b"), owners.select(F.xxhash64("id", "row_a", "row_b").alias("key")))
 
         def sets():
@@ -468,27 +499,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
         release(owners)
         return found
 
-    def judge(pairs: DataFrame) -> DataFrame:
-        sets = shingle_sets(pairs)
-        found = materialise(_verified(pairs, sets, similarity), "judged")
-        release(sets)
-        return found
-
     shards = _shard_table(heads, similarity)
     pairs = materialise(shards.filter("lead is not null").groupBy(F.col("node").alias("u")).agg(F.min("lead").alias("v")), "pairs")
-    judged = judge(pairs)
-    for nearest in (True, False):
-        roots = materialise(connected_components(judged.filter("ok").select("u", "v")), "roots")
-        mixed = _contested(shards, roots).repartition("shard").sortWithinPartitions("shard", "node")
-        pairs = mixed.mapInArrow(_pair_runs(similarity, nearest), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        known = judged.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        pairs = materialise(pairs.distinct().join(known, ["u", "v"], "left_anti"), "pairs")
-        judged = judged.unionByName(judge(pairs))
-    release(shards)
-    roots = connected_components(judged.filter("ok").select("u", "v"))
+    sets = shingle_sets(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
+    first = materialise(_verified(pairs, sets, similarity).filter("ok").select("u", "v"), "links")
+    roots = materialise(connected_components(first), "roots")
+    groups = _contested(shards, roots)
+    release(pairs, sets, shards, roots)
+    sets = shingle_sets(groups.select("node"))
+    compared = groups.join(heads.select("node", "fp", "n"), "node").join(sets, "node").select("group", "block", "node", "fp", "n", "root", "shingles")
+    later = compared.repartition("group").sortWithinPartitions("group").mapInArrow(_link_runs(similarity), "u long, v long")
+    links = materialise(first.unionByName(later), "links")
+    release(first, groups, sets)
+    roots = connected_components(links)
     named = materialise(heads.join(roots, "node", "left").select("da", "db", "least", F.coalesce("root", "node").alias("root")), "roots")
-    groups = named.groupBy("root").agg(F.min("least").alias("group_id"))
-    of_set = named.join(groups, "root").select("da", "db", "group_id", "root")
+    least = named.groupBy("root").agg(F.min("least").alias("group_id"))
+    of_set = named.join(least, "root").select("da", "db", "group_id", "root")
     return rows.join(of_set, ["da", "db"]).select(F.col("id").alias(id_col), "row_a", "row_b", "group_id", "root")
 
 

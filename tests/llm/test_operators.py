@@ -689,7 +689,8 @@ def test_links_between_members_of_leaders(spark, sizes):
 
 
 def test_large_shards_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD_ROWS", 7)
+    for name, value in (("LEAD_ROWS", 7), ("BLOCK_ROWS", 5), ("CLUSTER_ROWS", 30)):
+        monkeypatch.setattr(simhash, name, value)
     rng = np.random.default_rng(23)
     texts = chain(rng, (204, 202, 163), 5)
     for share in (0.01, 0.02, 0.03):
@@ -700,28 +701,29 @@ def test_large_shards_are_cut(spark, monkeypatch):
     assert {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(df).collect()} == near_groups(texts, ids)
 
 
-def test_pairs_of_a_shard_are_all_found():
-    """Every pair within the radius of members of different components, by brute force; blocks share them out."""
+def test_links_of_a_group_join_what_all_pairs_join():
+    """Components by links against those of all similar pairs, whole and cut into blocks that meet two by two."""
     rng = np.random.default_rng(24)
-    base = int(rng.integers(1 << 62))
-    members = []
-    for i in range(120):
-        fp = base
-        for k in rng.choice(64, rng.integers(0, 20), replace=False):
-            fp ^= 1 << int(k)
-        members.append((i, fp, int(rng.integers(80, 120)), int(rng.choice([0, 0, 0, 1, 2, 100 + i]))))
-    fits = lambda a, b: a[3] != b[3] and (a[1] ^ b[1]).bit_count() <= 24 and min(a[2], b[2]) >= 0.8 * max(a[2], b[2])
-    want = {(a[0], b[0]) for a in members for b in members if a[0] < b[0] and fits(a, b)}
-    norm = lambda pairs: sorted(tuple(sorted(p)) for p in pairs)
-    assert norm(simhash.shard_pairs(members, [0] * 120, 0.8, False)) == sorted(want)
-    parts, across = [[m for m in members if m[0] % 3 == b] for b in range(3)], []
-    for i in range(3):
-        for j in range(i, 3):
-            both = parts[i] + parts[j] if i != j else parts[i]
-            across += norm(simhash.shard_pairs(both, [m[0] % 3 for m in both], 0.8, False))
-    assert sorted(across) == sorted(want)
-    close = norm(simhash.shard_pairs(members, [0] * 120, 0.8, True))
-    assert set(close) <= want and {members[a][3] for p in close for a in p} == {members[a][3] for p in want for a in p}
+    members, sets = [], []
+    for i in range(150):
+        if i % 30 == 0:
+            base = rng.integers(0, 1 << 63, 100, dtype=np.uint64) * np.uint64(2)
+        own = base.copy()
+        own[rng.choice(100, rng.integers(0, 16), replace=False)] = rng.integers(0, 1 << 63, dtype=np.uint64)
+        sets.append(np.unique(own))
+        members.append((i, simhash.fold_bits(sets[-1]), len(sets[-1]), int(rng.choice([i - i % 30, 1000 + i]))))
+    joined = [(i, j) for i in range(150) for j in range(i) if members[i][3] == members[j][3]]
+    similar = [(i, j) for i in range(150) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    want = _roots(150, joined + similar)
+    found = simhash.group_links(members, [0] * 150, sets, 0.8)
+    assert _roots(150, joined + found) == want and len(found) == len(set(_roots(150, joined))) - len(set(want)) > 10
+    assert {tuple(sorted(p, reverse=True)) for p in found} <= set(similar)
+    parts = []
+    for a in range(3):
+        for b in range(a, 3):
+            at = [i for i in range(150) if i % 3 in (a, b)]
+            parts += simhash.group_links([members[i] for i in at], [i % 3 for i in at], [sets[i] for i in at], 0.8)
+    assert _roots(150, joined + parts) == want
 
 
 # 10. Decontamination -------------------------------------------------------------------------------
