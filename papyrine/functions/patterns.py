@@ -183,3 +183,18 @@ TEXT_COLUMNS = {
     "rich": ["texto_limpieza_avanzada", "texto_limpio", "texto_ocr", "texto_base", "texto_markdown"],
 }
 MARKDOWN = ("# Documento legal\n\n## Metadatos\n\n* ID: ", "\n* Nombre: ", "\n* Clasificación: ", "\n\n## Texto limpio\n\n")
+
+# Ligatures and their letters, curly quotes and their straight forms.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij"}
+CURLY_QUOTES, STRAIGHT_QUOTES = "“”„‘’‚", "\"\"\"\'\'\'"
+
+# ASCII spellings of letters and signs that have no base letter; lower case, as search keys are.
+LETTERS = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "þ": "th", "ð": "d", "º": "o", "ª": "a", "°": "deg", "€": "EUR",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "\"", "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia",
+    "і": "i", "є": "ie", "ґ": "g",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p",
+    "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "–": "-", "—": "--", "…": "...", "•": "*", "«": "<<", "»": ">>", "¿": "?", "¡": "!", "©": "(c)", "®": "(r)", "“": "\"", "”": "\"", "‘": "'", "’": "'", "⁄": "/",
+}

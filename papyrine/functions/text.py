@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from html.parser import HTMLParser
 
@@ -161,20 +162,67 @@ def _nfkc(source: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def _fold_letters(source: pd.Series) -> pd.Series:
-    special = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "þ": "th", "ð": "d", "º": "o", "ª": "a", "°": "deg", "€": "EUR"})
+    return source.map(lambda s: None if s is None else fold_letters(s))
 
-    def fold(s):
-        if s is None or s.isascii():
-            return s
-        s = unicodedata.normalize("NFKD", s.translate(special))
-        return "".join(c for c in s if not unicodedata.combining(c)).encode("ascii", "ignore").decode()
 
-    return source.map(fold)
+def fold_letters(text: str) -> str:
+    """ASCII for letters and signs of other scripts: by the fixed table, then the base letter; what has neither goes."""
+    if text.isascii():
+        return text
+    text = unicodedata.normalize("NFKD", text.translate(_LETTERS)).translate(_LETTERS)
+    return "".join(c for c in text if not unicodedata.combining(c)).encode("ascii", "ignore").decode()
 
 
-def fix_quotes(c: Column) -> Column:
-    """Curly quotes to straight ones: what text fixing changes in practice on this kind of document."""
-    return F.translate(c, "“”„‘’‚", "\"\"\"'''")
+_LETTERS = str.maketrans(P.LETTERS)
+#: Characters that stand for one byte each in text that was decoded with the wrong code page.
+_BYTE_OF = {bytes([b]).decode("cp1252", "replace") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b): b for b in range(0x80, 0x100)} | {chr(b): b for b in range(0x80, 0xA0)}
+_TAIL = "[" + "".join(re.escape(c) for c, b in _BYTE_OF.items() if 0x80 <= b < 0xC0) + "]"
+#: Lead bytes of what such text usually holds: Latin letters and signs, punctuation, marks, pictures.
+MOJIBAKE = f"[ÂÃÅ]{_TAIL}|[âïã]{_TAIL}{{2}}|ð{_TAIL}{{3}}"
+
+
+def repair_encoding(text: str) -> str:
+    """UTF-8 that was read as Windows-1252 or Latin-1, read anew; more than once where it happened more than once."""
+
+    def read(match: re.Match) -> str:
+        try:
+            return bytes(_BYTE_OF[c] for c in match[0]).decode()
+        except UnicodeDecodeError:
+            return match[0]
+
+    for _ in range(4):
+        fixed = re.sub(MOJIBAKE, read, text)
+        if fixed == text:
+            break
+        text = fixed
+    return text
+
+
+@F.pandas_udf(T.StringType())
+def _repair(source: pd.Series) -> pd.Series:
+    return source.map(lambda s: None if s is None else unicodedata.normalize("NFC", repair_encoding(s)))
+
+
+@F.pandas_udf(T.StringType())
+def _unescape(source: pd.Series) -> pd.Series:
+    return source.map(lambda s: None if s is None else html.unescape(s))
+
+
+#: Full-width forms of the printable ASCII signs, by the rule that they lie in the same order, and the wide space.
+WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "\u3000"
+NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
+
+
+def fix_text(c: Column) -> Column:
+    """Repair what broken software does to text: wrong code pages, entities, ligatures, curly quotes, wide forms, control signs."""
+    text = _only_if(c.contains("&") & ~c.contains("<"), _unescape, c)
+    text = F.regexp_replace(text, "\x1b\\[[0-9;]*[A-Za-z]", "")
+    text = _only_if(text.rlike("[ÂÃÅâïãð][\u0080-\u00bf\u0152-\u0192\u02c6\u02dc\u2010-\u2122]|\\p{M}"), _repair, text)
+    for sign, letters in P.LIGATURES.items():
+        text = F.replace(text, F.lit(sign), F.lit(letters))
+    text = F.translate(text, P.CURLY_QUOTES + WIDE, P.STRAIGHT_QUOTES + NARROW)
+    text = F.regexp_replace(text, "\r\n?|[\u0085\u2028\u2029]", "\n")
+    return F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f\u206a-\u206f\ufeff\ufff9-\ufffc]", "")
 
 
 def _only_if(test: Column, udf, c: Column) -> Column:
@@ -190,14 +238,14 @@ def _lines(c: Column) -> Column:
 
 def clean_legal(c: Column, may_hold_html: bool = True) -> Column:
     """Conservative clean-up: quotes, entities, mark-up, line ends and spaces; words are never touched."""
-    text = fix_quotes(text_of(c))
+    text = fix_text(text_of(c))
     if may_hold_html:
         text = _only_if(text.contains("<") | text.contains("&"), _html_to_text, text)
     return _lines(text)
 
 
 def html_to_markdown(c: Column) -> Column:
-    text = fix_quotes(text_of(c))
+    text = fix_text(text_of(c))
     text = _only_if(text.contains("<") | text.contains("&"), _html_to_markdown, text)
     return strip(F.regexp_replace(F.regexp_replace(text, " {2,}", " "), "\n{3,}", "\n\n"))
 
@@ -207,7 +255,7 @@ ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaa
 
 def search_key(c: Column) -> Column:
     """Lower case, no accents, single spaces: a column to search in."""
-    low = F.translate(F.lower(fix_quotes(text_of(c))), ACCENTED, PLAIN)
+    low = F.translate(F.lower(fix_text(text_of(c))), ACCENTED, PLAIN)
     low = _only_if(low.rlike(r"[^\x00-\x7f]"), _fold_letters, low)
     return squeeze(low)
 

@@ -1,13 +1,22 @@
-"""Overlapping chunks of tokens or characters."""
+"""Overlapping chunks of tokens or characters.
+
+Tokens are word runs and signs by default, worked out in the JVM. A sub-word tokenizer is a factory of a
+function from a text to its token spans, called once per task (``tokenizer_file`` makes one from a file).
+"""
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyrine.functions.text import text_of
 
 #: Stands in for a sub-word tokenizer: runs of word characters, and single signs.
 TOKEN = r"(?U)\w+|[^\w\s]"
+Tokenizer = Callable[[], Callable[[str], list[tuple[int, int]]]]
 
 
 def tokens(c: Column) -> Column:
@@ -18,6 +27,38 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(text_of(c), F.lit(TOKEN))
 
 
+def tokenizer_file(path: str) -> Tokenizer:
+    """Spans by a tokenizer file, special tokens left out. ``.json``: the tokenizers library; else a SentencePiece model."""
+
+    def load():
+        if path.endswith(".json"):
+            from tokenizers import Tokenizer as Loaded
+
+            loaded = Loaded.from_file(path)
+            return lambda text: [s for s in loaded.encode(text, add_special_tokens=False).offsets if s[1] > s[0]]
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=path)
+        return lambda text: [(p.begin, p.end) for p in model.encode(text, out_type="immutable_proto").pieces if p.end > p.begin]
+
+    return load
+
+
+def with_token_spans(df: DataFrame, text_col: str, tokenizer: Tokenizer, out_col: str = "_spans") -> DataFrame:
+    """Append the array of (b, e) character spans of each text's tokens."""
+    names = [f.name for f in df.schema.fields if f.name != out_col]
+    item = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("e", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, kind = tokenizer(), pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            found = pa.array([[{"b": b, "e": e} for b, e in cut(t or "")] for t in texts], kind)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), found], names=[*names, out_col])
+
+    return df.mapInArrow(run, T.StructType([*(df.schema[n] for n in names), T.StructField(out_col, T.ArrayType(item))]))
+
+
 def _count(n: Column, size: int, overlap: int) -> Column:
     return F.when(n <= size, 1).otherwise(F.ceil((n - overlap) / (size - overlap))).cast("int")
 
@@ -27,15 +68,24 @@ def _check(size: int, overlap: int) -> None:
         raise ValueError("the overlap must be smaller than the chunk")
 
 
-def token_chunks(df: DataFrame, text_col: str, size: int = 300, overlap: int = 50) -> DataFrame:
-    """One row per chunk: chunk_id, token_start, token_end, n_tokens_chunk, texto_chunk. Texts without a token give none."""
+def token_chunks(df: DataFrame, text_col: str, size: int = 300, overlap: int = 50, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """One row per chunk: chunk_id, token_start, token_end, n_tokens_chunk, texto_chunk. Texts without a token give none.
+
+    Word tokens are joined by spaces; a chunk of sub-word tokens is the text from its first to its last one.
+    """
     _check(size, overlap)
-    df = df.withColumn("_t", tokens(F.col(text_col))).filter(F.size("_t") > 0)
+    df = df.withColumn("_t", tokens(F.col(text_col))) if tokenizer is None else with_token_spans(df, text_col, tokenizer, "_t")
+    df = df.filter(F.size("_t") > 0)
     n, step = F.size("_t"), size - overlap
     df = df.select("*", F.explode(F.sequence(F.lit(0), _count(n, size, overlap) - 1)).alias("chunk_id"))
     df = df.withColumn("token_start", F.col("chunk_id") * step).withColumn("token_end", F.least(n, F.col("token_start") + size))
     part = F.slice("_t", F.col("token_start") + 1, F.lit(size))
-    return df.withColumns({"n_tokens_chunk": F.size(part), "texto_chunk": F.array_join(part, " ")}).drop("_t")
+    if tokenizer is None:
+        text = F.array_join(part, " ")
+    else:
+        begin, end = F.get("_t", F.col("token_start"))["b"], F.get("_t", F.col("token_end") - 1)["e"]
+        text = F.substring(F.col(text_col), begin + 1, end - begin)
+    return df.withColumns({"n_tokens_chunk": F.size(part), "texto_chunk": text}).drop("_t")
 
 
 def char_chunks(df: DataFrame, text_col: str, size: int = 2800, overlap: int = 400) -> DataFrame:

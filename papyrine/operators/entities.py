@@ -1,7 +1,9 @@
 """Aggregates and joins over entity tables: counts, labels, model comparison, review queues."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import product
 from operator import or_
 
 from pyspark.sql import DataFrame
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from papyrine.functions import patterns as P
 from papyrine.functions.predicates import contains_any, needs_review, not_sentinel, valid_format
 from papyrine.functions.text import ICASE, text_of
+from papyrine.operators.extract import dedupe_first
+from papyrine.operators.models import Model, predict, predict_chunks
 
 
 def score_stats(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
@@ -97,6 +101,25 @@ def any_flag(columns: list[str]):
     return reduce(or_, map(F.col, columns))
 
 
-def run_grid(docs: DataFrame, configurations: DataFrame) -> DataFrame:
-    """Every document under every configuration; the configuration table is a handful of rows."""
-    return docs.join(F.broadcast(configurations))
+STRATEGIES = ("directo", "chunks")
+
+
+def run_grid(docs: DataFrame, text_col: str, models: dict[str, Callable[[], Model]], label_sets: dict[str, list[str]], thresholds: list[float], strategies: tuple[str, ...] = STRATEGIES, id_col: str = "id", size: int = 300, overlap: int = 50) -> DataFrame:
+    """Predictions of every model under every set of labels, threshold and strategy, one row each.
+
+    A setting is a narrow stage of its own, so settings run side by side; repeats that overlapping chunks find
+    twice are removed, the first staying.
+    """
+    if unknown := set(strategies) - set(STRATEGIES):
+        raise ValueError(f"unknown strategies: {sorted(unknown)}")
+    out = None
+    for model, labels, threshold, strategy in product(models, label_sets, thresholds, strategies):
+        if strategy == "directo":
+            found = predict(docs, text_col, models[model], label_sets[labels], threshold).withColumn("chunk_id", F.lit(0))
+        else:
+            found = predict_chunks(docs, text_col, models[model], label_sets[labels], threshold, id_col, size, overlap)
+        found = found.select(id_col, "chunk_id", "entidad_label", "entidad_texto", "score", "start", "end", "error", "texto_contexto")
+        found = found.withColumns({"modelo": F.lit(model), "labels_set": F.lit(labels), "threshold": F.lit(float(threshold)), "estrategia": F.lit(strategy)})
+        out = found if out is None else out.unionByName(found)
+    keys = [id_col, "modelo", "labels_set", "threshold", "estrategia", "entidad_label", "entidad_texto"]
+    return dedupe_first(out, keys, ["chunk_id", "start"])

@@ -1,7 +1,8 @@
 """Model inference over documents: whole texts or token chunks, one row per prediction.
 
-A model is a factory called once per task; what it returns maps a text and a list of labels to
-predictions in any of the usual shapes, which ``spans`` brings to one. Every document gives a row at
+A model is a factory called once per task (``pretrained`` opens a folder once per worker); what it returns
+maps a text and a list of labels to predictions in any of the usual shapes, which ``spans`` brings to one.
+One that has ``many`` gets a batch of texts at once. Every document gives a row at
 least: a sentinel label says that it has no text, no entity, or that the model failed on it.
 """
 from __future__ import annotations
@@ -58,6 +59,72 @@ def spans(raw: object, text: str, label: str | None = None) -> Iterator[tuple[st
         yield value, raw.get("label", label), None if score is None else float(score), begin, end
 
 
+def _open_library(path: str) -> object:
+    """The model that a folder or name holds, by the usual library, which is asked for only here."""
+    try:
+        from gliner import GLiNER
+    except ImportError as e:
+        raise RuntimeError("loading a pretrained model needs its library on the executors") from e
+    return GLiNER.from_pretrained(path)
+
+
+_OPENED: dict[tuple, object] = {}
+
+
+class Pretrained:
+    """A loaded model with ``predict_entities`` (and, if it has one, ``batch_predict_entities``) as a ``Model``."""
+
+    def __init__(self, inner: object):
+        self.inner = inner
+
+    def __call__(self, text: str, labels: list[str], threshold: float) -> object:
+        return self.inner.predict_entities(text, labels, threshold=threshold)
+
+    def many(self, texts: list[str], labels: list[str], threshold: float) -> list[object]:
+        batch = getattr(self.inner, "batch_predict_entities", None)
+        return batch(texts, labels, threshold=threshold) if batch else [self(t, labels, threshold) for t in texts]
+
+    def persons(self, text: str, label: str = "persona", threshold: float = 0.35) -> list[tuple[int, int, float]]:
+        """Spans for ``extract.with_entities``."""
+        return [(b, e, s or 0.0) for _, name, s, b, e in spans(self(text, [label], threshold), text) if b is not None and name in (label, None)]
+
+
+def pretrained(path: str, open_model: Callable[[str], object] = _open_library) -> Callable[[], Pretrained]:
+    """A factory that opens the model at ``path`` once per worker process, not once per task."""
+
+    def load() -> Pretrained:
+        from papyrine.operators import models
+
+        key = (path, open_model.__qualname__)
+        if key not in models._OPENED:
+            models._OPENED[key] = Pretrained(open_model(path))
+        return models._OPENED[key]
+
+    return load
+
+
+#: Texts that a model with ``many`` gets at once.
+BATCH = 16
+
+
+def _answers(model: Model, texts: list[str], labels: list[str], threshold: float) -> Iterator[tuple[object, str | None]]:
+    """(result, error) per text; where a batch fails its texts are tried one by one."""
+    one_by_one = texts
+    if hasattr(model, "many"):
+        try:
+            got = model.many(texts, labels, threshold)
+            if len(got) == len(texts):
+                yield from ((g, None) for g in got)
+                one_by_one = []
+        except Exception:  # noqa: BLE001, S110  each text is tried below
+            pass
+    for text in one_by_one:
+        try:
+            yield model(text, labels, threshold), None
+        except Exception as e:  # a model's failure on one text is a row, not the end of the job
+            yield None, str(e)[:500]
+
+
 def _run(df: DataFrame, text_col: str, load: Callable[[], Model], labels: list[str], threshold: float) -> DataFrame:
     kept = [f for f in df.schema.fields if f.name not in ROW.names]
     names = [f.name for f in kept]
@@ -68,13 +135,14 @@ def _run(df: DataFrame, text_col: str, load: Callable[[], Model], labels: list[s
         model, schema = load(), to_arrow_schema(T.StructType([*kept, *ROW.fields]))
         for batch in batches:
             picked, out = [], []
-            for i, text in enumerate(batch.column(batch.schema.get_field_index(text_col)).to_pylist()):
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            asked = [t for t in texts if t and t.strip()]
+            answers = (a for at in range(0, len(asked), BATCH) for a in _answers(model, asked[at : at + BATCH], labels, threshold))
+            for i, text in enumerate(texts):
                 found: list[tuple] = [(None, NO_TEXT, None, None, None, None)]
                 if text and text.strip():
-                    try:
-                        found = [(*s, None) for s in spans(model(text, labels, threshold), text)] or [(None, NO_ENTITY, None, None, None, None)]
-                    except Exception as e:  # a model's failure on one text is a row, not the end of the job
-                        found = [(None, FAILED, None, None, None, str(e)[:500])]
+                    raw, error = next(answers)
+                    found = [(None, FAILED, None, None, None, error)] if error is not None else [(*s, None) for s in spans(raw, text)] or [(None, NO_ENTITY, None, None, None, None)]
                 out += found
                 picked += [i] * len(found)
             rows = pa.array(picked, pa.int32())
@@ -91,12 +159,12 @@ def predict(df: DataFrame, text_col: str, load: Callable[[], Model], labels: lis
     return found.withColumn("texto_contexto", context(F.col(text_col), F.col("start"), F.col("end")))
 
 
-def predict_chunks(df: DataFrame, text_col: str, load: Callable[[], Model], labels: list[str], threshold: float = 0.35, id_col: str = "id", size: int = 300, overlap: int = 50) -> DataFrame:
+def predict_chunks(df: DataFrame, text_col: str, load: Callable[[], Model], labels: list[str], threshold: float = 0.35, id_col: str = "id", size: int = 300, overlap: int = 50, tokenizer: chunks.Tokenizer | None = None) -> DataFrame:
     """Token chunks: spans lie in the chunk; a document in which no chunk finds anything keeps one sentinel row.
 
     Repeats from overlapping chunks stay; ``extract.dedupe_first`` removes them.
     """
-    parts = chunks.token_chunks(df, text_col, size, overlap)
+    parts = chunks.token_chunks(df, text_col, size, overlap, tokenizer)
     found = _run(parts, "texto_chunk", load, labels, threshold)
     hits = found.filter(~F.col("entidad_label").isin(P.SENTINELS) | F.col("entidad_label").isNull())
     failed = found.filter(F.col("entidad_label") == FAILED)
@@ -107,7 +175,7 @@ def predict_chunks(df: DataFrame, text_col: str, load: Callable[[], Model], labe
 
 
 def digit_runs(text: str, labels: list[str], threshold: float) -> object:
-    """The model of tests and demonstrations: runs of seven digits or more under the first label."""
+    """The model of tests and demonstrations: runs of seven digits or more under the first label, at a score of 0.9."""
     import re
 
-    return {labels[0]: [{"text": m[0], "start": m.start(), "end": m.end(), "score": 0.9} for m in re.finditer(r"\d{7,}", text)]}
+    return {labels[0]: [] if threshold > 0.9 else [{"text": m[0], "start": m.start(), "end": m.end(), "score": 0.9} for m in re.finditer(r"\d{7,}", text)]}

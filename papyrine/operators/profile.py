@@ -1,7 +1,7 @@
 """Profiling of raw tables: nulls, lengths, cardinalities, duplicates, distributions, diagnostics."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,3 +135,25 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
 def class_warnings(df: DataFrame, column: str, word: str = "embargo") -> DataFrame:
     """Rows whose class does not contain the word."""
     return df.filter(~F.coalesce(F.lower(F.col(column)).contains(word), F.lit(False)))
+
+
+def numbered(df: DataFrame, order: str, name: str = "numero_embargo", start: int = 1, parts: int = 200) -> DataFrame:
+    """Append consecutive numbers in the order of a numeric column, nulls last (ties in any order).
+
+    Rows are numbered within ``parts`` ranges of about equal size and shifted by how many lie before, so
+    that no task sorts the whole table.
+    """
+    bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.002)))
+    below = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b < F.col(order)))
+    ranged = df.withColumn("_part", F.when(F.col(order).isNull(), len(bounds) + 1).otherwise(below))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))  # at most `parts` rows
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    shifted = ranged.withColumn("_n", inside).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return shifted.withColumn(name, F.col("_n") + F.col("_before") + (start - 1)).drop("_part", "_n", "_before")
+
+
+def mean_min_max(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per column: its mean, least and largest value, as the selection shows them."""
+    stats = lambda c: F.struct(F.lit(c).alias("columna"), F.avg(c).alias("promedio"), F.min(c).cast("double").alias("minimo"), F.max(c).cast("double").alias("maximo"))
+    return df.agg(F.array(*map(stats, columns)).alias("r")).select(F.inline("r"))

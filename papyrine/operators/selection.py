@@ -4,7 +4,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import metrics as M
@@ -13,10 +13,19 @@ from papyrine.functions.predicates import to_bool
 from papyrine.functions.text import ICASE, clean_ocr, preview, text_of
 
 
+def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """As ``withColumns``, but worked out once a row: a generator of one row that the optimiser does not look into.
+
+    Otherwise it may copy a long chain of expressions into every place that reads the column.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def clean_and_check(df: DataFrame, text_col: str) -> DataFrame:
     """Append the cleaned text, what was removed, the metrics after cleaning, and loss alerts per kind of data."""
-    df = df.withColumn("texto_base", text_of(F.col(text_col)))
-    df = df.withColumn("texto_limpieza_avanzada", clean_ocr(F.col("texto_base")))
+    df = bind(df, {"texto_base": text_of(F.col(text_col))})
+    df = bind(df, {"texto_limpieza_avanzada": clean_ocr(F.col("texto_base"))})
     before, after = F.col("texto_base"), F.col("texto_limpieza_avanzada")
     df = df.withColumns({"len_antes": F.length(before), "len_despues": F.length(after), "palabras_antes": M.word_count(before), "palabras_despues": M.word_count(after)})
     df = df.withColumns(
@@ -27,7 +36,7 @@ def clean_and_check(df: DataFrame, text_col: str) -> DataFrame:
         }
     )
     df = M.measure(df, "texto_limpieza_avanzada")
-    df = df.withColumns({**M.has_important(before, "antes_"), **M.has_important(after, "despues_")})
+    df = bind(df, {c: F.col(c) for c in ("ocr_quality_score", "ocr_estado", "palabras_antes", "palabras_despues")} | M.has_important(before, "antes_") | M.has_important(after, "despues_"))
     df = df.withColumns({f"alerta_desaparece_{k}": F.col(f"antes_{k}") & ~F.col(f"despues_{k}") for k in P.IMPORTANT})
     return df.withColumns(
         {
@@ -61,25 +70,26 @@ def final_report(checked: DataFrame) -> DataFrame:
     )
 
 
-def with_fallback(strict: DataFrame, relaxed: DataFrame, least: int) -> DataFrame:
-    """``strict``, or ``relaxed`` where strict has fewer than ``least`` rows: one plan, no collect.
-
-    The count is a one-row aggregate, broadcast to both sides; only one side's rows survive.
-    """
-    few = strict.limit(least).agg((F.count(F.lit(1)) < least).alias("_few"))
-    return strict.join(F.broadcast(few), ~F.col("_few")).drop("_few").unionByName(relaxed.join(F.broadcast(few), F.col("_few")).drop("_few"))
+def _lead(df: DataFrame, kind: Column, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of every kind (null: none): each task cuts its own before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("_kind").orderBy(*order))
+    return df.withColumn("_kind", kind).filter("_kind is not null").withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
 
 
 def top_for_model(checked: DataFrame, id_col: str = "id", most: int = 15) -> DataFrame:
-    """The best documents for the entity model; regular ones join in where too few are legible."""
+    """The best documents for the entity model; regular ones join in where too few are legible.
+
+    One pass: the best legible and the best regular ones are picked side by side, and the few that are left decide.
+    """
     df = checked.withColumns(M.has_important(F.col("texto_limpieza_avanzada"), "tiene_"))
     df = df.withColumn("cantidad_indicadores_importantes", sum((F.col(f"tiene_{k}").cast("int") for k in P.IMPORTANT), F.lit(0)))
-    df = df.withColumn("score_seleccion_gliner", M.selection_score())
+    df = bind(df, {"cantidad_indicadores_importantes": F.col("cantidad_indicadores_importantes"), "score_seleccion_gliner": M.selection_score()})
     fine = (F.col("palabras_despues") >= 120) & (F.col("porcentaje_reduccion") <= 0.35) & ~F.col("alerta_posible_perdida_datos")
-    df = df.persist()  # read by the count and by both sides
-    pool = with_fallback(df.filter(fine & (F.col("ocr_estado") == "legible")), df.filter(fine & F.col("ocr_estado").isin("legible", "regular")), most)
-    keys = [F.desc(c) for c in ("score_seleccion_gliner", "ocr_quality_score", "cantidad_indicadores_importantes", "palabras_despues")]
-    return pool.orderBy(*keys, id_col).limit(most).withColumn("texto_limpio_avanzado_preview_500", preview(F.col("texto_limpieza_avanzada")))
+    keys = [*(F.desc(c) for c in ("score_seleccion_gliner", "ocr_quality_score", "cantidad_indicadores_importantes", "palabras_despues")), F.col(id_col)]
+    lead = _lead(df, F.when(fine & F.col("ocr_estado").isin("legible", "regular"), F.col("ocr_estado")), keys, most)
+    strict = F.count_if(F.col("_kind") == "legible").over(Window.partitionBy(F.lit(0)))  # over 2 x most rows
+    pool = lead.withColumn("_n", strict).filter((F.col("_kind") == "legible") | (F.col("_n") < most)).drop("_n", "_kind")
+    return pool.orderBy(*keys).limit(most).withColumn("texto_limpio_avanzado_preview_500", preview(F.col("texto_limpieza_avanzada")))
 
 
 def detect_patterns(df: DataFrame, text_col: str) -> DataFrame:
@@ -94,8 +104,8 @@ def _number(df: DataFrame, name: str):
     return F.coalesce(F.col(name).try_cast("double"), F.lit(0.0))
 
 
-def ranking(df: DataFrame, text_col: str) -> DataFrame:
-    """Append the selection patterns, ``ranking_80_score`` and the length it used. Absent columns count nothing."""
+def _ranked(df: DataFrame, text_col: str) -> tuple[DataFrame, Column | None]:
+    """``df`` with the score for either scale of porcentaje_reduccion (_as_shares, _as_percents), and that column."""
     df, has = detect_patterns(df, text_col), set(df.columns)
     size_col = next((c for c in ("largo_limpio", "len_despues") if c in has), None)
     size = _number(df, size_col) if size_col else F.length(text_of(F.col(text_col))).cast("double")
@@ -109,38 +119,60 @@ def ranking(df: DataFrame, text_col: str) -> DataFrame:
     long = F.col("_texto_len_ranking")
     score += F.least(long, F.lit(6000.0)) / 6000 * 30
     score -= F.when(long < 500, 35.0).otherwise(0.0) + F.when(long < 200, 65.0).otherwise(0.0)
-    if "porcentaje_reduccion" in has:
-        # Whether the column holds shares or percents is one decision for the whole table.
-        raw = _number(df, "porcentaje_reduccion")
-        scale = df.agg((F.max(raw) <= 1).alias("_shares"))
-        df = df.join(F.broadcast(scale))
-        cut = F.greatest(F.when(F.col("_shares"), raw * 100).otherwise(raw), F.lit(0.0))
-    else:
-        cut = F.lit(0.0)
-    score += -0.25 * F.least(cut, F.lit(100.0)) - F.when(cut > 60, 20.0).otherwise(0.0) + F.when(cut <= 35, 8.0).otherwise(0.0)
+    raw = _number(df, "porcentaje_reduccion") if "porcentaje_reduccion" in has else None
+
+    def cut_points(share: Column) -> Column:
+        cut = F.greatest(share, F.lit(0.0))
+        return -0.25 * F.least(cut, F.lit(100.0)) - F.when(cut > 60, 20.0).otherwise(0.0) + F.when(cut <= 35, 8.0).otherwise(0.0)
+
     points = [*((c, -30.0) for c in P.SEVERE_ALERTS), *((c, -12.0) for c in P.LOSS_ALERTS), *((c, 9.0) for c in P.SELECTION), ("tiene_palabras_clave_embargo", 12.0)]
+    rest = F.lit(0.0)
     for name, worth in points:
         if name in df.columns:
             flag = F.col(name) if dict(df.dtypes)[name] == "boolean" else to_bool(F.col(name))
-            score += F.when(F.coalesce(flag, F.lit(False)), worth).otherwise(0.0)
+            rest += F.when(F.coalesce(flag, F.lit(False)), worth).otherwise(0.0)
     if "important_data_count" in has:
-        score += 2 * F.least(_number(df, "important_data_count"), F.lit(10.0))
+        rest += 2 * F.least(_number(df, "important_data_count"), F.lit(10.0))
     if "legal_terms_count" in has:
-        score += F.least(_number(df, "legal_terms_count"), F.lit(10.0))
-    return df.withColumn("ranking_80_score", F.round(score, 4)).drop("_shares")
+        rest += F.least(_number(df, "legal_terms_count"), F.lit(10.0))
+    whole = lambda share: F.round(score + cut_points(share) + rest, 4)
+    zero = F.lit(0.0)
+    both = {"_as_shares": whole(raw * 100 if raw is not None else zero), "_as_percents": whole(raw if raw is not None else zero)}
+    return bind(df, both | {"_raw": raw if raw is not None else zero, "_texto_len_ranking": long}), raw
+
+
+def ranking(df: DataFrame, text_col: str) -> DataFrame:
+    """Append the selection patterns, ``ranking_80_score`` and the length it used. Absent columns count nothing.
+
+    Whether porcentaje_reduccion holds shares or percents is one decision for the whole table.
+    """
+    ranked, _ = _ranked(df, text_col)
+    scale = ranked.agg((F.max("_raw") <= 1).alias("_shares"))
+    ranked = ranked.join(F.broadcast(scale)).withColumn("ranking_80_score", F.when(F.col("_shares"), F.col("_as_shares")).otherwise(F.col("_as_percents")))
+    return ranked.drop("_shares", "_as_shares", "_as_percents", "_raw")
 
 
 def select_top(df: DataFrame, text_col: str, id_col: str = "id", most: int = 80) -> DataFrame:
-    """The best documents by ranking among the usable ones; among all where fewer than ``most`` are usable."""
-    ranked = ranking(df, text_col).persist()  # read by the count and by both sides
+    """The best documents by ranking among the usable ones; among all where fewer than ``most`` are usable.
+
+    One pass: the best of either scale, usable or not, are picked side by side with a row, if there is one,
+    that shows the column to hold percents; the few rows that are left decide.
+    """
+    ranked, _ = _ranked(df, text_col)
     usable = F.col("_texto_len_ranking") >= 300
     if "ocr_estado" in df.columns:
         usable &= ~F.lower(F.coalesce(F.col("ocr_estado"), F.lit(""))).isin("irrecuperable", "muy_ruidoso")
     if "alerta_texto_muy_corto" in df.columns:
         usable &= ~F.coalesce(F.col("alerta_texto_muy_corto"), F.lit(False))
-    pool = with_fallback(ranked.filter(usable), ranked, most)
-    keys = ["ranking_80_score", *(["ocr_quality_score"] if "ocr_quality_score" in df.columns else []), "_texto_len_ranking"]
-    return pool.orderBy(*map(F.desc, keys), id_col).limit(most).drop("_texto_len_ranking")
+    entry = lambda scale, score: F.struct(F.lit(scale).alias("_scale"), score.alias("ranking_80_score"))
+    entries = F.array(entry("shares", F.col("_as_shares")), entry("percents", F.col("_as_percents")), entry("witness", F.lit(0.0)))
+    several = ranked.withColumn("_usable", usable).select("*", F.inline(entries)).filter("_scale <> 'witness' or _raw > 1")
+    keys = [F.desc(c) for c in ["ranking_80_score", *(["ocr_quality_score"] if "ocr_quality_score" in df.columns else []), "_texto_len_ranking"]] + [F.col(id_col)]
+    lead = _lead(several, F.concat_ws(" ", "_scale", F.col("_usable").cast("string")), keys, most)
+    few = Window.partitionBy(F.lit(0))  # over 6 x most rows
+    lead = lead.withColumn("_scales", F.when(F.count_if(F.col("_scale") == "witness").over(few) > 0, "percents").otherwise("shares")).filter("_scale = _scales")
+    lead = lead.withColumn("_n", F.count_if("_usable").over(few)).filter(F.col("_usable") | (F.col("_n") < most))
+    return lead.orderBy(*keys).limit(most).drop("_n", "_scales", "_scale", "_kind", "_usable", "_raw", "_as_shares", "_as_percents", "_texto_len_ranking")
 
 
 def stratified_sample(df: DataFrame, by: str, id_col: str, per_class: int, seed: int = 42) -> DataFrame:

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +30,17 @@ def _query(sql: str | None = None):
     return add
 
 
+def _all() -> None:
+    from papyrine.plans import built  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_sql)
 
 
@@ -200,9 +205,9 @@ def stratified_sample(spark, sf_dir):
     return selection.stratified_sample(_docs(spark, sf_dir).select("lang", "doc_id"), "lang", "doc_id", 5)
 
 
-@_query(f"with {CTE} select 'embargo_' || id || '.txt' as archivo, 'TIPO: ' || clasificacion || chr(10) || 'ID: ' || id || chr(10) || 'NOMBRE: ' || nombre || chr(10) || 'CLASIFICACION: ' || clasificacion || chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) || texto || chr(10) as contenido from legal where clasificacion = 'Embargo'")
+@_query(f"with {CTE} select lower(clasificacion) || '_' || id || '.txt' as archivo, 'TIPO: ' || clasificacion || chr(10) || 'ID: ' || id || chr(10) || 'NOMBRE: ' || nombre || chr(10) || 'CLASIFICACION: ' || clasificacion || chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) || texto || chr(10) as contenido from legal")
 def reading_sample(spark, sf_dir):
-    return io.reading_sample(legal_documents(spark, sf_dir).filter("clasificacion = 'Embargo'"), text="texto")
+    return io.reading_sample(legal_documents(spark, sf_dir), text="texto")
 
 
 @_query(f"with {CTE} select id, {S.replace_all('texto', [(('(?i)' if a else '') + p, n) for p, n, a in P.TERM_FIXES])} as texto from legal")
@@ -284,8 +289,7 @@ alerts as (
 
 
 def _checked(spark, sf_dir):
-    """The stage boundary between cleaning and ranking: computed once, spilled to disk, recomputed if an executor goes."""
-    return selection.clean_and_check(legal_documents(spark, sf_dir), "texto").persist(StorageLevel.MEMORY_AND_DISK)
+    return selection.clean_and_check(legal_documents(spark, sf_dir), "texto")
 
 
 _ALERT_COLUMNS = ["id", "len_antes", "len_despues", "porcentaje_reduccion", "porcentaje_reduccion_palabras", "ocr_quality_score", "ocr_estado", *P.SEVERE_ALERTS, *P.LOSS_ALERTS]
@@ -654,11 +658,12 @@ def review_template(spark, sf_dir):
 
 
 @_query(
-    f"with {_VALID} select modelo, labels_set, count(entidad_texto) as total_entidades, count(distinct id) as documentos_cubiertos, avg(score) as score_promedio, min(score) as score_minimo, max(score) as score_maximo, "
-    "count(*) filter (formato_valido_label) as entidades_formato_valido, count(*) filter (not formato_valido_label) as entidades_formato_invalido, count(*) filter (requiere_revision_manual) as entidades_requieren_revision, count(*) filter (not requiere_revision_manual) as entidades_confiables from shown group by modelo, labels_set"
+    f"with {_VALID} select modelo, labels_set, 0.35::double as threshold, case when id % 2 = 0 then 'directo' else 'chunks' end as estrategia, count(entidad_texto) as total_entidades, count(distinct id) as documentos_cubiertos, avg(score) as score_promedio, min(score) as score_minimo, max(score) as score_maximo, "
+    "count(*) filter (formato_valido_label) as entidades_formato_valido, count(*) filter (not formato_valido_label) as entidades_formato_invalido, count(*) filter (requiere_revision_manual) as entidades_requieren_revision, count(*) filter (not requiere_revision_manual) as entidades_confiables from shown group by all"
 )
 def model_compare(spark, sf_dir):
-    return entities.model_comparison(_predictions(spark, sf_dir), ("modelo", "labels_set"))
+    strategy = F.when(F.col("id") % 2 == 0, "directo").otherwise("chunks")
+    return entities.model_comparison(_predictions(spark, sf_dir).withColumns({"threshold": F.lit(0.35), "estrategia": strategy}))
 
 
 @_query(f"with {_VALID} select entidad_label, count(*) as cantidad, avg(score) as score_promedio, min(score) as score_minimo, max(score) as score_maximo from shown group by entidad_label")
@@ -695,12 +700,6 @@ def person_names(spark, sf_dir):
     return rows.select("id", X.person_name(dressed).alias("limpio"), R.valid_person(dressed).alias("valida"))
 
 
-@_query(f"with {CTE}, cfg as (select unnest(['a', 'b']) as modelo, unnest([0.3, 0.5]::double[]) as threshold) select id, modelo, threshold from legal, cfg")
-def run_grid(spark, sf_dir):
-    cfg = spark.createDataFrame([("a", 0.3), ("b", 0.5)], "modelo string, threshold double")
-    return entities.run_grid(legal_documents(spark, sf_dir).select("id"), cfg)
-
-
 @_query("select role, count(*) as cantidad, count(distinct conv_id) as conversaciones, avg(length(text)) as largo from conversations group by role")
 def conversation_roles(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations")

@@ -1,6 +1,8 @@
 """Reading and writing document tables."""
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,9 +58,45 @@ def write_report(row: DataFrame, path: str) -> None:
     row.limit(1).coalesce(1).write.option("ignoreNullFields", False).json(path)
 
 
-def write_documents(df: DataFrame, path: str, name: str, text: str) -> None:
-    """One folder per document name holding its text; the writer runs on the executors."""
-    df.select(F.col(name).alias("documento"), F.col(text).alias("value")).write.partitionBy("documento").text(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of the files below a folder whose name fits; a missing folder gives none. The driver lists, as for any scan."""
+    found, place = [], spark._jvm.org.apache.hadoop.fs.Path(path)
+    if exists(spark, path):
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+        while files.hasNext():
+            status = files.next()
+            if fnmatch(status.getPath().getName(), pattern):
+                found.append((status.getPath().toString(), status.getLen()))
+    return spark.createDataFrame(found, "path string, length long")
+
+
+def write_documents(df: DataFrame, path: str, name: str, text: str, most: int = 1000) -> None:
+    """One file per document, ``path``/``name``: a sample for people, so more than ``most`` rows are refused."""
+    spark = df.sparkSession
+    rows = df.select(F.col(name).alias("n"), F.coalesce(F.col(text), F.lit("")).alias("t")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} documents; write_json_lines takes any number")
+    for row in rows:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{row['n']}")
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+        try:
+            out.write(bytearray(row["t"].encode()))
+        finally:
+            out.close()
+
+
+def markdown_sample(df: DataFrame, per_class: int = 5, kind: str = "clasificacion", id_col: str = "id", text: str = "texto_markdown") -> DataFrame:
+    """(archivo, contenido): ``per_class`` documents of each class by a seeded hash, as class_id.md."""
+    from papyrine.operators.selection import stratified_sample
+
+    picked = stratified_sample(df, kind, id_col, per_class)
+    return picked.select(F.concat_ws("_", F.lower(kind), F.concat(F.col(id_col).cast("string"), F.lit(".md"))).alias("archivo"), F.col(text).alias("contenido"))
 
 
 def reading_sample(df: DataFrame, kind: str = "clasificacion", text: str = "texto_ocr") -> DataFrame:
@@ -76,42 +114,3 @@ def manual_template(spark: SparkSession) -> DataFrame:
 def workbook_rows(review: DataFrame, group: str = "grupo_revision") -> DataFrame:
     """Review rows as a workbook shows them: a colour band per group, and whether the state is one of the list."""
     return review.withColumns({"banda": F.pmod(F.xxhash64(group), F.lit(2)) if dict(review.dtypes)[group] == "string" else F.pmod(F.col(group), F.lit(2)), "estado_valido": F.col("estado_revision").isin(P.REVIEW_STATES)})
-
-
-#: Fills of a workbook's odd and even groups.
-BANDS = {1: ("EAF3FF", "9DC3E6"), 0: ("FFF2CC", "FFD966")}
-
-
-def write_workbook(sheets: dict[str, DataFrame], path: str, group: str = "grupo_revision", most: int = 100_000) -> None:
-    """Review sheets as one workbook on the driver: header frozen, filter, group bands, a list of states.
-
-    A workbook is for people; a sheet of over ``most`` rows is refused. Needs openpyxl.
-    """
-    try:
-        from openpyxl import Workbook
-        from openpyxl.styles import PatternFill
-        from openpyxl.worksheet.datavalidation import DataValidation
-    except ImportError as e:
-        raise RuntimeError("writing a workbook needs openpyxl; write_csv needs nothing") from e
-    book = Workbook()
-    book.remove(book.active)
-    for name, df in sheets.items():
-        rows = df.limit(most + 1).collect()
-        if len(rows) > most:
-            raise ValueError(f"{name}: more than {most} rows")
-        sheet = book.create_sheet(name)
-        sheet.append(df.columns)
-        bands: dict[object, int] = {}
-        for row in rows:
-            sheet.append([v if isinstance(v, (str, int, float, bool, type(None))) else str(v) for v in row])
-            if group in df.columns:
-                band = bands.setdefault(row[group], (len(bands) + 1) % 2)
-                for cell in sheet[sheet.max_row]:
-                    cell.fill = PatternFill("solid", fgColor=BANDS[band][cell.column == df.columns.index(group) + 1])
-        sheet.freeze_panes, sheet.auto_filter.ref = "A2", sheet.dimensions
-        if "estado_revision" in df.columns:
-            choice = DataValidation(type="list", formula1='"' + ",".join(P.REVIEW_STATES) + '"')
-            sheet.add_data_validation(choice)
-            letter = sheet.cell(1, df.columns.index("estado_revision") + 1).column_letter
-            choice.add(f"{letter}2:{letter}{max(2, sheet.max_row)}")
-    book.save(path)

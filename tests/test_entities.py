@@ -80,10 +80,25 @@ def test_dedupe_best(spark):
     assert sorted(r["score"] for r in got.collect()) == [0.1, 0.9]
 
 
-@pytest.mark.parametrize("n,least,want", [(14, 15, "relaxed"), (15, 15, "strict")])
-def test_fallback(spark, n, least, want):
-    strict, relaxed = (spark.range(k).withColumn("w", F.lit(w)) for k, w in ((n, "strict"), (40, "relaxed")))
-    assert {r["w"] for r in selection.with_fallback(strict, relaxed, least).collect()} == {want}
+@pytest.mark.parametrize("legible,want", [(14, {"legible": 14, "regular": 1}), (15, {"legible": 15}), (40, {"legible": 15})])
+def test_regular_documents_join_where_few_are_legible(spark, legible, want):
+    df = spark.range(60).select("id", F.when(F.col("id") < legible, "legible").when(F.col("id") < 45, "regular").otherwise("muy_ruidoso").alias("ocr_estado"))
+    df = df.withColumns({"texto_limpieza_avanzada": F.lit("x"), "palabras_despues": F.lit(200), "porcentaje_reduccion": F.lit(0.0), "alerta_posible_perdida_datos": F.lit(False), "ocr_quality_score": 1 - F.col("id") / 100})
+    got = selection.top_for_model(df).collect()
+    assert {k: sum(r["ocr_estado"] == k for r in got) for k in {r["ocr_estado"] for r in got}} == want
+    assert [r["id"] for r in got] == list(range(15))
+
+
+@pytest.mark.parametrize("usable,top", [(4, 0.5), (5, 0.5), (9, 0.5), (4, 60.0), (9, 60.0)])
+def test_all_documents_join_where_few_are_usable(spark, usable, top):
+    """Against the plain rule; one percentage of ``top`` decides how the column is read."""
+    df = spark.range(12).select("id", F.when(F.col("id") < usable, "legible").otherwise("irrecuperable").alias("ocr_estado"), F.repeat(F.lit("a"), (F.col("id") * 10 + 400).cast("int")).alias("texto"))
+    df = df.withColumn("porcentaje_reduccion", F.when(F.col("id") == 11, top).otherwise(F.col("id") / 20))
+    ranked = {r["id"]: r["ranking_80_score"] for r in selection.ranking(df, "texto").collect()}
+    pool = range(usable) if usable >= 5 else range(12)
+    want = sorted(pool, key=lambda i: (-ranked[i], -i))[:5]
+    got = selection.select_top(df, "texto", most=5).collect()
+    assert [r["id"] for r in got] == want and [r["ranking_80_score"] for r in got] == [ranked[i] for i in want]
 
 
 @pytest.mark.parametrize("top,shown", [(1.0, 50.0), (1.01, 0.5)])
@@ -126,3 +141,55 @@ def test_every_document_gives_a_row(spark):
     for found in (models.predict(df, "texto", load, ["n"]), models.predict_chunks(df, "texto", load, ["n"], size=3, overlap=1)):
         got = sorted({(r["id"], r["entidad_label"], r["entidad_texto"]) for r in found.collect()}, key=str)
         assert got == [(1, "SIN_TEXTO", None), (2, "SIN_TEXTO", None), (3, "SIN_ENTIDADES", None), (4, "ERROR", None), (5, "n", "1234567"), (5, "n", "7654321")]
+
+
+class FakeLibraryModel:
+    """What a model library returns, with its interface."""
+
+    opened = 0
+
+    def predict_entities(self, text, labels, threshold=0.5):
+        if "boom" in text:
+            raise RuntimeError("no")
+        return [{"text": m, "label": labels[0], "start": text.index(m), "end": text.index(m) + len(m), "score": 0.8} for m in text.split() if m.istitle() and threshold <= 0.8]
+
+    def batch_predict_entities(self, texts, labels, threshold=0.5):
+        return [self.predict_entities(t, labels, threshold) for t in texts]
+
+
+def _open_fake(path):
+    FakeLibraryModel.opened += 1
+    return FakeLibraryModel()
+
+
+def test_pretrained_model_is_opened_once_and_asked_in_batches(spark):
+    from papyrine.operators import models
+
+    load = models.pretrained("/no/such/folder", _open_fake)
+    assert load() is load() and FakeLibraryModel.opened == 1
+    df = spark.createDataFrame([(1, "paga Ana"), (2, "boom Ana"), (3, "nada"), (4, None)], "id long, texto string").coalesce(1)
+    got = sorted({(r["id"], r["entidad_label"], r["entidad_texto"], r["start"]) for r in models.predict(df, "texto", load, ["persona"]).collect()}, key=str)
+    assert got == [(1, "persona", "Ana", 5), (2, "ERROR", None, None), (3, "SIN_ENTIDADES", None, None), (4, "SIN_TEXTO", None, None)]
+    assert load().persons("hoy Ana Paz") == [(4, 7, 0.8), (8, 11, 0.8)]
+    found = extract.with_entities(df.filter("id = 1"), "texto", model=load, near_id=False)
+    assert found.first()["entidades"] == []  # three letters are no candidate
+    with pytest.raises(RuntimeError, match="library"):
+        models.pretrained("/no/such/folder")()
+
+
+def test_sub_word_chunks(spark):
+    """Chunks by a tokenizer file against the library itself."""
+    from tokenizers import Tokenizer
+
+    path = "/opt/tokenizers/" + next(n for n in sorted(__import__("os").listdir("/opt/tokenizers")) if n.endswith(".json"))
+    lib, texts = Tokenizer.from_file(path), ["Se ha decretado el embargo sobre los fondos. " * 8, "uno", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, texto string")
+    got = chunks.token_chunks(df, "texto", 20, 5, chunks.tokenizer_file(path)).orderBy("id", "chunk_id").collect()
+    want = []
+    for i, t in enumerate(texts):
+        spans = [s for s in lib.encode(t or "", add_special_tokens=False).offsets if s[1] > s[0]]
+        n = len(spans)
+        for c in range(0 if not n else 1 if n <= 20 else -(-(n - 5) // 15)):
+            part = spans[c * 15 : c * 15 + 20]
+            want.append((i, c, len(part), t[part[0][0] : part[-1][1]]))
+    assert [(r["id"], r["chunk_id"], r["n_tokens_chunk"], r["texto_chunk"]) for r in got] == want

@@ -37,7 +37,41 @@ def test_json_lines_and_documents(spark, tmp_path):
     io.write_json_lines(df, str(tmp_path / "l"))
     assert io.read_json(spark, str(tmp_path / "l"), lines=True).count() == 2
     io.write_documents(df, str(tmp_path / "d"), "n", "t")
-    assert (tmp_path / "d" / "documento=a").is_dir()
+    assert (tmp_path / "d" / "a").read_text() == "x\ny" and (tmp_path / "d" / "b").read_text() == ""
+    with pytest.raises(ValueError, match="more than"):
+        io.write_documents(df, str(tmp_path / "e"), "n", "t", most=1)
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in io.list_files(spark, str(tmp_path / "d")).collect()) == ["a", "b"]
+    assert io.list_files(spark, str(tmp_path / "none")).count() == 0 and not io.exists(spark, str(tmp_path / "none"))
+
+
+def test_workbook(spark, tmp_path):
+    """The parts of the file, read back as XML."""
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    from papyrine.sources import workbook
+
+    rows = spark.createDataFrame([("7", 1, "a < b & c", "pendiente"), ("7", 2, None, "pendiente"), ("9", 1, "ñ\x00", "bien")], "grupo_revision string, entidad_n int, valor string, estado_revision string")
+    summary = spark.createDataFrame([("7", True, 0.5), ("9", False, None)], "id string, revision_manual boolean, confianza double")
+    path = str(tmp_path / "r.xlsx")
+    workbook.write_workbook(workbook.review_sheets(rows, summary), path)
+    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    with zipfile.ZipFile(path) as book:
+        names = [s.get("name") for s in ET.fromstring(book.read("xl/workbook.xml")).iterfind(".//m:sheet", ns)]
+        sheet = ET.fromstring(book.read("xl/worksheets/sheet1.xml"))
+        small = ET.fromstring(book.read("xl/worksheets/sheet2.xml"))
+        styles = ET.fromstring(book.read("xl/styles.xml"))
+        assert all(ET.fromstring(book.read(n)) is not None for n in book.namelist())
+    assert names == ["entidades", "para_revisar", "resumen"]
+    cells = [[c.findtext(".//m:t", None, ns) or c.findtext("m:v", None, ns) for c in r] for r in sheet.iterfind(".//m:row", ns)]
+    assert cells == [["grupo_revision", "entidad_n", "valor", "estado_revision"], ["7", "1", "a < b & c", "pendiente"], ["7", "2", None, "pendiente"], ["9", "1", "ñ", "bien"]]
+    bands = [r[0].get("s") for r in sheet.iterfind(".//m:row", ns)]
+    assert bands == ["1", "4", "4", "6"] and len(styles.findall(".//m:cellXfs/m:xf", ns)) == 7
+    assert sheet.find(".//m:pane", ns).get("ySplit") == "1" and sheet.find("m:autoFilter", ns).get("ref") == "A1:D4"
+    assert sheet.find(".//m:dataValidation", ns).get("sqref") == "D2:D4" and sheet.findall(".//m:col", ns)[2].get("width") == "40"
+    assert len(small.findall(".//m:row", ns)) == 2
+    with pytest.raises(ValueError, match="more than"):
+        workbook.write_workbook({"x": rows}, path, most=2)
 
 
 def test_template(spark):
