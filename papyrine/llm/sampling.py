@@ -7,6 +7,8 @@ id; fewer rows than asked for give all; empty tables give none.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, values: list
     """
     order = F.xxhash64(F.lit(salt), F.col(id_col))
     clear = labels.filter(F.col(label).isin(values)).groupBy(id_col).agg(F.min(label).alias(label), F.max(label).alias("__other__"))
-    first = Window.partitionBy(label).orderBy(order, id_col)
-    chosen = clear.filter(F.col(label) == F.col("__other__")).select(id_col, label, F.row_number().over(first).alias("__r__")).filter(F.col("__r__") <= per_value).drop("__r__")
+    clear = clear.filter(F.col(label) == F.col("__other__")).select(id_col, label)
+    parts = [clear.filter(F.col(label) == v).orderBy(order, id_col).limit(per_value) for v in values]
+    chosen = reduce(DataFrame.unionByName, parts)
     keyed = docs.select(F.col(id_col), F.col(text_col).alias("text"), *row_key(text_col, "__a__", "__b__"))
     found = keyed.join(F.broadcast(chosen), id_col).dropDuplicates([id_col, "__a__", "__b__"])
     alone = F.count(F.lit(1)).over(Window.partitionBy(id_col))
