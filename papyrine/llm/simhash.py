@@ -16,6 +16,8 @@ any other; equal texts share a fingerprint; repeated rows stay repeated; an empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -524,17 +526,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows of equal id and text that differ in other columns are copies too; one of them stays.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
-    found = materialise(found.select("root", F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), "row_a", "row_b").alias("row")), "groups")
-    first = found.groupBy("root").agg(F.min("row").alias("first"))
-    kept = found.join(first, "root").groupBy("row").agg(F.any_value(F.col("row") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("c"))
-    kept = materialise(kept.filter("not stays or c > 1").select("row.id", "row.row_a", "row.row_b", "stays"), "gone")
+    key = ["late", "id", "row_a", "row_b"]  # without nulls; in the order of preference
+    found = materialise(found.select("root", F.col(id_col).isNull().alias("late"), F.coalesce(F.col(id_col), F.lit(0)).alias("id"), "row_a", "row_b"), "groups")
     # Rows of one key are alike in id and text, so they are in one class: a key stays or goes as a whole.
-    a, b = row_key(text_col, "a", "b")
-    docs_id = F.col(id_col).cast("long")
-    clear, maybe = split_by_keys(docs, F.xxhash64(docs_id, a, b), kept.select(F.xxhash64("id", "row_a", "row_b").alias("key")))
-    gone = kept.filter("not stays")
-    on = docs_id.eqNullSafe(gone["id"]) & (a == gone["row_a"]) & (b == gone["row_b"])
-    order = F.xxhash64(*[F.to_json(F.struct(*docs.columns))])
-    copies = Window.partitionBy(docs_id, a, b).orderBy(order)
+    first = found.groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*", F.lit(True).alias("stays"))
+    kept = found.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).join(first, key, "left")
+    kept = materialise(kept.filter("stays is null or c > 1").select(*key, F.col("stays").isNotNull().alias("stays")), "gone")
+    release(found)
+    names = dict(zip(key, ("__late__", "__id__", "__a__", "__b__"), strict=True))
+    own = [F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0)), *row_key(text_col, "a", "b")]
+    clear, maybe = split_by_keys(docs, F.xxhash64(*own), kept.select(F.xxhash64(*key).alias("key")))
+    gone = kept.filter("not stays").select(*[F.col(k).alias(n) for k, n in names.items()])
+    on = reduce(and_, (c == gone[n] for c, n in zip(own, names.values(), strict=True)))
+    copies = Window.partitionBy(*own).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
     left = maybe.join(gone, on, "left_anti").withColumn("__copy__", F.row_number().over(copies)).filter("__copy__ = 1").drop("__copy__")
     return clear.unionByName(left)
