@@ -5,7 +5,8 @@ rows share costs one node. The graph starts from neighbours within blocks of ran
 is improved by rounds of Spark joins: every node brings its neighbours, and those it is a neighbour
 of, together (neighbours of neighbours), they are scored against each other, and each keeps its best.
 Queries start at their own node and walk the graph: each round joins the best unvisited nodes of
-every query with their neighbours, until the best ``BEAM`` of a query are all visited.
+every query with their neighbours, until the best ``BEAM`` of every query are all visited, however many
+rounds that takes.
 
 Graph and walk rank by copies in the vectors' own precision (``raw``) with scores in double precision,
 as the result does, so that close vectors are told apart and one large vector does not blur the others.
@@ -38,7 +39,6 @@ TREES = 4
 BLOCK = 256
 BEAM = 320
 EXPAND = 80
-HOPS = 12
 ROWS_AT_ONCE = 200_000
 EDGE = "node long, nbr long, score double"
 
@@ -151,7 +151,21 @@ def _start(nodes: DataFrame, count: int, dim: int, trees: int) -> DataFrame:
                     yield _edges(node[part][i], node[part][j], s[i, j])
 
     placed = nodes.select("node", "raw").mapInArrow(place, "bucket long, line double, node long, raw binary")
-    return placed.repartition("bucket").sortWithinPartitions("bucket", "line").mapInArrow(pair, EDGE)
+    # By ranges: a bucket that very many nodes fall into is shared out along its line.
+    return placed.repartitionByRange("bucket", "line").sortWithinPartitions("bucket", "line").mapInArrow(pair, EDGE)
+
+
+def _best_edges(node: np.ndarray, nbr: np.ndarray, score: np.ndarray, degree: int) -> pa.RecordBatch:
+    """The ``degree`` best distinct neighbours of every node among these edges."""
+    order = np.lexsort((-score, nbr, node))
+    node, nbr, score = node[order], nbr[order], score[order]
+    first = np.concatenate(([True], (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])))
+    node, nbr, score = node[first], nbr[first], score[first]
+    order = np.lexsort((nbr, -score, node))
+    node, nbr, score = node[order], nbr[order], score[order]
+    cuts = _bounds(node)
+    keep = np.arange(len(node)) - np.repeat(cuts[:-1], np.diff(cuts)) < degree
+    return _edges(node[keep], nbr[keep], score[keep])
 
 
 def _keep_best(edges: DataFrame, degree: int) -> DataFrame:
@@ -159,17 +173,7 @@ def _keep_best(edges: DataFrame, degree: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
-            node, nbr, score = (rows[c].to_numpy() for c in ("node", "nbr", "score"))
-            order = np.lexsort((-score, nbr, node))
-            node, nbr, score = node[order], nbr[order], score[order]
-            first = np.concatenate(([True], (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])))
-            node, nbr, score = node[first], nbr[first], score[first]
-            order = np.lexsort((nbr, -score, node))
-            node, nbr, score = node[order], nbr[order], score[order]
-            cuts = _bounds(node)
-            rank = np.arange(len(node)) - np.repeat(cuts[:-1], np.diff(cuts))
-            keep = rank < degree
-            yield _edges(node[keep], nbr[keep], score[keep])
+            yield _best_edges(*(rows[c].to_numpy() for c in ("node", "nbr", "score")), degree)
 
     return edges.repartition("node").sortWithinPartitions("node").mapInArrow(run, EDGE)
 
@@ -201,8 +205,8 @@ def _round(graph: DataFrame, nodes: DataFrame, number: int) -> DataFrame:
                 good = v > worst[begin:end][i]
                 i, j = i[good], j[good]
                 out.append((node[begin:end][i], node[begin:end][j], v[good]))
-            if out:
-                yield _edges(*(np.concatenate(c) for c in zip(*out, strict=True)))
+            if out:  # a node that very many others know is cut to its best here already
+                yield _best_edges(*(np.concatenate(c) for c in zip(*out, strict=True)), DEGREE)
 
     return members.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(meet, EDGE)
 
@@ -255,11 +259,13 @@ def _guessed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, keep: int, beam: int = BEAM) -> DataFrame:
     """(q, node, score) of the best ``keep`` nodes found for every node in ``queries`` (column q), scores in double precision."""
-    back = graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "score")
+    # Each task cuts a node's reversed edges to the best before the shuffle.
+    known = Window.partitionBy("nbr").orderBy(F.desc("score"), "node")
+    back = graph.withColumn("r", F.row_number().over(known)).filter(F.col("r") <= 2 * DEGREE).select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "score")
     near = materialise(_keep_best(graph.unionByName(back), 2 * DEGREE).select(F.col("node").alias("at"), F.col("nbr").alias("node")), "walk")
     state = materialise(_guessed(queries.select("q", F.col("q").alias("node")), nodes).withColumn("seen", F.lit(False)), "state")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "node")
-    for _ in range(HOPS):
+    while True:  # ends: a node is visited once, and what leaves the beam does not come back
         ranked = state.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam)
         turn = F.row_number().over(Window.partitionBy("q", "seen").orderBy(F.desc("score"), "node"))
         ranked = ranked.withColumn("go", ~F.col("seen") & (turn <= EXPAND))

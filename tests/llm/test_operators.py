@@ -310,6 +310,21 @@ def test_nearest_recall_and_scores(spark, sf_dir):
     assert hit / len(got) >= 0.9
 
 
+def test_nearest_recall_on_ten_thousand_rows(spark):
+    """Recall at 20 against brute force over all rows of a larger table."""
+    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").limit(10_200).select("vec_id", "embedding").persist()
+    e = vectors.toPandas()
+    x, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
+    got = ann.search(vectors, F.col("vec_id") % 20 == 0).toPandas()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hit += (s[np.isin(ids, g.vec_id)] >= np.sort(s)[-20] - 1e-12).sum()
+    print("recall:", hit / len(got), len(ids))
+    assert hit / len(got) >= 0.9 and len(ids) >= 10_000
+
+
 @pytest.mark.parametrize(("kind", "noise"), [("float", 0.005), ("double", 0.0001)])
 def test_nearest_tells_near_copies_apart(spark, kind, noise):
     """One group of near copies and a vector with a large component, against brute force."""
