@@ -134,6 +134,11 @@ class Codec:
         for i in model.reachable:
             self.automaton.add_word(model.pieces[i], len(model.pieces[i]) << SYMBOL_BITS | i)
         self.automaton.make_automaton()
+        # Of each piece: its length, and the longest other piece that it starts with.
+        known = {model.pieces[i]: i for i in model.reachable}
+        self.size = {i: len(p) for p, i in known.items()}
+        prefixes = {i: next((known[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in known), None) for p, i in known.items()}
+        self.shorter = {i: j for i, j in prefixes.items() if j is not None}
         self.fits: dict[int, bool] = {}
         joined = [model.pieces[i] for i in plain if len(model.pieces[i]) > 1]
         inner = any(SPACE in p.lstrip(SPACE) for p in joined)
@@ -162,60 +167,58 @@ class Codec:
         return ok
 
     def symbols(self, text: str) -> list[int]:
-        """Encode a text in which spaces are marks already."""
-        return self._greedy(text) or self._backtrack(text)
-
-    def _greedy(self, text: str) -> list[int] | None:
-        """The longest matches from left to right, if they cover the text and every pair fits: then they are the encoding."""
-        out, at, last, fits = [], 0, -1, self.fits
+        """Encode a text in which spaces are marks already: longest matches while every pair fits, then step by step."""
+        out: list[int] = []
+        begins: list[int] = []
+        at, last, fits = 0, -1, self.fits
         for end, found in self.automaton.iter_long(text):
             if end - (found >> SYMBOL_BITS) + 1 != at:
-                return None
+                break
             symbol = found & SYMBOL_MASK
             if last >= 0:
                 ok = fits.get(last << SYMBOL_BITS | symbol)
                 if not (self.compatible(last, symbol) if ok is None else ok):
-                    return None
+                    break
             out.append(symbol)
+            begins.append(at)
             at, last = end + 1, symbol
-        return out if at == len(text) else None
-
-    def _backtrack(self, text: str) -> list[int]:
-        """Longest piece first, the next shorter where a pair does not fit, a step back where none is left."""
-        n = len(text)
-        starts: list[list[int]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(text):
-            starts[end - (found >> SYMBOL_BITS) + 1].append(found)  # ends grow, so each list is in ascending length
+        return out if at == len(text) else self._backtrack(text, out, begins, at)
+
+    def _longest(self, text: str, at: int) -> int:
+        """The longest piece that matches at a position; a character outside the vocabulary stands alone."""
+        for end, found in self.automaton.iter_long(text, at):
+            if end - (found >> SYMBOL_BITS) + 1 == at:
+                return found & SYMBOL_MASK
+            break
+        return OUTSIDE + ord(text[at])
+
+    def _backtrack(self, text: str, out: list[int], begins: list[int], at: int) -> list[int]:
+        """Go on from a start whose pairs fit: longest piece first, the next shorter where a pair does not fit, a step back where none is left."""
+        n, fits, shorter, size = len(text), self.fits, self.shorter, self.size
         failed = bytearray(n // 8 + 1)
-        out: list[int] = []
-        tried: list[int] = []
-        at, k, last, fits = 0, -1, -1, self.fits
-        while at < n:
-            found = starts[at]
-            if found:
-                symbol, end = found[k] & SYMBOL_MASK, at + (found[k] >> SYMBOL_BITS)
-            else:  # a character outside the vocabulary stands alone and falls back to bytes
-                symbol, end = OUTSIDE + ord(text[at]), at + 1
+        last = out[-1] if out else -1
+        symbol = self._longest(text, at)
+        while True:
+            end = at + size.get(symbol, 1)
             if not failed[end >> 3] >> (end & 7) & 1:
                 ok = True if last < 0 else fits.get(last << SYMBOL_BITS | symbol)
                 if ok is None:
                     ok = self.compatible(last, symbol)
                 if ok:
                     out.append(symbol)
-                    tried.append(at << 8 | -k)
-                    at, k, last = end, -1, symbol
+                    begins.append(at)
+                    if end == n:
+                        return out
+                    at, last = end, symbol
+                    symbol = self._longest(text, at)
                     continue
-            if -k < len(found):
-                k -= 1  # the next shorter piece
-                continue
-            failed[at >> 3] |= 1 << (at & 7)
-            if not out:
-                raise ValueError("no valid encoding")
-            out.pop()
-            back = tried.pop()
-            at, k = back >> 8, -(back & 255)
-            last = out[-1] if out else -1
-        return out
+            symbol = shorter.get(symbol, -1)
+            while symbol < 0:  # nothing valid goes on from here
+                failed[at >> 3] |= 1 << (at & 7)
+                if not out:
+                    raise ValueError("no valid encoding")
+                symbol, at = shorter.get(out.pop(), -1), begins.pop()
+                last = out[-1] if out else -1
 
     def _ids(self, symbols: list[int]) -> list[int]:
         out: list[int] = []

@@ -55,7 +55,7 @@ def test_codec_steps_back():
     model.reachable = [1, 2, 3, 4, 5]
     own = codec.Codec(model)
     assert [model.pieces[i] for i in own.symbols("abc")] == own.merger.merge("abc") == ["a", "bc"]
-    assert own._greedy("abc") is None
+    assert model.pieces[own._longest("abc", 0)] == "ab"  # the longest match is a dead end
 
 
 def test_op1(spark, sf_dir):
