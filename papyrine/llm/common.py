@@ -157,7 +157,7 @@ def _bitmap(keys: DataFrame) -> tuple[Column, int]:
     words = hashed.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("w"))
     cells = keys.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
     whole = cells.agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("t")).select(F.transform("t", lambda x: x["w"]).alias("t"))
-    return materialise(whole, "bitmap").scalar(), bits
+    return whole.scalar(), bits
 
 
 def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from papyrine.llm.common import materialise, release
 
 
-def _state(edges: DataFrame) -> tuple:
-    # An order-free fingerprint of the edge set: equal twice running means nothing moves any more.
-    mix = F.xxhash64("u", "v").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(mix)).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge and leads to a node that has none: then each leads to its component's smallest."""
+    heads = edges.select(F.col("v").alias("u")).distinct()
+    open_ = edges.join(heads, "u", "left_semi").select("u").limit(1)
+    twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("u").limit(1)
+    return not open_.unionByName(twice).head(1)
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -23,8 +25,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """
     edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct()
     edges = materialise(edges, "edges")
-    state = _state(edges)
-    while True:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -32,11 +33,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = materialise(small.filter("u > v").distinct(), "edges")
-        now = _state(new)
         release(edges)
         edges = new
-        if now == state:
-            break
-        state = now
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

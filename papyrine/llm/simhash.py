@@ -425,7 +425,7 @@ def _shard_table(heads: DataFrame, similarity: float) -> DataFrame:
     """Members of all shards of two or more with their leaders. A shard of over LEAD_ROWS is led block by block."""
     keyed = heads.filter("n > 0").select(F.explode("keys").alias("key"), "node", "fp", "n")
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LEAD_ROWS)
-    large = materialise(large.select("key", F.ceil(F.col("c") / LEAD_ROWS).alias("parts")), "large_shards")
+    large = large.select("key", F.ceil(F.col("c") / LEAD_ROWS).alias("parts"))
     shard = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), "parts")))
     keyed = keyed.join(large, "key", "left").select(shard.alias("shard"), "key", "node", "fp", "n")
     led = keyed.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_lead_runs(similarity), SHARD)
@@ -440,10 +440,9 @@ def _contested(shards: DataFrame, roots: DataFrame) -> DataFrame:
     group of more than a block is cut into blocks, of which every two meet in a group of their own.
     """
     rooted = shards.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialise(rooted, "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("first")).filter("low <> high")
     members = materialise(rooted.join(mixed.select("key", "first"), "key"), "contested")
-    clusters = materialise(connected_components(members.select("first", "node"), "first", "node").withColumnRenamed("root", "cluster"), "clusters")
+    clusters = connected_components(members.select("first", "node"), "first", "node").withColumnRenamed("root", "cluster")
     small = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= CLUSTER_ROWS).select("cluster", F.lit(True).alias("small"))
     named = clusters.join(small, "cluster", "left")
     group = F.when(F.col("small"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.xxhash64(F.lit("shard"), "key"))
@@ -455,7 +454,7 @@ def _contested(shards: DataFrame, roots: DataFrame) -> DataFrame:
     met = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select(F.xxhash64("group", F.least("block", "with"), F.greatest("block", "with")).alias("group"), "block", "node", "root")
     met = materialise(met, "groups")
-    release(rooted, members, clusters, grouped)
+    release(members, grouped)
     return met
 
 

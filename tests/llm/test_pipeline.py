@@ -79,3 +79,28 @@ def test_run_and_empty_table(spark, sf_dir, stages):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
     assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Null and repeated ids, null, empty and long texts, repeated rows, an extra column: every stage decides by the text."""
+    import numpy as np
+
+    rng = np.random.default_rng(31)
+    unique = [" ".join(f"x{rng.integers(10**7)}" for _ in range(90)) for _ in range(5)]
+    items = pd.read_parquet(f"{sf_dir}/benchmark.parquet").text.tolist()[:2]
+    big = 10**9
+    odd = [(None, unique[0]), (None, unique[1]), (big, unique[2]), (big, unique[3]), (big + 1, None), (big + 1, ""), (big + 2, unique[4]), (big + 2, unique[4]), (big + 3, "palabra unica " * 5000), (None, items[0]), (big, items[1] + " " + unique[0][:40])]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("node", docs["n_chars"])
+    out = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "node"]
+        out.append(sorted(str(r["text"]) for r in docs.collect()))
+    assert out[0] == sorted(str(t) for _, t in odd)
+    rest = [*unique, items[0], items[1] + " " + unique[0][:40]]
+    assert [t for t in out[1] if t not in ("None", "")] == sorted([*rest, "palabra unica " * 5000]) and len(out[1]) == 9
+    assert out[2] == sorted([*rest, "", ""])
+    assert out[3] == sorted([*unique, "", ""])
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert last.count() == 7
