@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from papyrine.llm.common import materialise, release
 
 
+#: Edges that one task writes: small tables are written by few tasks, large ones by many.
+EDGES_A_TASK = 500_000
+
+
 def _settled(edges: DataFrame) -> bool:
     """Whether every node has one edge and leads to a node that has none: then each leads to its component's smallest."""
     heads = edges.select(F.col("v").alias("u")).distinct()
@@ -25,6 +29,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """
     edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct()
     edges = materialise(edges, "edges")
+    tasks = 1 + edges.count() // EDGES_A_TASK
     while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -32,7 +37,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        new = materialise(small.filter("u > v").distinct(), "edges")
+        new = materialise(small.filter("u > v").distinct().coalesce(tasks), "edges")
         release(edges)
         edges = new
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

@@ -119,14 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     sample = sample.select(F.col(id_col).alias("id"), F.col(label).alias("y"), F.pmod(F.xxhash64(F.lit("half"), id_col), F.lit(2)).cast("int").alias("half"), "text")
 
     def make():
-        def run(texts):
-            got = [text_features(t) for t in texts]
-            return {"features": [list(g) for g in got], "counts": [list(g.values()) for g in got]}
-
-        return run
+        return lambda texts: {"features": [list(text_features(t)) for t in texts]}
 
-    fields = [T.StructField("features", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
-    got = materialise(append_columns(sample, make, fields), "toxicity_sample")
+    got = materialise(append_columns(sample, make, [T.StructField("features", T.ArrayType(T.StringType()))]), "toxicity_sample")
     sizes = {(r["y"], r["half"]): r["c"] for r in got.groupBy("y", "half").agg(F.count(F.lit(1)).alias("c")).collect()}
     n = lambda y, half=None: sum(c for (a, b), c in sizes.items() if a == y and half in (None, b))
     if not n(0) or not n(1):
@@ -148,16 +143,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     def mark():
         def run(texts):
             words = [set(words_of((t or "").lower())) for t in texts]
-            return {f"hits{h}": [sum(not strong[h].isdisjoint(word_features(w)) for w in ws) for ws in words] for h in (0, 1)}
+            hits = {f"hits{h}": [sum(not strong[h].isdisjoint(word_features(w)) for w in ws) for ws in words] for h in (0, 1)}
+            return hits | {"mine": [[{"f": f, "c": c} for f, c in text_features(t).items() if f in chosen] for t in texts]}
 
         return run
 
-    def narrow():
-        return lambda rows: {"mine": [[{"f": f, "c": c} for f, c in r if f in chosen] for r in rows]}
-
-    small = append_columns(got.select("id", "y", "half", "text", F.map_from_arrays("features", "counts").alias("all")), mark, [T.StructField(f"hits{h}", T.LongType()) for h in (0, 1)])
     mine = T.ArrayType(T.StructType([T.StructField("f", T.StringType()), T.StructField("c", T.IntegerType())]))
-    small = append_columns(small.drop("text"), narrow, [T.StructField("mine", mine)], "all").drop("all").orderBy("id").collect()
+    fields = [*(T.StructField(f"hits{h}", T.LongType()) for h in (0, 1)), T.StructField("mine", mine)]
+    small = append_columns(got.select("id", "y", "half", "text"), mark, fields).drop("text").orderBy("id").collect()
     release(got)
     found = [sorted((index[x["f"]], x["c"]) for x in r["mine"]) for r in small]
     grades = np.array([0 if r["y"] == 0 else 2 if r[f"hits{1 - r['half']}"] >= SEVERE_WORDS else 1 for r in small])
