@@ -23,7 +23,7 @@ _PEOPLE = "customer join nation on c_nationkey = n_nationkey"
 
 
 def _people(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").join(F.broadcast(_table(spark, sf_dir, "nation")), F.expr("c_nationkey = n_nationkey"))
+    return _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
 
 
 _PAGE = "concat('<html><head><style>p {color: red}</style></head><body><h2>', n_name, '</h2><p>', c_name, ' &amp; <b>tel ', c_custkey, '</b></p>\\n\\n\\n<script>x = 1</script><ul><li>', c_mktsegment, '</li><li>dos</li></ul><a href=\"u', c_custkey, '\">mas</a></body></html>')"

@@ -61,5 +61,5 @@ def spread(df: DataFrame) -> DataFrame:
 def legal_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, nombre, clasificacion, texto), one per order. Customer and nation are dimension tables; the planner picks the join."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    joined = spread(read("orders")).join(read("customer"), F.expr("o_custkey = c_custkey")).join(F.broadcast(read("nation")), F.expr("c_nationkey = n_nationkey"))
+    joined = spread(read("orders")).join(read("customer"), F.expr("o_custkey = c_custkey")).join(read("nation"), F.expr("c_nationkey = n_nationkey"))
     return joined.select(F.col("o_orderkey").alias("id"), F.expr(FILE).alias("nombre"), F.expr(KIND).alias("clasificacion"), F.expr(TEXT).alias("texto"))

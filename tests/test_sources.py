@@ -100,6 +100,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, stream.cleaned(df).collect()), key=str)
 
 
+def test_stream_counts_equal_batch(spark, tmp_path):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "corto", "x" * 200, "y" * 300])], "id long, text string")
+    df = df.withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("id") * 400))
+    df.write.parquet(str(tmp_path / "in"))
+    src = stream.state_counts(stream.read_documents(spark, str(tmp_path / "in"), df.schema), "ts")
+    q = src.writeStream.format("memory").queryName("state_counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(120)
+    shown = lambda d: sorted(map(str, d.select("window.start", "estado", "cantidad").collect()))
+    assert shown(spark.table("state_counts")) == shown(stream.state_counts(df, "ts")) and spark.table("state_counts").agg(F.sum("cantidad")).first()[0] == 5
+
+
 def test_profile_of_an_empty_table(spark):
     df = spark.createDataFrame([], "a string, b int")
     assert profile.null_report(df).count() == 2
