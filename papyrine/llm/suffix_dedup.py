@@ -8,7 +8,7 @@ Every byte that lies in a ``LENGTH``-byte string which also starts anywhere else
    position after the same l < 8 bytes. An anchor's context spans the windows that it owns.
 2. Groups. Anchors are dealt by hash. One that occurs once is dropped. Contexts of equal bytes, told by
    128 bits of their SHA-256, are copies: their windows repeat, and one of them stands for all from here on.
-3. Suffix sort of what is left, per group: sort the sampled triples of 8-byte words and name them,
+3. Suffix sort of what is left, per group (a group of over ``HOT`` contexts is dealt out further first): sort the sampled triples of 8-byte words and name them,
    recurse on triples of names (24, 72, then 192 bytes), merge the remaining suffixes by the bytes
    before and after the named 192, and compare adjacent prefixes of LENGTH bytes exactly.
 4. Spans go back to their documents, and the remaining bytes are concatenated.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,9 @@ PIECE = 1 << 20
 POSITION_BITS = 21
 #: Context bytes suffix-sorted at once in a task (whole groups, so a larger group is taken alone).
 SORT_BYTES = 2 << 20
+#: Contexts of one anchor that are sorted together. More of them (the border of a passage that very many texts
+#: share) are dealt by ranges of RANGE places as well, and by whole windows where a range is as large again.
+HOT, RANGE = 500, 17
 #: Rows of texts taken out of an Arrow batch at once.
 ROWS = 500
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F)]
@@ -286,24 +290,55 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
-@trimmed
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def core_keys(gram: int, off: int, span: int, context: bytes) -> Iterator[tuple[int, int]]:
+    """(first place, key) for each range of anchor places that the context's windows have: equal windows share the key of their place.
+
+    A window of place l holds l bytes before its anchor's gram and LENGTH - K - l behind it, so all windows
+    of a range hold the bytes that the key is a hash of.
+    """
+    from xxhash import xxh64_intdigest
+
+    for place in range(max(0, (off - span) // RANGE * RANGE), off + 1, RANGE):
+        core = context[max(0, off - place) : off - place + LENGTH - RANGE + 1]
+        yield place, xxh64_intdigest(core, gram + place & (1 << 64) - 1)
+
 
-    unpack = zstandard.ZstdDecompressor().decompress
+def _contexts(spread: bool):
+    """Rows (row_a, row_b, packed, found) to one row per anchor, or, ``spread``, to one per anchor and range of places."""
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        names, types = ("gram", "off", "place", "row_a", "row_b", "first", "context"), (pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        for batch in _pieces(batches):
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                raw = unpack(row["packed"])
+                for a in row["found"]:
+                    context = raw[a["first"] : a["first"] + a["span"] + LENGTH]
+                    keys = core_keys(a["gram"], a["off"], a["span"], context) if spread else [(0, a["gram"])]
+                    out += [(k - (1 << 64) if k >> 63 > 0 else k, a["off"], place, row["row_a"], row["row_b"], a["first"], context) for place, k in keys]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=list(names))
+
+    return run
+
+
+@trimmed
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each context whose anchor lies in its range: their digests and where they begin."""
     for batch in _pieces(batches):
-        out: dict[str, list] = {"gram": [], "off": [], "row_a": [], "row_b": [], "first": [], "context": []}
-        for row in batch.to_pylist():
-            raw = unpack(row["packed"])
-            for a in row["found"]:
-                out["gram"].append(a["gram"])
-                out["off"].append(a["off"])
-                out["row_a"].append(row["row_a"])
-                out["row_b"].append(row["row_b"])
-                out["first"].append(a["first"])
-                out["context"].append(raw[a["first"] : a["first"] + a["span"] + LENGTH])
-        types = [pa.int64(), pa.int16(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+        keys, begins, of = [], [], []
+        for i, (off, place, first, context) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("off", "place", "first", "context")), strict=True)):
+            some = range(max(0, off - place - RANGE + 1), min(off - place, len(context) - LENGTH) + 1)
+            keys += [hashlib.sha256(context[j : j + LENGTH]).digest()[:16] for j in some]
+            begins += [first + j for j in some]
+            of += [i] * len(some)
+        at = pa.array(of, pa.int32())
+        halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column("row_a").take(at), batch.column("row_b").take(at), pa.array(begins, pa.int32())], names=["da", "db", "row_a", "row_b", "begin"])
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -336,14 +371,35 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = rows.repartition("gram").sortWithinPartitions("gram", "da", "db").mapInArrow(_groups, VERDICT)
     judged = materialise(judged.drop("da", "db", "copied"), "anchors")
     known = judged.filter("known").select("row_a", "row_b", F.col("first").alias("begin"), F.expr(f"cast(first + span + {LENGTH} as int)").alias("end"))
-    opened = materialise(judged.filter("open").groupBy("row_a", "row_b").agg(F.collect_list(F.struct("gram", "first", "span", "off")).alias("found")), "open")
+    opened = judged.filter("open").select("row_a", "row_b", "gram", "first", "span", "off")
+    hot = materialise(opened.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT).select("gram"), "hot")
+    contexts = _contexts_of(keyed, opened.join(hot, "gram", "left_anti"), False)
+    found = _sorted_spans(contexts)
+    parts, written = [known, found], [judged, hot]
+    if hot.head(1):
+        ranged = materialise(_contexts_of(keyed, opened.join(hot, "gram", "left_semi"), True), "ranged")
+        large = materialise(ranged.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT).select("gram"), "large")
+        parts.append(_sorted_spans(ranged.join(large, "gram", "left_anti")))
+        # What is left agrees on nearly a whole window: its windows are counted, combined before the shuffle.
+        windows = materialise(ranged.join(large, "gram", "left_semi").mapInArrow(_windows, "da long, db long, row_a long, row_b long, begin int"), "windows")
+        twice = windows.groupBy("da", "db").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("da", "db")
+        parts.append(windows.join(twice, ["da", "db"]).select("row_a", "row_b", "begin", (F.col("begin") + LENGTH).alias("end")))
+        written += [ranged, large, windows]
+    spans = materialise(reduce(DataFrame.unionByName, parts), "spans")
+    release(*written)
+    return spans
+
+
+def _contexts_of(keyed: DataFrame, anchors_: DataFrame, spread: bool) -> DataFrame:
+    """Contexts of anchors, cut out of their texts; ``gram`` is the group they are sorted in."""
+    opened = materialise(anchors_.groupBy("row_a", "row_b").agg(F.collect_list(F.struct("gram", "first", "span", "off")).alias("found")), "open")
     _, maybe = split_by_keys(keyed, F.xxhash64("row_a", "row_b"), opened.select(F.xxhash64("row_a", "row_b").alias("key")))
     packed = maybe.mapInArrow(_packed, "row_a long, row_b long, packed binary").dropDuplicates(["row_a", "row_b"])
-    contexts = packed.join(opened, ["row_a", "row_b"]).mapInArrow(_contexts, "gram long, off short, row_a long, row_b long, first int, context binary")
-    found = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_suffix_sort, "row_a long, row_b long, begin int, end int")
-    spans = materialise(known.unionByName(found), "spans")
-    release(judged, opened)
-    return spans
+    return packed.join(opened, ["row_a", "row_b"]).mapInArrow(_contexts(spread), "gram long, off short, place short, row_a long, row_b long, first int, context binary")
+
+
+def _sorted_spans(contexts: DataFrame) -> DataFrame:
+    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_suffix_sort, "row_a long, row_b long, begin int, end int")
 
 
 def _kept(raw: bytes, found: list | None) -> tuple[bytes, int, int]:

@@ -526,6 +526,38 @@ def test_long_texts_go_piece_by_piece(monkeypatch):
     assert owners() == whole
 
 
+def border_texts(rng, count):
+    """A passage that every text holds with unlike text around it, cut here and there: many contexts of one anchor."""
+    passage, texts = _noise(rng, 420), []
+    for i in range(count):
+        cut, end = (0, 420) if i % 4 else sorted(int(x) for x in rng.integers(0, 420, 2))
+        texts.append(_noise(rng, int(rng.integers(0, 150))) + passage[cut:end] + _noise(rng, int(rng.integers(0, 150))))
+    return texts
+
+
+def test_common_borders_are_dealt_out(spark, monkeypatch):
+    texts = border_texts(np.random.default_rng(32), 120) + dedup_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = dict(enumerate(brute_repeats(texts)))
+    for hot in (3, 20, 10**6):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicate(df).collect()}
+        assert got == want
+
+
+def test_equal_windows_share_a_range():
+    """Contexts that hold an equal window at one place share the key of that place's range."""
+    rng = np.random.default_rng(33)
+    for _ in range(200):
+        window, place = bytes(rng.integers(97, 99, 200, np.uint8)), int(rng.integers(0, 137))
+        shared = []
+        for _ in range(2):
+            left, right = int(rng.integers(0, 137 - place)), int(rng.integers(0, place + 1))
+            context = bytes(rng.integers(0, 255, left, np.uint8)) + window + bytes(rng.integers(0, 255, right, np.uint8))
+            shared.append(set(suffix_dedup.core_keys(5, left + place, left + right, context)))
+        assert shared[0] & shared[1]
+
+
 def test_sampled_sort_needs_equal_places():
     rng = np.random.default_rng(2)
     body = bytes(rng.integers(0, 4, 420, np.uint8) + 97)
