@@ -11,7 +11,6 @@ from papyrine.functions import patterns as P
 from papyrine.functions import predicates as R
 from papyrine.functions import text as X
 from papyrine.operators import chunks, entities, extract, models, profile, selection
-from papyrine.plans import sqlgen as S
 from papyrine.plans.legal import CTE, legal_documents
 from papyrine.plans.registry import _CHECKED, _docs, _predictions, _query, _table, _VALID
 from papyrine.session import scratch
