@@ -5,8 +5,6 @@ import ctypes
 import functools
 import gc
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,30 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LOCAL: dict[str, str] = {}
+from papyrine.session import scratch
+
 #: Rows and bytes that travel to a worker in one Arrow batch (one row at least): both sides hold a batch outside the heap.
 ROWS, BYTES = 1000, 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark is local (tests)."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_to:
-        return set_to.rstrip("/")
-    if "dir" not in _LOCAL:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="papyrine_")
-    return _LOCAL["dir"]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
-    path = fresh_path(df.sparkSession, name)
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.written_to = path

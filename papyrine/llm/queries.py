@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import fold, fresh_path, materialise, table, texts
+from papyrine.llm.common import fold, materialise, table, texts
+from papyrine.session import scratch
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -51,7 +52,7 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from papyrine.llm import warc
 
-    path = fresh_path(spark, "warc")
+    path = scratch(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     found = warc.read_archive(spark, path)
     # What the rebuilt bytes say: the payload's size and digest are taken from it, not from the header.
