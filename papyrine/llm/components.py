@@ -1,4 +1,7 @@
-"""Connected components of a distributed edge list by alternating large-star and small-star steps."""
+"""Connected components of a distributed edge list by alternating large-star and small-star steps.
+
+Defined results: links with a null end, self links and repeated links are ignored; an empty list gives none.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame

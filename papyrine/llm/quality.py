@@ -6,7 +6,9 @@ towards the pooled diagonal, and are factorised once (Cholesky). The score is th
 difference of the Mahalanobis log-densities.
 
 Defined results: null and empty texts have the statistics of an empty text and are scored like any
-other; rows whose label is null teach nothing; without both labels every score is 0.5.
+other; texts of any length are described whole; rows of equal text get equal scores; rows whose label is
+null teach nothing, rows that share an id share its label, repeated rows and labels count as often as they
+occur; without both labels every score is 0.5; an empty table gives none; extra columns pass.
 """
 from __future__ import annotations
 

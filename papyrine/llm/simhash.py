@@ -11,7 +11,9 @@ Links found inside a shard that join two members already joined there are left o
 the same and the number of links stays below the number of rows, whatever a group's size.
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero and is linked like
-any other; equal texts share a fingerprint; repeated rows stay repeated; an empty table gives none.
+any other; equal texts share a fingerprint, texts of any length are read whole; repeated rows stay
+repeated; a component of null ids alone has a null id, null ids count for nothing in others; an empty table
+gives none; extra columns do not matter.
 """
 from __future__ import annotations
 

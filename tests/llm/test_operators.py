@@ -650,6 +650,14 @@ def test_components_of_a_chain(spark):
     got = {r["node"]: r["root"] for r in components.connected_components(df).collect()}
     assert got == {**dict.fromkeys(range(n + 1), 0), 1000: 1000, 1001: 1000}
     assert components.connected_components(df.limit(0)).count() == 0
+    lost = spark.createDataFrame([(None, 1), (2, None), (3, 4), (3, 4)], "u long, v long")
+    assert {tuple(r) for r in components.connected_components(lost).collect()} == {(3, 3), (4, 3)}
+
+
+def test_component_of_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (None, "x y z w v"), (4, "x y z w v")], "doc_id long, text string")
+    got = sorted(map(str, ((r["doc_id"], r["component_id"]) for r in simhash.components(df).collect())))
+    assert got == sorted(map(str, [(None, None), (None, None), (None, 4), (4, 4)]))
 
 
 def near_groups(texts, ids, words=5, similarity=0.8):
