@@ -146,13 +146,17 @@ def markdown_text(source: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def _html_to_text(source: pd.Series) -> pd.Series:
-    return source.map(lambda s: None if s is None else visible_text(html.unescape(s)))
+def _plain_of(source: pd.Series) -> pd.Series:
+    return source.map(lambda s: None if s is None else _rendered(repair_text(s), visible_text))
 
 
 @F.pandas_udf(T.StringType())
-def _html_to_markdown(source: pd.Series) -> pd.Series:
-    return source.map(lambda s: None if s is None else markdown_text(html.unescape(s)))
+def _markdown_of(source: pd.Series) -> pd.Series:
+    return source.map(lambda s: None if s is None else _rendered(repair_text(s), markdown_text))
+
+
+def _rendered(text: str, render) -> str:
+    return render(html.unescape(text)) if "<" in text or "&" in text else text
 
 
 @F.pandas_udf(T.StringType())
@@ -161,8 +165,8 @@ def _nfkc(source: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def _fold_letters(source: pd.Series) -> pd.Series:
-    return source.map(lambda s: None if s is None else fold_letters(s))
+def _key_of(source: pd.Series) -> pd.Series:
+    return source.map(lambda s: None if s is None else fold_letters(repair_text(s).lower()))
 
 
 def fold_letters(text: str) -> str:
@@ -198,31 +202,30 @@ def repair_encoding(text: str) -> str:
     return text
 
 
-@F.pandas_udf(T.StringType())
-def _repair(source: pd.Series) -> pd.Series:
-    return source.map(lambda s: None if s is None else unicodedata.normalize("NFC", repair_encoding(s)))
+#: Full-width forms of the printable ASCII signs, by the rule that they lie in the same order, and the wide space.
+_SIGNS = str.maketrans({0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: " "} | dict(zip(P.CURLY_QUOTES, P.STRAIGHT_QUOTES, strict=True)) | P.LIGATURES)
+_LINE_END = re.compile("\r\n?|[\u0085\u2028\u2029]")
+_NO_TEXT = re.compile("\x1b\\[[0-9;]*[A-Za-z]|[\x00-\x08\x0b\x0e-\x1f\x7f\u206a-\u206f\ufeff\ufff9-\ufffc]")
+#: A sign that plain text in Latin letters does not hold; leads of wrong code pages and the ampersand are among them.
+UNUSUAL = "[^\\t\\n\\x20-%'-~\u00a1-\u00c1\u00c4\u00c6-\u00e1\u00e4-\u00ee\u00f1-\u00ff]"
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(source: pd.Series) -> pd.Series:
-    return source.map(lambda s: None if s is None else html.unescape(s))
+def repair_text(text: str) -> str:
+    """Undo wrong code pages, entities (where no mark-up is), ligatures, curly quotes, wide forms, line ends, control signs."""
+    if "&" in text and "<" not in text:
+        text = html.unescape(text)
+    text = unicodedata.normalize("NFC", repair_encoding(text)).translate(_SIGNS)
+    return _NO_TEXT.sub("", _LINE_END.sub("\n", text))
 
 
-#: Full-width forms of the printable ASCII signs, by the rule that they lie in the same order, and the wide space.
-WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "\u3000"
-NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
+@F.pandas_udf(T.StringType())
+def _repair(source: pd.Series) -> pd.Series:
+    return source.map(lambda s: None if s is None else repair_text(s))
 
 
 def fix_text(c: Column) -> Column:
-    """Repair what broken software does to text: wrong code pages, entities, ligatures, curly quotes, wide forms, control signs."""
-    text = _only_if(c.contains("&") & ~c.contains("<"), _unescape, c)
-    text = F.regexp_replace(text, "\x1b\\[[0-9;]*[A-Za-z]", "")
-    text = _only_if(text.rlike("[ÂÃÅâïãð][\u0080-\u00bf\u0152-\u0192\u02c6\u02dc\u2010-\u2122]|\\p{M}"), _repair, text)
-    for sign, letters in P.LIGATURES.items():
-        text = F.replace(text, F.lit(sign), F.lit(letters))
-    text = F.translate(text, P.CURLY_QUOTES + WIDE, P.STRAIGHT_QUOTES + NARROW)
-    text = F.regexp_replace(text, "\r\n?|[\u0085\u2028\u2029]", "\n")
-    return F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f\u206a-\u206f\ufeff\ufff9-\ufffc]", "")
+    """``repair_text`` of the texts that hold an unusual sign; the others are as they should be and cost one look."""
+    return _only_if(c.rlike(UNUSUAL), _repair, c)
 
 
 def _only_if(test: Column, udf, c: Column) -> Column:
@@ -237,16 +240,14 @@ def _lines(c: Column) -> Column:
 
 
 def clean_legal(c: Column, may_hold_html: bool = True) -> Column:
-    """Conservative clean-up: quotes, entities, mark-up, line ends and spaces; words are never touched."""
-    text = fix_text(text_of(c))
-    if may_hold_html:
-        text = _only_if(text.contains("<") | text.contains("&"), _html_to_text, text)
-    return _lines(text)
+    """Conservative clean-up: repairs, entities, mark-up, line ends and spaces; words are never touched."""
+    text = text_of(c)
+    return _lines(_only_if(text.contains("<") | text.rlike(UNUSUAL), _plain_of, text) if may_hold_html else fix_text(text))
 
 
 def html_to_markdown(c: Column) -> Column:
-    text = fix_text(text_of(c))
-    text = _only_if(text.contains("<") | text.contains("&"), _html_to_markdown, text)
+    text = text_of(c)
+    text = _only_if(text.contains("<") | text.rlike(UNUSUAL), _markdown_of, text)
     return strip(F.regexp_replace(F.regexp_replace(text, " {2,}", " "), "\n{3,}", "\n\n"))
 
 
@@ -255,9 +256,10 @@ ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaa
 
 def search_key(c: Column) -> Column:
     """Lower case, no accents, single spaces: a column to search in."""
-    low = F.translate(F.lower(fix_text(text_of(c))), ACCENTED, PLAIN)
-    low = _only_if(low.rlike(r"[^\x00-\x7f]"), _fold_letters, low)
-    return squeeze(low)
+    text = text_of(c)
+    low = F.translate(F.lower(text), ACCENTED, PLAIN)
+    other = text.rlike(UNUSUAL) | low.rlike(r"[^\x00-\x7f]")
+    return squeeze(F.when(other, _key_of(F.when(other, text))).otherwise(low))
 
 
 def markdown_document(doc_id: Column, name: Column, kind: Column, text: Column) -> Column:
@@ -336,10 +338,11 @@ def clean_line(line: Column, important: Column) -> Column:
 def clean_ocr(c: Column) -> Column:
     """Whole OCR clean-up: normalise, fix terms, clean each line, drop noise lines, squeeze blank runs."""
     lines = F.split(fix_terms(normalise_ocr(c)), "\n")
-    # Whether a line matters is worked out once before and once after cleaning, and carried along.
+    # Whether a line matters is worked out before cleaning, and after it only for lines that it changed.
     lines = F.transform(lines, lambda x: F.struct(x.alias("t"), is_important(x).alias("i")))
-    lines = F.transform(lines, lambda x: clean_line(x["t"], x["i"]))
-    lines = F.filter(lines, lambda x: is_important(x) | ~is_garbage(x))
+    lines = F.transform(lines, lambda x: F.struct(clean_line(x["t"], x["i"]).alias("t"), x["t"].alias("old"), x["i"].alias("i")))
+    kept = lambda x: F.when(x["t"] == x["old"], x["i"]).otherwise(is_important(x["t"])) | ~is_garbage(x["t"])
+    lines = F.transform(F.filter(lines, kept), lambda x: x["t"])
     text = F.regexp_replace(F.array_join(lines, "\n"), r"\n(?:[ ]*\n){2,}", "\n\n")
     return strip(F.regexp_replace(text, "[ ]{2,}", " "))
 

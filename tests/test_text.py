@@ -93,3 +93,17 @@ def test_metrics_against_python(spark):
         assert r["ratio_rare_symbols"] == pytest.approx(sum(not c.isalnum() and not c.isspace() and c not in allowed for c in t) / len(t))
         assert r["repeated_char_tokens"] == sum(bool(re.search(r"(.)\1{4,}", k)) for k in t.split())
     assert unicodedata.category("\x07") == "Cc"
+
+
+def test_text_repair():
+    """Texts damaged in known ways come back, and sound ones stay."""
+    sound = ["EMBARGÓ la suma", "ÑANDÚ “x”", "1° ¿qué? á é í ó ú ü ñ", "naïve façade", "日本 ok", "a\tb\nc"]
+    for s in sound:
+        for code in ("cp1252", "latin-1"):
+            damaged = "".join(bytes([b]).decode(code, "replace") if code == "latin-1" or b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in s.encode())
+            if "日" not in s:
+                assert X.repair_encoding(damaged) == s
+        assert X.repair_encoding(s) == s
+    assert X.repair_text("a&amp;b \ufb01n \x1b[31mrojo\x1b[0m\x07 \uff21\uff22\u3000z\r\n\u2028fin\ufeff") == "a&b fin rojo AB z\n\nfin"
+    assert X.repair_text("<p>a &amp; b</p>") == "<p>a &amp; b</p>" and X.repair_text("cafe\u0301") == "café"
+    assert X.fold_letters("щука ½ straße — «x» αθηνα") == "shchuka 1/2 strasse -- <<x>> athena"
