@@ -42,8 +42,11 @@ def _class(signs: str) -> str:
     return "".join("\\" + s if not s.isalnum() and s not in "\n\r\t " else s for s in signs)
 
 
-def ocr_metrics(c: Column) -> dict[str, Column]:
-    """The fifteen metrics of a text; an empty text has ratios 1 where 0 would flatter it."""
+def ocr_metrics(c: Column, important: Column | None = None) -> dict[str, Column]:
+    """The fifteen metrics of a text; an empty text has ratios 1 where 0 would flatter it.
+
+    ``important``: the sum of ``important_counts``, where it is at hand already.
+    """
     text = text_of(c)
     size = F.length(text)
     per = lambda n: F.when(size > 0, n / size)
@@ -55,7 +58,8 @@ def ocr_metrics(c: Column) -> dict[str, Column]:
     hidden = count(text, r"[\p{C}&&[^\n\r\t]]|[\p{Z}&&[^ ]]")
     plain = r"^(?:\d+[/-]\d+|[A-Z]{1,4}\d+|\d+[A-Z]{1,4})$"
     weird = F.size(F.filter(tokens, lambda t: t.rlike(f"[{P.LATIN}]") & t.rlike(r"(?U)\d") & ~t.rlike(ICASE + plain)))
-    important = sum(important_counts(c).values(), F.lit(0))
+    if important is None:
+        important = sum(important_counts(c).values(), F.lit(0))
     return {
         "len_chars": size,
         "len_words": words,
@@ -120,8 +124,8 @@ def selection_score() -> Column:
     )
 
 
-def measure(df: DataFrame, text_col: str) -> DataFrame:
+def measure(df: DataFrame, text_col: str, important: Column | None = None) -> DataFrame:
     """Append the metrics, the score and the quality state of a text column."""
-    df = df.withColumns(ocr_metrics(F.col(text_col)))
+    df = df.withColumns(ocr_metrics(F.col(text_col), important))
     df = df.withColumn("ocr_quality_score", ocr_score())
     return df.withColumn("ocr_estado", ocr_quality_state(F.col("ocr_quality_score"), F.col("len_words")))

@@ -35,8 +35,11 @@ def clean_and_check(df: DataFrame, text_col: str) -> DataFrame:
             "porcentaje_reduccion_palabras": M.reduction(F.col("palabras_antes"), F.col("palabras_despues")),
         }
     )
-    df = M.measure(df, "texto_limpieza_avanzada")
-    df = bind(df, {c: F.col(c) for c in ("ocr_quality_score", "ocr_estado", "palabras_antes", "palabras_despues")} | M.has_important(before, "antes_") | M.has_important(after, "despues_"))
+    # What the metrics count tells what is there, so each pattern runs over the cleaned text once.
+    df = bind(df, {f"_n_{k}": c for k, c in M.important_counts(after).items()} | M.has_important(before, "antes_"))
+    df = M.measure(df, "texto_limpieza_avanzada", sum((F.col(f"_n_{k}") for k in P.IMPORTANT), F.lit(0)))
+    df = df.withColumns({f"despues_{k}": F.col(f"_n_{k}") > 0 for k in P.IMPORTANT}).drop(*[f"_n_{k}" for k in P.IMPORTANT])
+    df = bind(df, {c: F.col(c) for c in ("ocr_quality_score", "ocr_estado", "palabras_antes", "palabras_despues")})
     df = df.withColumns({f"alerta_desaparece_{k}": F.col(f"antes_{k}") & ~F.col(f"despues_{k}") for k in P.IMPORTANT})
     return df.withColumns(
         {
@@ -81,7 +84,8 @@ def top_for_model(checked: DataFrame, id_col: str = "id", most: int = 15) -> Dat
 
     One pass: the best legible and the best regular ones are picked side by side, and the few that are left decide.
     """
-    df = checked.withColumns(M.has_important(F.col("texto_limpieza_avanzada"), "tiene_"))
+    known = all(f"despues_{k}" in checked.columns for k in P.IMPORTANT)
+    df = checked.withColumns({f"tiene_{k}": F.col(f"despues_{k}") for k in P.IMPORTANT} if known else M.has_important(F.col("texto_limpieza_avanzada"), "tiene_"))
     df = df.withColumn("cantidad_indicadores_importantes", sum((F.col(f"tiene_{k}").cast("int") for k in P.IMPORTANT), F.lit(0)))
     df = bind(df, {"cantidad_indicadores_importantes": F.col("cantidad_indicadores_importantes"), "score_seleccion_gliner": M.selection_score()})
     fine = (F.col("palabras_despues") >= 120) & (F.col("porcentaje_reduccion") <= 0.35) & ~F.col("alerta_posible_perdida_datos")
