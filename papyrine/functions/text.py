@@ -207,7 +207,9 @@ _SIGNS = str.maketrans({0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: " "}
 _LINE_END = re.compile("\r\n?|[\u0085\u2028\u2029]")
 _NO_TEXT = re.compile("\x1b\\[[0-9;]*[A-Za-z]|[\x00-\x08\x0b\x0e-\x1f\x7f\u206a-\u206f\ufeff\ufff9-\ufffc]")
 #: A sign that plain text in Latin letters does not hold; leads of wrong code pages and the ampersand are among them.
-UNUSUAL = "[^\\t\\n\\x20-%'-~\u00a1-\u00c1\u00c4\u00c6-\u00e1\u00e4-\u00ee\u00f1-\u00ff]"
+#: Signs are listed one by one, not by ranges: so the matcher looks them up in a table.
+_USUAL = [9, 10, *(i for i in (*range(0x20, 0x7F), *range(0xA1, 0x100)) if chr(i) not in "&ÂÃÅâãïð")]
+UNUSUAL = "[^" + "".join(f"\\x{i:02x}" for i in _USUAL) + "]"
 
 
 def repair_text(text: str) -> str:
