@@ -216,8 +216,12 @@ def repair_text(text: str) -> str:
     """Undo wrong code pages, entities (where no mark-up is), ligatures, curly quotes, wide forms, line ends, control signs."""
     if "&" in text and "<" not in text:
         text = html.unescape(text)
-    text = unicodedata.normalize("NFC", repair_encoding(text)).translate(_SIGNS)
-    return _NO_TEXT.sub("", _LINE_END.sub("\n", text))
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", repair_encoding(text)).translate(_SIGNS)
+        text = _LINE_END.sub("\n", text)
+    elif "\r" in text:
+        text = _LINE_END.sub("\n", text)
+    return _NO_TEXT.sub("", text)
 
 
 @F.pandas_udf(T.StringType())
