@@ -203,7 +203,8 @@ def repair_encoding(text: str) -> str:
 
 
 #: Full-width forms of the printable ASCII signs, by the rule that they lie in the same order, and the wide space.
-_SIGNS = str.maketrans({0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: " "} | dict(zip(P.CURLY_QUOTES, P.STRAIGHT_QUOTES, strict=True)) | P.LIGATURES)
+_SIGNS = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {"\u3000": " "} | dict(zip(P.CURLY_QUOTES, P.STRAIGHT_QUOTES, strict=True)) | P.LIGATURES
+_SIGN = re.compile("[" + "".join(map(re.escape, _SIGNS)) + "]")
 _LINE_END = re.compile("\r\n?|[\u0085\u2028\u2029]")
 _NO_TEXT = re.compile("\x1b\\[[0-9;]*[A-Za-z]|[\x00-\x08\x0b\x0e-\x1f\x7f\u206a-\u206f\ufeff\ufff9-\ufffc]")
 #: A sign that plain text in Latin letters does not hold; leads of wrong code pages and the ampersand are among them.
@@ -217,7 +218,7 @@ def repair_text(text: str) -> str:
     if "&" in text and "<" not in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFC", repair_encoding(text)).translate(_SIGNS)
+        text = _SIGN.sub(lambda m: _SIGNS[m[0]], unicodedata.normalize("NFC", repair_encoding(text)))
         text = _LINE_END.sub("\n", text)
     elif "\r" in text:
         text = _LINE_END.sub("\n", text)
