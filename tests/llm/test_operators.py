@@ -346,6 +346,47 @@ def test_nearest_tells_near_copies_apart(spark, kind, noise):
     assert hit / len(got) >= 0.9
 
 
+def test_nearest_moves_little_beside_its_input(spark):
+    """What is shuffled stays within a few times the vectors; every query has its rows, in order and with exact scores."""
+    x = np.random.default_rng(20).normal(size=(4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").persist()
+    df.count()
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = moved()
+    got = ann.search(df, F.col("vec_id") % 20 == 0).toPandas()
+    assert moved() - before < 10 * x.nbytes
+    assert got.groupby("query_id").size().to_dict() == dict.fromkeys(range(0, 4000, 20), 20)
+    x, hit = x.astype(float), 0
+    for q, g in got.groupby("query_id"):
+        s = (x * x[q]).sum(1)
+        assert np.array_equal(s[g.sort_values("rank").vec_id], g.sort_values("rank").score)
+        s[q] = -np.inf
+        hit += len(set(np.lexsort((np.arange(4000), -s))[:20]) & set(g.vec_id))
+    assert hit / len(got) >= 0.9
+
+
+def test_nearest_tells_copies_ties_and_ids(spark):
+    """Copies in every list, ids that name several vectors, scores that tie: as brute force over distinct (id, vector) has them."""
+    rng = np.random.default_rng(21)
+    x = rng.integers(-1, 2, size=(700, 3)).astype(float)
+    ids = rng.integers(0, 400, size=700)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got.collect()}
+    there = {(int(i), tuple(v)) for i, v in zip(ids, x, strict=True) if v.any()}
+    want, hit = 0, 0
+    for q in {i for i, _ in there if i % 20 == 0}:
+        best: dict[int, float] = {}
+        for a in (v for i, v in there if i == q):
+            for i, v in there:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), sum(m * n for m, n in zip(a, v, strict=True)))
+        order = sorted(best.items(), key=lambda c: (-c[1], c[0]))[:20]
+        assert sum((q, n) in got for n in range(1, 21)) == len(order)
+        want, hit = want + len(order), hit + sum(got[q, n] == c for n, c in enumerate(order, 1))
+    assert len(got) == want and hit / want >= 0.9
+
+
 def test_nearest_odd_vectors(spark):
     nan = float("nan")
     vectors = [(i, [1.0, 0.0]) for i in range(40)] + [(40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [None, 1.0]), (120, [0.5, 0.5]), (140, [1.0]), (0, [1.0, 0.0]), (160, [1e6, 0.0])]
