@@ -89,6 +89,11 @@ def _low(text: str) -> str:
     return text.encode("latin-1").translate(_LOWER).decode("latin-1")
 
 
+def lower_if_plain(text: str) -> str | None:
+    b = plain_bytes(text)
+    return None if b is None else b.translate(_LOWER).decode("latin-1")
+
+
 def _words(b: bytes) -> tuple[bytes, list[bytes]]:
     """A text in lower case, and its words."""
     low = b.translate(_LOWER)
@@ -102,6 +107,26 @@ def _places(low: str, needle: str) -> Iterator[int]:
         at = low.find(needle, at + 1)
 
 
+def matches(find: re.Pattern, text: str, low: str, heads: tuple[str, ...]) -> Iterator[re.Match]:
+    """As ``finditer`` over a plain text, for a pattern whose matches begin with one of ``heads``."""
+    end = 0
+    for at in sorted(at for head in heads if head in low for at in _places(low, head)):
+        if at >= end and (m := find.match(text, at)):
+            yield m
+            end = m.end()
+
+
+def matches_before(find: re.Pattern, text: str, low: str, tails: tuple[str, ...], inner: str) -> Iterator[re.Match]:
+    """As ``finditer`` over a plain text, for a pattern whose matches end with one of ``tails`` and have only signs of ``inner`` before it."""
+    end = 0
+    for at in sorted(at for tail in tails if tail in low for at in _places(low, tail)):
+        for begin in range(end + len(text[end:at].rstrip(inner)), at):
+            if m := find.match(text, begin):
+                yield m
+                end = m.end()
+                break
+
+
 def _numbers(text: str) -> dict[str, list[int]]:
     """Where numbers begin that an important pattern can begin with: by their length and the sign behind them."""
     dni, tax, money, date = [], [], [], []

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import Protocol
 
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrine.functions import patterns as P
+from papyrine.functions import plain
 
 #: Spans come first so that the natural order of an array of entities is the order in the text.
 ENTITY = T.StructType(
@@ -39,6 +41,23 @@ SIMPLE = T.StructType([T.StructField("etiqueta", T.StringType()), T.StructField(
 _rich = {k: re.compile(p, re.IGNORECASE) for k, p in P.RICH.items()}
 _near_id = [re.compile(p, re.IGNORECASE) for p in P.PERSON_NEAR_ID]
 _simple = {k: (re.compile(p, re.IGNORECASE), re.compile(v)) for k, (p, v) in P.SIMPLE_IDS.items()}
+#: What the matches of a pattern begin with, in lower case.
+_HEADS = {
+    "ACCOUNT": ("cbu", "cvu"),
+    "TAX_ID": ("cuit", "cuil", "c.u.i.t.", "c.u.i.l."),
+    "DNI": ("dni", "d.n.i.", "d.n.l.", "dn!", "documento", "doc."),
+    "ALIAS": ("alias",),
+    "AMOUNT": ("$", "ars", "peso"),
+    "CUIL": ("cuil", "c.u.i.l."),
+    "CUIT": ("cuit", "c.u.i.t."),
+    "CBU": ("cbu",),
+    "CVU": ("cvu",),
+}
+_SIMPLE_HEADS = _HEADS | {"DNI": ("dni", "d.n.i.", "documento", "doc")}
+_PERSON_HEADS = ("sr", "señor")
+#: What a name before an identity document ends with, and the signs that may be in it and after it.
+_ID_MARKS = ("dni", "d.n.i.", "d.n.l.", "dn!")
+_NAME_SIGNS = "".join(chr(i) for i in range(0xFF) if chr(i).isalpha()) + "\t\n\x0b\x0c\r "
 
 
 class EntityModel(Protocol):
@@ -94,22 +113,42 @@ class _Found(list):
         self.append(row | more)
 
 
+def _finder(patterns: dict[str, re.Pattern], heads: dict[str, tuple[str, ...]], text: str) -> Callable[[str], Iterator[re.Match]]:
+    """Matches of a pattern by name, those of a plain text only where they can begin."""
+    low = plain.lower_if_plain(text)
+    return (lambda k: patterns[k].finditer(text)) if low is None else lambda k: plain.matches(patterns[k], text, low, heads[k])
+
+
+def _names_near_id(text: str) -> Iterator[re.Match]:
+    low = plain.lower_if_plain(text)
+    if low is None:
+        for pattern in _near_id:
+            yield from pattern.finditer(text)
+        return
+    titled, holder, direct = _near_id
+    yield from plain.matches(titled, text, low, _PERSON_HEADS)
+    if "titular" in low:
+        yield from plain.matches_before(holder, text, low, _ID_MARKS, _NAME_SIGNS + ",")
+    yield from plain.matches_before(direct, text, low, _ID_MARKS, _NAME_SIGNS + "([")
+
+
 def rich_entities(text: str, found: _Found | None = None) -> _Found:
     """Accounts, tax ids, DNI, aliases and amounts, in this order."""
-    found = _Found(text) if found is None else found
+    found, find = _Found(text) if found is None else found, _finder(_rich, _HEADS, text)
     for kind, length, sure in (("ACCOUNT", (22, 22), 0.97), ("TAX_ID", (11, 11), 0.96), ("DNI", (7, 8), 0.94)):
-        for m in _rich[kind].finditer(text):
+        for m in find(kind):
             norm, label = digits(m["value"]), m["label"].upper().replace(".", "")
             if length[0] <= len(norm) <= length[1]:
                 name = {"ACCOUNT": label, "TAX_ID": "CUIT_CUIL"}.get(kind, kind)
                 found.put(name, *m.span("value"), m["value"], norm, confianza=sure, subtipo=label if kind == "TAX_ID" else None)
-    for m in _rich["ALIAS"].finditer(text):
+    for m in find("ALIAS"):
         found.put("ALIAS", *m.span("value"), m["value"], m["value"].upper(), confianza=P.CONFIDENCE["ALIAS"])
-    for m in _rich["AMOUNT"].finditer(text):
+    for m in find("AMOUNT"):
         raw = f"{m['prefix']} {m['value']}"
         value = money(raw)
         if value is not None and value >= P.LEAST_AMOUNT:
-            words = _rich["AMOUNT_IN_WORDS"].search(squeeze(text[max(0, m.start() - 180) : m.start()]))
+            before = squeeze(text[max(0, m.start() - 180) : m.start()])
+            words = _rich["AMOUNT_IN_WORDS"].search(before) if not before.isascii() or "peso" in before.lower() else None
             found.put("MONTO", *m.span(), raw, None, monto_normalizado=value, metodo="regex_contextual", texto_monto=squeeze(words[1]) if words else None)
     return found
 
@@ -117,13 +156,12 @@ def rich_entities(text: str, found: _Found | None = None) -> _Found:
 def persons_near_id(text: str, found: _Found | None = None) -> _Found:
     """Names directly before an identity document mark."""
     found = _Found(text) if found is None else found
-    for pattern in _near_id:
-        for m in pattern.finditer(text):
-            name = squeeze(m["name"])
-            around = window(text, *m.span("name"), 180).lower()
-            if any(t in name.lower() for t in P.PERSON_BAD_TOKENS) or any(t in around for t in P.PERSON_BAD_CONTEXT):
-                continue
-            found.put("persona", *m.span("name"), name, name.upper(), confianza=P.CONFIDENCE["PERSON"], metodo="regex_persona_cerca_dni", origen="persona_cerca_dni")
+    for m in _names_near_id(text):
+        name = squeeze(m["name"])
+        around = window(text, *m.span("name"), 180).lower()
+        if any(t in name.lower() for t in P.PERSON_BAD_TOKENS) or any(t in around for t in P.PERSON_BAD_CONTEXT):
+            continue
+        found.put("persona", *m.span("name"), name, name.upper(), confianza=P.CONFIDENCE["PERSON"], metodo="regex_persona_cerca_dni", origen="persona_cerca_dni")
     return found
 
 
@@ -150,9 +188,9 @@ def valid_candidate(value: str) -> bool:
 
 
 def simple_entities(text: str) -> list[dict]:
-    out = []
-    for label, (pattern, shape) in _simple.items():
-        for m in pattern.finditer(text):
+    out, find = [], _finder({k: p for k, (p, _) in _simple.items()}, _SIMPLE_HEADS, text)
+    for label, (_, shape) in _simple.items():
+        for m in find(label):
             raw = m[1].strip()
             norm = re.sub(r"\D", "", raw)
             if shape.fullmatch(norm):
@@ -160,9 +198,19 @@ def simple_entities(text: str) -> list[dict]:
     return out
 
 
-def _append(df: DataFrame, text_col: str, name: str, item: T.StructType, find: Callable[[], Callable[[str], list[dict]]]) -> DataFrame:
-    kept = [f for f in df.schema.fields if f.name != name]
-    schema = T.StructType([*kept, T.StructField(name, T.ArrayType(item))])
+def _lists(rows: list[list[dict]], kind: pa.ListType) -> pa.ListArray:
+    """Lists of structs, built field by field: several times as fast as from the dictionaries."""
+    flat = [e for row in rows for e in row]
+    fields = list(kind.value_type)
+    items = pa.StructArray.from_arrays([pa.array([e[f.name] for e in flat], f.type) for f in fields], fields=fields)
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), items, type=kind)
+
+
+def _append(df: DataFrame, text_col: str, name: str, item: T.StructType, find: Callable[[], Callable[[str], list[dict]]], choose: Callable[[str, list[dict]], tuple] | None = None, chosen: T.StructType | None = None) -> DataFrame:
+    """Append the items that are found in a text, and what is chosen among them, if that is asked for."""
+    more = chosen.fields if chosen else []
+    kept = [f for f in df.schema.fields if f.name != name and f.name not in (m.name for m in more)]
+    schema = T.StructType([*kept, T.StructField(name, T.ArrayType(item)), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -171,13 +219,37 @@ def _append(df: DataFrame, text_col: str, name: str, item: T.StructType, find: C
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([apply(t or "") for t in texts], kind)], names=[*(f.name for f in kept), name])
+            found = [apply(t or "") for t in texts]
+            if choose and found:
+                picks = zip(*(choose(t or "", items) for t, items in zip(texts, found, strict=True)), strict=True)
+            else:
+                picks = [()] * len(more)
+            chosen_arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(picks, more, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, _lists(found, kind), *chosen_arrays], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def with_entities(df: DataFrame, text_col: str, out_col: str = "entidades", model: Callable[[], EntityModel] | None = None, least: float = 0.20, near_id: bool = True) -> DataFrame:
-    """Append the array of rich entities: by pattern, then by model (a factory, if given), then persons near ids."""
+def ordered(entities: list[dict]) -> list[dict]:
+    """As ``drop_partial_persons`` of ``order_and_dedupe``, on the entities of one text."""
+    seen, others, persons = set(), [], []
+    for e in sorted(entities, key=lambda e: (e["span_inicio"], e["span_fin"], e["orden"])):
+        norm, amount = e["valor_normalizado"], e["monto_normalizado"]
+        key = (e["tipo"], amount if norm is None and amount is not None else (e["valor"] if norm is None else norm).strip(" ").lower(), e["span_inicio"], e["span_fin"])
+        if key not in seen:
+            seen.add(key)
+            (persons if e["tipo"] == "persona" else others).append(e)
+    if persons:
+        values = [(e["valor_normalizado"] if e["valor_normalizado"] is not None else e["valor"] or "").strip(" ").upper() for e in persons]
+        others += [e for e, v in zip(persons, values, strict=True) if v and not any(v != w and v in w for w in values)]
+    return others
+
+
+def with_entities(df: DataFrame, text_col: str, out_col: str = "entidades", model: Callable[[], EntityModel] | None = None, least: float = 0.20, near_id: bool = True, in_order: bool = False, **choice) -> DataFrame:
+    """Append the array of rich entities: by pattern, then by model (a factory, if given), then persons near ids.
+
+    ``in_order``: in the order of their spans, without repeats and partial persons.
+    """
 
     def find():
         loaded = model() if model else None
@@ -186,11 +258,12 @@ def with_entities(df: DataFrame, text_col: str, out_col: str = "entidades", mode
             found = rich_entities(text)
             if loaded is not None:
                 model_persons(text, loaded, least, found)
-            return persons_near_id(text, found) if near_id else found
+            found = persons_near_id(text, found) if near_id else found
+            return ordered(found) if in_order else found
 
         return apply
 
-    return _append(df, text_col, out_col, ENTITY, find)
+    return _append(df, text_col, out_col, ENTITY, find, **choice)
 
 
 def with_simple_ids(df: DataFrame, text_col: str, out_col: str = "entidades") -> DataFrame:

@@ -88,8 +88,8 @@ _GIVEN = "(case c_custkey % 3 when 0 then 'Ana' when 1 then 'Luis' else 'Eva' en
 def model_persons_built(spark, sf_dir):
     """Persons by the built-in model: offices are no persons, and a name that a longer one holds goes."""
     docs = _people(spark, sf_dir).select(F.col("c_custkey").alias("id"), _persons_text().alias("texto"))
-    found = extract.with_entities(docs, "texto", model=extract.CapitalRuns, near_id=False)
-    rows = found.select("id", F.explode(extract.drop_partial_persons(extract.order_and_dedupe(F.col("entidades")))).alias("e"))
+    found = extract.with_entities(docs, "texto", model=extract.CapitalRuns, near_id=False, in_order=True)
+    rows = found.select("id", F.explode("entidades").alias("e"))
     return rows.filter("e.tipo = 'persona'").select("id", "e.valor", "e.metodo", "e.span_inicio", "e.span_fin", "e.confianza")
 
 

@@ -474,12 +474,12 @@ _RICH = (
 
 
 def _rich(spark, sf_dir):
-    return extract.with_entities(legal_documents(spark, sf_dir), "texto")
+    return extract.with_entities(legal_documents(spark, sf_dir), "texto", in_order=True)
 
 
 @_query(f"with {_RICH} select id, tipo, trim(valor) as valor, valor_normalizado, monto_normalizado, span_inicio, span_fin, confianza from rich_entities")
 def rich_entities(spark, sf_dir):
-    rows = _rich(spark, sf_dir).select("id", F.explode(extract.drop_partial_persons(extract.order_and_dedupe(F.col("entidades")))).alias("e"))
+    rows = _rich(spark, sf_dir).select("id", F.explode("entidades").alias("e"))
     return rows.select("id", *[f"e.{c}" for c in ("tipo", "valor", "valor_normalizado", "monto_normalizado", "span_inicio", "span_fin", "confianza")])
 
 
@@ -502,7 +502,7 @@ _AMOUNTS = f"{_RICH}, amounts as (select *, {_AMOUNT_SCORE} as score_contextual
 @_query(f"with {_AMOUNTS} select legal.id, valor as valor_raw, monto_normalizado, cast(score_contextual as double) as score_contextual, cast(sure as double) as confianza from legal left join best_amount on legal.id = best_amount.id")
 def amount_rank(spark, sf_dir):
     best = F.col("best_monto")
-    rows = resolve.resolve(_rich(spark, sf_dir))
+    rows = resolve.resolved(legal_documents(spark, sf_dir))
     return rows.select("id", best["valor"].alias("valor_raw"), best["monto_normalizado"].alias("monto_normalizado"), best["score_contextual"].alias("score_contextual"), best["confianza"].alias("confianza"))
 
 
@@ -537,7 +537,7 @@ _PERSON_SCORE = " + ".join(
 @_query(f"with {_RICH} select legal.id, p.valor as nombre, cast(p.s as double) as score_rol_embargado from legal left join (select id, valor, {_PERSON_SCORE} as s from rich_entities where tipo = 'persona') p on legal.id = p.id")
 def person_rank(spark, sf_dir):
     best = F.col("best_persona")
-    return resolve.resolve(_rich(spark, sf_dir)).select("id", best["valor"].alias("nombre"), best["score_rol_embargado"].alias("score_rol_embargado"))
+    return resolve.resolved(legal_documents(spark, sf_dir)).select("id", best["valor"].alias("nombre"), best["score_rol_embargado"].alias("score_rol_embargado"))
 
 
 _NEAREST = "(select p.id, e.tipo, e.valor_normalizado, greatest(e.span_inicio - p.span_fin, p.span_inicio - e.span_fin, 0) as gap from rich_entities p join rich_entities e on p.id = e.id where p.tipo = 'persona' and e.tipo in ('DNI', 'CUIT_CUIL'))"
@@ -545,7 +545,7 @@ _NEAREST = "(select p.id, e.tipo, e.valor_normalizado, greatest(e.span_inicio -
 
 @_query(f"with {_RICH} select legal.id, d.valor_normalizado as dni, c.valor_normalizado as cuil_cuit from legal left join {_NEAREST} d on legal.id = d.id and d.tipo = 'DNI' and d.gap <= 500 left join {_NEAREST} c on legal.id = c.id and c.tipo = 'CUIT_CUIL' and c.gap <= 550")
 def nearest_id(spark, sf_dir):
-    rows = resolve.resolve(_rich(spark, sf_dir))
+    rows = resolve.resolved(legal_documents(spark, sf_dir))
     return rows.select("id", F.col("best_dni.valor_normalizado").alias("dni"), F.col("best_cuil.valor_normalizado").alias("cuil_cuit"))
 
 
@@ -582,8 +582,8 @@ def review_rows(spark, sf_dir):
 @_query()
 def model_persons(spark, sf_dir):
     """Persons by the built-in entity model beside those near an identity document, partial ones dropped."""
-    found = extract.with_entities(legal_documents(spark, sf_dir), "texto", model=extract.CapitalRuns)
-    rows = found.select("id", F.explode(extract.drop_partial_persons(extract.order_and_dedupe(F.col("entidades")))).alias("e"))
+    found = extract.with_entities(legal_documents(spark, sf_dir), "texto", model=extract.CapitalRuns, in_order=True)
+    rows = found.select("id", F.explode("entidades").alias("e"))
     return rows.filter("e.tipo = 'persona'").select("id", "e.valor", "e.metodo", "e.span_inicio", "e.span_fin", "e.confianza")
 
 
