@@ -209,7 +209,7 @@ def csv_round_trip(spark, sf_dir):
     """Quoted multi-line CSV, written and read back."""
     df, path = _plain(spark, sf_dir), scratch(spark, "csv")
     io.write_csv(df, path)
-    return io.read_csv(spark, path, df.schema)
+    return io.read_csv(spark, path, df.schema, null_words=False)
 
 
 @_query(_ROUND)

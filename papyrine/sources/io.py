@@ -1,6 +1,7 @@
 """Reading and writing document tables."""
 from __future__ import annotations
 
+import uuid
 from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,13 @@ RAW_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("tex
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, null_words: bool = True) -> DataFrame:
-    """Quoted multi-line CSV with a header; a byte-order mark is dropped. Give a schema to spare the inference pass."""
+    """Quoted multi-line CSV with a header; a byte-order mark is dropped. Give a schema to spare the inference pass.
+
+    Without ``null_words`` only fields that are blank without quotes are null: what ``write_csv`` writes comes back as it was.
+    """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
+    if not null_words:  # the reader takes a text that equals its word for null as null, so the word is one that no text holds
+        reader = reader.option("nullValue", f"null_{uuid.uuid4().hex}").option("emptyValue", "")
     df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     if null_words:
         df = df.withColumns({f.name: F.when(~F.col(f.name).isin(NULL_WORDS), F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.StringType)})
@@ -28,7 +34,8 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """CSV, quoted where a text needs it, that keeps white space at the ends of texts; null is blank, the empty text a pair of quotes."""
+    df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

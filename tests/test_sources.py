@@ -10,6 +10,13 @@ from papyrine.sources import io
 from papyrine.streaming import documents as stream
 
 
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = [" lead", "trail ", "", None, "NA", "null", "\n", "\t", "\r", "a\r\nb", 'q"uo"te', '"', '""', "\\", 'a\\"b', "a,b", "\ufeffx", "\x00z", "#x", "é€😀"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    io.write_csv(df, str(tmp_path / "out"))
+    assert {r.id: r.t for r in io.read_csv(spark, str(tmp_path / "out"), df.schema, null_words=False).collect()} == dict(enumerate(texts))
+
+
 def test_csv_round_trip(spark, tmp_path):
     (tmp_path / "in.csv").write_bytes('﻿id,texto_ocr,nombre,clasificacion\n1,"uno\ndos ""x""",NA,Oficio\n2,,b,Embargo\n'.encode())
     df = io.read_csv(spark, str(tmp_path / "in.csv"), io.RAW_SCHEMA)
