@@ -5,6 +5,7 @@ function from a text to its token spans, called once per task (``tokenizer_file`
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -68,24 +69,54 @@ def _check(size: int, overlap: int) -> None:
         raise ValueError("the overlap must be smaller than the chunk")
 
 
-def token_chunks(df: DataFrame, text_col: str, size: int = 300, overlap: int = 50, tokenizer: Tokenizer | None = None) -> DataFrame:
+_plain_tokens = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]").findall
+
+
+def _plain_chunks(df: DataFrame, text_col: str, size: int, overlap: int) -> DataFrame:
+    """Append _chunks, the pieces of an ASCII text (n: its tokens, t: their texts); null for another text, whose tokens columns find."""
+    item = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("t", T.ArrayType(T.StringType()))])
+
+    def cut(text: str | None) -> tuple[int | None, list[str] | None]:
+        if text is None or not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return None, None
+        found = _plain_tokens(text)
+        starts = range(0, max(len(found) - overlap, 1), size - overlap) if found else ()
+        return len(found), [" ".join(found[b : b + size]) for b in starts]
+
+    @F.arrow_udf(item)
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [cut(t) for t in texts.to_pylist()]
+        arrays = [pa.array([n for n, _ in rows], pa.int32()), pa.array([t for _, t in rows], pa.list_(pa.string()))]
+        return pa.StructArray.from_arrays(arrays, names=["n", "t"], mask=pa.array([n is None for n, _ in rows], pa.bool_()))
+
+    return df.withColumn("_chunks", run(text_of(F.col(text_col))))
+
+
+def token_chunks(df: DataFrame, text_col: str, size: int = 300, overlap: int = 50, tokenizer: Tokenizer | None = None, keep_empty: bool = False) -> DataFrame:
     """One row per chunk: chunk_id, token_start, token_end, n_tokens_chunk, texto_chunk. Texts without a token give none.
 
+    ``keep_empty``: they give a chunk without text.
+
     Word tokens are joined by spaces; a chunk of sub-word tokens is the text from its first to its last one.
     """
     _check(size, overlap)
-    df = df.withColumn("_t", tokens(F.col(text_col))) if tokenizer is None else with_token_spans(df, text_col, tokenizer, "_t")
-    df = df.filter(F.size("_t") > 0)
-    n, step = F.size("_t"), size - overlap
-    df = df.select("*", F.explode(F.sequence(F.lit(0), _count(n, size, overlap) - 1)).alias("chunk_id"))
-    df = df.withColumn("token_start", F.col("chunk_id") * step).withColumn("token_end", F.least(n, F.col("token_start") + size))
-    part = F.slice("_t", F.col("token_start") + 1, F.lit(size))
+    step, names = size - overlap, df.columns
     if tokenizer is None:
-        text = F.array_join(part, " ")
+        df = _plain_chunks(df, text_col, size, overlap)
+        pieces = lambda t: F.transform(F.sequence(F.lit(0), _count(F.size(t), size, overlap) - 1), lambda i: F.array_join(F.slice(t, i * step + 1, F.lit(size)), " "))
+        slow = F.transform(F.array(tokens(F.col(text_col))), lambda t: F.struct(F.size(t).alias("n"), F.when(F.size(t) > 0, pieces(t)).otherwise(F.array().cast("array<string>")).alias("t")))[0]
+        df = df.select(*names, F.inline(F.array(F.coalesce("_chunks", slow))).alias("_n", "_texts"))
+        explode = F.posexplode_outer if keep_empty else F.posexplode
+        df = df.select(*names, "_n", explode("_texts").alias("chunk_id", "texto_chunk")).withColumn("chunk_id", F.coalesce("chunk_id", F.lit(0)))
     else:
+        df = with_token_spans(df, text_col, tokenizer, "_t").withColumn("_n", F.size("_t"))
+        df = df if keep_empty else df.filter("_n > 0")
+        df = df.select("*", F.explode(F.sequence(F.lit(0), _count(F.col("_n"), size, overlap) - 1)).alias("chunk_id"))
+    df = df.withColumn("token_start", F.col("chunk_id") * step).withColumn("token_end", F.least("_n", F.col("token_start") + size))
+    if tokenizer is not None:
         begin, end = F.get("_t", F.col("token_start"))["b"], F.get("_t", F.col("token_end") - 1)["e"]
-        text = F.substring(F.col(text_col), begin + 1, end - begin)
-    return df.withColumns({"n_tokens_chunk": F.size(part), "texto_chunk": text}).drop("_t")
+        df = df.withColumn("texto_chunk", F.substring(F.col(text_col), begin + 1, end - begin))
+    return df.select(*names, "chunk_id", "token_start", "token_end", (F.col("token_end") - F.col("token_start")).alias("n_tokens_chunk"), "texto_chunk")
 
 
 def char_chunks(df: DataFrame, text_col: str, size: int = 2800, overlap: int = 400) -> DataFrame:

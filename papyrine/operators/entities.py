@@ -13,7 +13,7 @@ from papyrine.functions import patterns as P
 from papyrine.functions.predicates import contains_any, needs_review, not_sentinel, valid_format
 from papyrine.functions.text import ICASE, text_of
 from papyrine.operators.extract import dedupe_first
-from papyrine.operators.models import Model, predict, predict_chunks
+from papyrine.operators.models import Model, predict_all, predict_chunks_all
 
 
 def score_stats(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
@@ -107,19 +107,24 @@ STRATEGIES = ("directo", "chunks")
 def run_grid(docs: DataFrame, text_col: str, models: dict[str, Callable[[], Model]], label_sets: dict[str, list[str]], thresholds: list[float], strategies: tuple[str, ...] = STRATEGIES, id_col: str = "id", size: int = 300, overlap: int = 50) -> DataFrame:
     """Predictions of every model under every set of labels, threshold and strategy, one row each.
 
-    A setting is a narrow stage of its own, so settings run side by side; repeats that overlapping chunks find
-    twice are removed, the first staying.
+    A model and a strategy are one narrow stage, which cuts a text once for all labels and thresholds; repeats that
+    overlapping chunks find twice are removed, the first staying.
     """
     if unknown := set(strategies) - set(STRATEGIES):
         raise ValueError(f"unknown strategies: {sorted(unknown)}")
-    out = None
-    for model, labels, threshold, strategy in product(models, label_sets, thresholds, strategies):
+    out, grid = None, list(product(label_sets, thresholds))
+    settings = [(label_sets[labels], threshold) for labels, threshold in grid]
+    told = F.array(*[F.struct(F.lit(labels).alias("labels_set"), F.lit(float(threshold)).alias("threshold")) for labels, threshold in grid])
+    for model, strategy in product(models, strategies):
         if strategy == "directo":
-            found = predict(docs, text_col, models[model], label_sets[labels], threshold).withColumn("chunk_id", F.lit(0))
+            found = predict_all(docs, text_col, models[model], settings).withColumn("chunk_id", F.lit(0))
         else:
-            found = predict_chunks(docs, text_col, models[model], label_sets[labels], threshold, id_col, size, overlap)
-        found = found.select(id_col, "chunk_id", "entidad_label", "entidad_texto", "score", "start", "end", "error", "texto_contexto")
-        found = found.withColumns({"modelo": F.lit(model), "labels_set": F.lit(labels), "threshold": F.lit(float(threshold)), "estrategia": F.lit(strategy)})
+            found = predict_chunks_all(docs, text_col, models[model], settings, id_col, size, overlap)
+        setting = F.get(told, F.col("_setting"))
+        found = found.select(
+            id_col, "chunk_id", "entidad_label", "entidad_texto", "score", "start", "end", "error", "texto_contexto",
+            F.lit(model).alias("modelo"), setting["labels_set"].alias("labels_set"), setting["threshold"].alias("threshold"), F.lit(strategy).alias("estrategia"),
+        )
         out = found if out is None else out.unionByName(found)
     keys = [id_col, "modelo", "labels_set", "threshold", "estrategia", "entidad_label", "entidad_texto"]
     return dedupe_first(out, keys, ["chunk_id", "start"])

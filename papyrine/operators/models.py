@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ from papyrine.functions.text import context
 from papyrine.operators import chunks
 
 Model = Callable[[str, list[str], float], object]
+#: Labels and threshold.
+Setting = tuple[list[str], float]
 ROW = T.StructType(
     [
         T.StructField("entidad_texto", T.StringType()),
@@ -125,18 +127,21 @@ def _answers(model: Model, texts: list[str], labels: list[str], threshold: float
             yield None, str(e)[:500]
 
 
-def _run(df: DataFrame, text_col: str, load: Callable[[], Model], labels: list[str], threshold: float) -> DataFrame:
+def _run(df: DataFrame, text_col: str, load: Callable[[], Model], settings: list[Setting]) -> DataFrame:
+    """A row per prediction under each setting, whose number is _setting, in one pass over the texts.
+
+    A text without a prediction gives a row of ``NO_TEXT`` or ``NO_ENTITY``, a failure one of ``FAILED``.
+    """
     kept = [f for f in df.schema.fields if f.name not in ROW.names]
-    names = [f.name for f in kept]
+    names, out_schema = [f.name for f in kept], T.StructType([*kept, *ROW.fields, T.StructField("_setting", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        model, schema = load(), to_arrow_schema(T.StructType([*kept, *ROW.fields]))
-        for batch in batches:
+        model, schema = load(), to_arrow_schema(out_schema)
+
+        def under(batch: pa.RecordBatch, texts: list[str | None], asked: list[str], number: int, labels: list[str], threshold: float) -> pa.RecordBatch:
             picked, out = [], []
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            asked = [t for t in texts if t and t.strip()]
             answers = (a for at in range(0, len(asked), BATCH) for a in _answers(model, asked[at : at + BATCH], labels, threshold))
             for i, text in enumerate(texts):
                 found: list[tuple] = [(None, NO_TEXT, None, None, None, None)]
@@ -148,14 +153,24 @@ def _run(df: DataFrame, text_col: str, load: Callable[[], Model], labels: list[s
             rows = pa.array(picked, pa.int32())
             arrays = [batch.column(batch.schema.get_field_index(n)).take(rows) for n in names]
             arrays += [pa.array(list(c), schema.field(f.name).type) for f, c in zip(ROW.fields, zip(*out, strict=True) if out else [()] * len(ROW.fields), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([number] * len(rows), pa.int32())], schema=schema)
+
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            asked = [t for t in texts if t and t.strip()]
+            for number, (labels, threshold) in enumerate(settings):
+                yield under(batch, texts, asked, number, labels, threshold)
 
-    return df.mapInArrow(run, T.StructType([*kept, *ROW.fields]))
+    return df.mapInArrow(run, out_schema)
 
 
 def predict(df: DataFrame, text_col: str, load: Callable[[], Model], labels: list[str], threshold: float = 0.35) -> DataFrame:
     """Whole texts: one row per prediction with its context, a sentinel row for the rest."""
-    found = _run(df, text_col, load, labels, threshold)
+    return predict_all(df, text_col, load, [(labels, threshold)]).drop("_setting")
+
+
+def predict_all(df: DataFrame, text_col: str, load: Callable[[], Model], settings: list[Setting]) -> DataFrame:
+    found = _run(df, text_col, load, settings)
     return found.withColumn("texto_contexto", context(F.col(text_col), F.col("start"), F.col("end")))
 
 
@@ -164,14 +179,22 @@ def predict_chunks(df: DataFrame, text_col: str, load: Callable[[], Model], labe
 
     Repeats from overlapping chunks stay; ``extract.dedupe_first`` removes them.
     """
-    parts = chunks.token_chunks(df, text_col, size, overlap, tokenizer)
-    found = _run(parts, "texto_chunk", load, labels, threshold)
-    hits = found.filter(~F.col("entidad_label").isin(P.SENTINELS) | F.col("entidad_label").isNull())
-    failed = found.filter(F.col("entidad_label") == FAILED)
-    none = df.join(hits.select(id_col).distinct(), id_col, "left_anti").join(failed.select(id_col).distinct(), id_col, "left_anti")
+    return predict_chunks_all(df, text_col, load, [(labels, threshold)], id_col, size, overlap, tokenizer).drop("_setting")
+
+
+def predict_chunks_all(df: DataFrame, text_col: str, load: Callable[[], Model], settings: list[Setting], id_col: str = "id", size: int = 300, overlap: int = 50, tokenizer: chunks.Tokenizer | None = None) -> DataFrame:
     label = F.when(F.trim(F.coalesce(text_col, F.lit(""))) == "", NO_TEXT).otherwise(NO_ENTITY)
-    rows = hits.unionByName(failed).unionByName(none.withColumn("entidad_label", label), allowMissingColumns=True)
-    return rows.withColumn("texto_contexto", context(F.col("texto_chunk"), F.col("start"), F.col("end")))
+    parts = chunks.token_chunks(df, text_col, size, overlap, tokenizer, keep_empty=True).withColumn("_none", label)
+    found = _run(parts, "texto_chunk", load, settings)
+    # The first chunk speaks for a document without a hit. Whether there is one is told by the id, in one pass over the
+    # predictions; a null id is a document of its own.
+    hit = ~F.coalesce(F.col("entidad_label").isin(NO_ENTITY, NO_TEXT), F.lit(False))
+    by_id = Window.partitionBy(id_col, "_setting")
+    found = found.filter(hit | (F.col("chunk_id") == 0)).withColumns({"_hit": hit, "_any": F.col(id_col).isNotNull() & F.max(hit).over(by_id)})
+    found = found.filter(F.col("_hit") | ~F.col("_any"))
+    blank = [c for c in parts.columns if c not in df.columns and c != "_none"]
+    rows = found.withColumns({"entidad_label": F.when(F.col("_hit"), F.col("entidad_label")).otherwise(F.col("_none"))} | {c: F.when(F.col("_hit"), F.col(c)) for c in blank})
+    return rows.drop("_hit", "_any", "_none").withColumn("texto_contexto", context(F.col("texto_chunk"), F.col("start"), F.col("end")))
 
 
 def digit_runs(text: str, labels: list[str], threshold: float) -> object:

@@ -193,3 +193,29 @@ def test_sub_word_chunks(spark):
             part = spans[c * 15 : c * 15 + 20]
             want.append((i, c, len(part), t[part[0][0] : part[-1][1]]))
     assert [(r["id"], r["chunk_id"], r["n_tokens_chunk"], r["texto_chunk"]) for r in got] == want
+
+
+def test_chunks_of_plain_and_other_texts_are_cut_alike(spark):
+    texts = ["", " ", "a", "a b_1, c-d.", "uno dos tres cuatro cinco seis", "\tx\n\ny\x0bz!", "a\x1fb"]
+    odd = [t + "ñ" for t in texts]  # the columns cut these
+    df = spark.createDataFrame([*enumerate(texts), *((i + 100, t) for i, t in enumerate(odd))], "id int, t string")
+    got = {(r.id, r.chunk_id): r.texto_chunk.split(" ") for r in chunks.token_chunks(df, "t", 3, 1).collect()}
+    word = __import__("re").compile(r"\w+|[^\w\s]")
+    for i, text in [*enumerate(texts), *((i + 100, t) for i, t in enumerate(odd))]:
+        tokens = word.findall(text) if "\x1f" not in text else None
+        if tokens is not None:
+            assert [got[k] for k in sorted(got) if k[0] == i] == [tokens[b : b + 3] for b in range(0, max(len(tokens) - 1, 1), 2) if tokens]
+
+
+def test_inference_of_all_settings_reads_the_texts_once_per_strategy(spark):
+    from papyrine.operators import entities, models
+
+    docs = spark.createDataFrame([(1, "n 1234567"), (1, "nada"), (None, "n 7654321"), (None, "nada"), (2, "x " * 9 + "8888888")], "id long, t string")
+    found = entities.run_grid(docs, "t", {"m": lambda: models.digit_runs}, {"a": ["x"], "b": ["y"]}, [0.1, 0.95], size=4, overlap=1)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    got = sorted((str(r.id), r.labels_set, r.threshold, r.entidad_label, str(r.entidad_texto)) for r in found.filter("estrategia = 'chunks' and labels_set = 'a'").collect())
+    none = "SIN_ENTIDADES"
+    assert got == [
+        ("1", "a", 0.1, "x", "1234567"), ("1", "a", 0.95, none, "None"), ("2", "a", 0.1, "x", "8888888"), ("2", "a", 0.95, none, "None"),
+        ("None", "a", 0.1, none, "None"), ("None", "a", 0.1, "x", "7654321"), ("None", "a", 0.95, none, "None"),
+    ]
