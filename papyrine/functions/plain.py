@@ -350,6 +350,31 @@ def checked(text: str) -> list | None:
     return [new, len(before), len(after), *has_important(text, low_before.decode("latin-1"), before), *important_counts(new, low.decode("latin-1"), after), *counts(new, limpio, low, after)]
 
 
+#: What a match of an audit pattern begins with, and how long a number is that it may begin with.
+_AUDIT = [
+    (k, heads, lengths, re.compile(P.AUDIT[k], re.IGNORECASE).match)
+    for k, heads, lengths in (
+        ("dni", ("dni", "d.n.i.", "documento", "doc"), range(7, 9)),
+        ("cuil_cuit", ("cuil", "cuit", "c.u.i.l.", "c.u.i.t."), (2, 10, 11)),
+        ("cbu_cvu", ("cbu", "cvu"), range(1, 23)),
+        ("monto", ("$", "pesos", "importe", "monto"), ()),
+        ("expediente", ("expediente", "expte", "exp.", "nro", "numero"), ()),
+    )
+]
+
+
+def audited(text: str) -> list[bool] | None:
+    """Whether each audit pattern matches."""
+    b = plain_bytes(text)
+    if b is None:
+        return None
+    low, numbers = b.translate(_LOWER).decode("latin-1"), [m.span() for m in _digits(text)]
+    return [
+        any(match(text, at) for head in heads if head in low for at in _places(low, head)) or any(e - b in lengths and match(text, b) for b, e in numbers)
+        for _, heads, lengths, match in _AUDIT
+    ]
+
+
 # As columns ----------------------------------------------------------------------------------------
 
 
@@ -385,6 +410,7 @@ def _udf(schema: T.StructType, find: Callable[[str], list | None]) -> Callable[[
 
 measure_of = _udf(MEASURED, measured)
 check_of = _udf(CHECKED, checked)
+audit_of = _udf(_struct({k: T.BooleanType() for k, *_ in _AUDIT}), audited)
 
 
 @F.arrow_udf(T.StringType())

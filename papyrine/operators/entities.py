@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.functions import patterns as P
+from papyrine.functions import plain
 from papyrine.functions.predicates import contains_any, needs_review, not_sentinel, valid_format
 from papyrine.functions.text import ICASE, text_of
 from papyrine.operators.extract import dedupe_first
@@ -72,8 +73,17 @@ def split_trusted(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~F.col("requiere_revision_manual")), rows.filter("requiere_revision_manual")
 
 
+def trusted_counts(checked: DataFrame) -> DataFrame:
+    """How many rows either part of ``split_trusted`` has, in one pass."""
+    rows, again = checked.filter(not_sentinel(F.col("entidad_label"))), F.col("requiere_revision_manual")
+    sizes = [F.struct(F.lit(name).alias("cola"), F.count_if(test).alias("cantidad")) for name, test in (("confiables", ~again), ("revisar", again))]
+    return rows.agg(F.array(*sizes).alias("r")).select(F.inline("r"))
+
+
 def audit_flags(df: DataFrame, text_col: str) -> DataFrame:
-    return df.withColumns({f"regex_tiene_{k}": text_of(F.col(text_col)).rlike(ICASE + "(?:" + p + ")") for k, p in P.AUDIT.items()})
+    text, kept = text_of(F.col(text_col)), [c for c in df.columns if c not in (f"regex_tiene_{k}" for k in P.AUDIT)]
+    df = df.withColumn("_plain", plain.audit_of(text))
+    return df.select(*kept, *[F.coalesce(F.col("_plain")[k], text.rlike(ICASE + "(?:" + p + ")")).alias(f"regex_tiene_{k}") for k, p in P.AUDIT.items()])
 
 
 def pattern_against_model(docs: DataFrame, entities: DataFrame, text_col: str, id_col: str = "id", label_col: str = "entidad_label") -> DataFrame:

@@ -206,10 +206,10 @@ def _lists(rows: list[list[dict]], kind: pa.ListType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), items, type=kind)
 
 
-def _append(df: DataFrame, text_col: str, name: str, item: T.StructType, find: Callable[[], Callable[[str], list[dict]]], choose: Callable[[str, list[dict]], tuple] | None = None, chosen: T.StructType | None = None) -> DataFrame:
+def _append(df: DataFrame, text_col: str, name: str, item: T.StructType, find: Callable[[], Callable[[str], list[dict]]], choose: Callable[[str, list[dict]], tuple] | None = None, chosen: T.StructType | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """Append the items that are found in a text, and what is chosen among them, if that is asked for."""
     more = chosen.fields if chosen else []
-    kept = [f for f in df.schema.fields if f.name != name and f.name not in (m.name for m in more)]
+    kept = [f for f in df.schema.fields if f.name not in (name, *drop, *(m.name for m in more))]
     schema = T.StructType([*kept, T.StructField(name, T.ArrayType(item)), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +266,8 @@ def with_entities(df: DataFrame, text_col: str, out_col: str = "entidades", mode
     return _append(df, text_col, out_col, ENTITY, find, **choice)
 
 
-def with_simple_ids(df: DataFrame, text_col: str, out_col: str = "entidades") -> DataFrame:
-    return _append(df, text_col, out_col, SIMPLE, lambda: simple_entities)
+def with_simple_ids(df: DataFrame, text_col: str, out_col: str = "entidades", keep_text: bool = True) -> DataFrame:
+    return _append(df, text_col, out_col, SIMPLE, lambda: simple_entities, drop=() if keep_text else (text_col,))
 
 
 def order_and_dedupe(entities: Column) -> Column:

@@ -11,7 +11,7 @@ from papyrine.functions import patterns as P
 from papyrine.functions import predicates as R
 from papyrine.functions import text as X
 from papyrine.operators import chunks, entities, extract, models, profile, selection
-from papyrine.plans.legal import CTE, legal_documents
+from papyrine.plans.legal import CTE, legal_documents, parts_of
 from papyrine.plans.registry import _CHECKED, _docs, _predictions, _query, _table, _VALID
 from papyrine.session import scratch
 from papyrine.sources import io
@@ -22,7 +22,9 @@ _PEOPLE = "customer join nation on c_nationkey = n_nationkey"
 
 
 def _people(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+    people = _table(spark, sf_dir, "customer")
+    joined = people.join(_table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+    return joined.repartition(parts_of(people), "c_custkey", "c_name")  # what is built from a row is many times as long
 
 
 _PAGE = "concat('<html><head><style>p {color: red}</style></head><body><h2>', n_name, '</h2><p>', c_name, ' &amp; <b>tel ', c_custkey, '</b></p>\\n\\n\\n<script>x = 1</script><ul><li>', c_mktsegment, '</li><li>dos</li></ul><a href=\"u', c_custkey, '\">mas</a></body></html>')"

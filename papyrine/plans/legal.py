@@ -62,6 +62,12 @@ def spread(df: DataFrame) -> DataFrame:
 SLICE = 2 << 20
 
 
+def parts_of(table: DataFrame, size: int | None = None) -> int:
+    """Tasks for what is built from the rows of a table: one for so many bytes of its files, as many as there are cores at least."""
+    stored = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(table.sparkSession.sparkContext.defaultParallelism, stored // (size or SLICE))
+
+
 def legal_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, nombre, clasificacion, texto), one per order. Customer and nation are dimension tables; the planner picks the join.
 
@@ -69,7 +75,6 @@ def legal_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     orders = read("orders")
-    parts = max(spark.sparkContext.defaultParallelism, int(str(orders._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // SLICE)
     joined = orders.join(read("customer"), F.expr("o_custkey = c_custkey")).join(read("nation"), F.expr("c_nationkey = n_nationkey"))
-    dealt = joined.select("o_orderkey", "o_custkey", "o_totalprice", "n_name").repartition(parts, "o_orderkey", "o_custkey", "o_totalprice")
+    dealt = joined.select("o_orderkey", "o_custkey", "o_totalprice", "n_name").repartition(parts_of(orders), "o_orderkey", "o_custkey", "o_totalprice")
     return dealt.select(F.col("o_orderkey").alias("id"), F.expr(FILE).alias("nombre"), F.expr(KIND).alias("clasificacion"), F.expr(TEXT).alias("texto"))

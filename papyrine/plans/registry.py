@@ -393,7 +393,7 @@ _SIMPLE = CTE + ", simple as (" + " union all ".join(f"select id, '{k}' as etiqu
 
 
 def _simple(spark, sf_dir):
-    rows = extract.with_simple_ids(legal_documents(spark, sf_dir), "texto", "e")
+    rows = extract.with_simple_ids(legal_documents(spark, sf_dir), "texto", "e", keep_text=False)
     return rows.select("id", "nombre", "clasificacion", F.explode("e").alias("e")).select("id", "nombre", "clasificacion", "e.*")
 
 
@@ -423,8 +423,9 @@ def label_pivot(spark, sf_dir):
 @_query(f"with {_SIMPLE}, twice as (select id, etiqueta, texto, null::double as score from ids union all select id, etiqueta, upper(texto), (id % 10) / 10.0::double from ids) select id, etiqueta, texto, score from (select *, row_number() over (partition by id, etiqueta, lower(texto) order by score desc nulls last, texto) as n from twice) where n = 1")
 def dedupe_best(spark, sf_dir):
     ids = _simple(spark, sf_dir).select("id", "etiqueta", "texto")
-    twice = ids.withColumn("score", F.lit(None).cast("double")).unionByName(ids.select("id", "etiqueta", F.upper("texto").alias("texto"), ((F.col("id") % 10) / 10.0).cast("double").alias("score")))
-    return extract.dedupe_best(twice)
+    entry = lambda text, score: F.struct(text.alias("texto"), score.cast("double").alias("score"))
+    twice = F.array(entry(F.col("texto"), F.lit(None)), entry(F.upper("texto"), (F.col("id") % 10) / 10.0))
+    return extract.dedupe_best(ids.select("id", "etiqueta", F.inline(twice)))
 
 
 @_query(f"with {_SIMPLE} select id, nombre from legal where id not in (select id from ids where etiqueta in ('CBU', 'CVU'))")
@@ -683,9 +684,7 @@ def regex_vs_model(spark, sf_dir):
 
 @_query(f"with {_VALID} select 'confiables' as cola, count(*) as cantidad from shown where not requiere_revision_manual union all select 'revisar', count(*) from shown where requiere_revision_manual")
 def trusted_split(spark, sf_dir):
-    size = lambda df, name: df.agg(F.lit(name).alias("cola"), F.count(F.lit(1)).alias("cantidad"))
-    trusted, rest = entities.split_trusted(_predictions(spark, sf_dir))
-    return size(trusted, "confiables").unionByName(size(rest, "revisar"))
+    return entities.trusted_counts(_predictions(spark, sf_dir))
 
 
 _SURE_NAME = r"Sr\. ([A-Z ]+), DNI"

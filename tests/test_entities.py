@@ -219,3 +219,21 @@ def test_inference_of_all_settings_reads_the_texts_once_per_strategy(spark):
         ("1", "a", 0.1, "x", "1234567"), ("1", "a", 0.95, none, "None"), ("2", "a", 0.1, "x", "8888888"), ("2", "a", 0.95, none, "None"),
         ("None", "a", 0.1, none, "None"), ("None", "a", 0.1, "x", "7654321"), ("None", "a", 0.95, none, "None"),
     ]
+
+
+def test_token_spans_of_many_texts_are_plain_numbers(spark):
+    texts = ["", "a b", None, "ñandú x"] * 200
+    load = lambda: lambda text: [m.span() for m in __import__("re").finditer(r"\w+", text)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    want = {0: [], 1: [(0, 1), (2, 3)], 2: [], 3: [(0, 5), (6, 7)]}
+    got = chunks.with_token_spans(df, "t", load).collect()
+    assert len(got) == 800 and all([tuple(s) for s in r["_spans"]] == want[r.id % 4] for r in got)
+
+
+def test_both_parts_are_counted_in_one_pass(spark):
+    from papyrine.operators import entities
+
+    rows = spark.createDataFrame([("dni", True), ("dni", False), ("SIN_TEXTO", True), ("monto", True)], "entidad_label string, requiere_revision_manual boolean")
+    found = entities.trusted_counts(rows)
+    assert sorted(map(tuple, found.collect())) == [("confiables", 1), ("revisar", 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1

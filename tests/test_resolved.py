@@ -38,3 +38,12 @@ def test_resolved_equals_resolve(spark, texts):
     both = text(fast).join(text(slow).withColumnRenamed("j", "k"), "id")
     assert both.filter("j <> k").limit(2).collect() == []
     assert fast.filter("best_persona is not null and best_dni is not null and best_monto is not null").count() > 30
+
+
+def test_audit_of_plain_texts_is_that_of_the_patterns(texts):
+    from papyrine.functions import patterns as P
+
+    seen = [(t, found) for t in texts if (found := plain.audited(t)) is not None]
+    assert len(seen) > 500
+    for text, found in seen:
+        assert found == [bool(__import__("re").search(p, text, 2)) for p in P.AUDIT.values()]
